@@ -93,12 +93,13 @@ def sample_entries(pages: DataFrame) -> DataFrame:
 def op10_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page of `pages` against a dated list, decided as of its fetch time."""
     pages = table(spark, sf_dir, "pages")
-    return filter_captures(sample_captures(pages), sample_entries(pages))
+    out = filter_captures(sample_captures(pages), sample_entries(pages))
+    return out.withColumns({c: F.col(c).cast("string") for c in ("fetched_at", "valid_from", "valid_to")})
 
 
 ORACLE_SQL = r"""
 WITH parts AS (
-  SELECT page_id, url, date '2023-01-01' + CAST((page_id * 37) % 730 AS INT) AS fetched_at,
+  SELECT page_id, url, CAST(date '2023-01-01' + CAST((page_id * 37) % 730 AS INT) AS DATE) AS fetched_at,
     rtrim(translate(regexp_replace(regexp_replace(regexp_extract(coalesce(url, ''), '^(?i:[a-z][a-z0-9+.-]*:)?//([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', ''),
       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '.') AS h,
     regexp_extract(coalesce(url, ''), '^(?i:[a-z][a-z0-9+.-]*:)?//[^/?#]*/([^/?#]*)', 1) AS segment
@@ -110,7 +111,7 @@ names AS (
   UNION SELECT DISTINCT array_to_string(labels[-2:], '.'), 'parent' FROM named WHERE host IS NOT NULL),
 hashed AS (SELECT *, CAST('0x' || substr(md5(entry), 1, 8) AS BIGINT) AS c FROM names),
 dated AS (
-  SELECT entry, action, date '2023-01-01' + CAST(day AS INT) AS since FROM (
+  SELECT entry, action, CAST(date '2023-01-01' + CAST(day AS INT) AS DATE) AS since FROM (
     SELECT entry, 'block' AS action, c % 400 AS day FROM hashed WHERE kind = 'host' AND c % 4 = 0
     UNION ALL SELECT entry, 'remove', c % 400 + 120 FROM hashed WHERE kind = 'host' AND c % 4 = 0
     UNION ALL SELECT entry, 'block', c % 400 + 320 FROM hashed WHERE kind = 'host' AND c % 4 = 0
@@ -131,7 +132,7 @@ hits AS (
     arg_min(s.valid_from, k.depth) AS valid_from, min_by({'v': s.valid_to}, k.depth).v AS valid_to
   FROM keyed k JOIN spans s ON k.entry = s.entry AND k.fetched_at >= s.valid_from AND (s.valid_to IS NULL OR k.fetched_at < s.valid_to)
   GROUP BY ALL)
-SELECT c.page_id, c.url, c.fetched_at, c.n_rows, c.host, h.entry, h.valid_from, h.valid_to,
+SELECT c.page_id, c.url, CAST(c.fetched_at AS VARCHAR) AS fetched_at, c.n_rows, c.host, h.entry, CAST(h.valid_from AS VARCHAR) AS valid_from, CAST(h.valid_to AS VARCHAR) AS valid_to,
   coalesce(h.action, 'none') AS action, coalesce(h.action, 'none') <> 'block' AS allowed
 FROM captures c LEFT JOIN hits h ON c.page_id IS NOT DISTINCT FROM h.page_id AND c.url IS NOT DISTINCT FROM h.url AND c.fetched_at IS NOT DISTINCT FROM h.fetched_at
 """
