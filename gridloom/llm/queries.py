@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, url_filters
+from . import decontamination, licenses, url_filters
+from .decontamination import op3_spaced_seed_decontamination
 from .licenses import op1_rare_token_licenses
+from .quality_gam import op2_pairwise_gam_quality
 from .sharding import op8_rendezvous_sharding
 from .url_filters import op10_temporal_url_filter
 
@@ -15,6 +17,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_rare_token_licenses,
+        op2_pairwise_gam_quality,
+        op3_spaced_seed_decontamination,
         op8_rendezvous_sharding,
         op10_temporal_url_filter,
     )
@@ -22,5 +26,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_rare_token_licenses": licenses.oracle_sql(),
+    "op3_spaced_seed_decontamination": decontamination.oracle_sql(),
     "op10_temporal_url_filter": url_filters.ORACLE_SQL,
 }
