@@ -44,13 +44,20 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def map_rows(df: DataFrame, kernel: Callable[[pa.RecordBatch], dict], schema: str, rows: int = 512) -> DataFrame:
-    """df.mapInArrow over slices of at most `rows` rows, so that memory is bounded by a few hundred texts."""
+def map_rows(df: DataFrame, kernel: Callable[[pa.RecordBatch], dict], schema: object, rows: int = 2048, size: int = 2 << 20) -> DataFrame:
+    """df.mapInArrow over slices of at most `rows` rows and, but for a single longer one, about `size` bytes: memory stays bounded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, rows):
-                yield pa.RecordBatch.from_pydict(kernel(batch.slice(start, rows)))
+            start, each = 0, rows
+            if batch.num_rows:
+                each = max(1, min(rows, int(size * batch.num_rows // max(1, batch.nbytes))))
+            while start < batch.num_rows:
+                part = batch.slice(start, each)
+                while part.num_rows > 1 and part.nbytes > 2 * size:
+                    part = part.slice(0, part.num_rows // 2)
+                yield pa.RecordBatch.from_pydict(kernel(part))
+                start += part.num_rows
 
     return df.mapInArrow(run, schema)
 
@@ -71,3 +78,56 @@ def mix(x: np.ndarray) -> np.ndarray:
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+#: The six ASCII characters of white space, by byte.
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd base modulo 2**64, and those of its inverse."""
+    if len(_powers[0]) < n:
+        size = max(n, 1 << 21)
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            x = np.full(size, base, dtype=np.uint64)
+            x[0] = 1
+            _powers[k] = np.cumprod(x, dtype=np.uint64)
+    return _powers[0][:n], _powers[1][:n]
+
+
+def prefix_hash(symbols: np.ndarray) -> np.ndarray:
+    """Sums s[0] b**0 + ... + s[i-1] b**(i-1) modulo 2**64, one more than symbols; span_hash reads them."""
+    forward, _ = powers(len(symbols))
+    out = np.zeros(len(symbols) + 1, dtype=np.uint64)
+    np.cumsum((symbols.astype(np.uint64) + np.uint64(1)) * forward, dtype=np.uint64, out=out[1:])
+    return out
+
+
+def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each span's symbols that doesn't depend on where it stands."""
+    _, backward = powers(len(prefix))
+    return mix((prefix[ends] - prefix[starts]) * backward[starts] + np.uint64(0x51ED270B))
+
+
+def word_spans(space: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where words start and end, and how many come before each row; space says which symbols are white space."""
+    n = len(space)
+    inside = ~space
+    start, end = inside.copy(), inside.copy()
+    start[1:] &= space[:-1]
+    end[:-1] &= space[1:]
+    cuts = offsets[(offsets > 0) & (offsets < n)]
+    start[cuts] = inside[cuts]
+    end[cuts - 1] = inside[cuts - 1]
+    starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def per_row(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sums of values between consecutive offsets."""
+    total = np.zeros(len(values) + 1, dtype=np.float64 if values.dtype.kind == "f" else np.int64)
+    np.cumsum(values, out=total[1:])
+    return total[offsets[1:]] - total[offsets[:-1]]

@@ -10,6 +10,7 @@ from . import decontamination, licenses, url_filters
 from .decontamination import op3_spaced_seed_decontamination
 from .licenses import op1_rare_token_licenses
 from .quality_gam import op2_pairwise_gam_quality
+from .quality_rules import op5_ngram_quality_rules
 from .sharding import op8_rendezvous_sharding
 from .url_filters import op10_temporal_url_filter
 
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_rare_token_licenses,
         op2_pairwise_gam_quality,
         op3_spaced_seed_decontamination,
+        op5_ngram_quality_rules,
         op8_rendezvous_sharding,
         op10_temporal_url_filter,
     )
