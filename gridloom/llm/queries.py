@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontamination, licenses, url_filters
 from .decontamination import op3_spaced_seed_decontamination
+from .language_gru import op9_byte_gru_language
 from .licenses import op1_rare_token_licenses
 from .quality_gam import op2_pairwise_gam_quality
 from .quality_rules import op5_ngram_quality_rules
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_spaced_seed_decontamination,
         op5_ngram_quality_rules,
         op8_rendezvous_sharding,
+        op9_byte_gru_language,
         op10_temporal_url_filter,
     )
 }
