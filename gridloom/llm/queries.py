@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, licenses, url_filters
+from . import decontamination, licenses, minhash, url_filters
 from .decontamination import op3_spaced_seed_decontamination
 from .language_gru import op9_byte_gru_language
 from .licenses import op1_rare_token_licenses
+from .minhash import op4_multi_index_minhash
 from .quality_gam import op2_pairwise_gam_quality
 from .quality_rules import op5_ngram_quality_rules
 from .sharding import op8_rendezvous_sharding
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_rare_token_licenses,
         op2_pairwise_gam_quality,
         op3_spaced_seed_decontamination,
+        op4_multi_index_minhash,
         op5_ngram_quality_rules,
         op8_rendezvous_sharding,
         op9_byte_gru_language,
@@ -31,5 +33,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_rare_token_licenses": licenses.oracle_sql(),
     "op3_spaced_seed_decontamination": decontamination.oracle_sql(),
+    "op4_multi_index_minhash": minhash.ORACLE_SQL,
     "op10_temporal_url_filter": url_filters.ORACLE_SQL,
 }
