@@ -13,6 +13,7 @@ from .licenses import op1_rare_token_licenses
 from .minhash import op4_multi_index_minhash
 from .quality_gam import op2_pairwise_gam_quality
 from .quality_rules import op5_ngram_quality_rules
+from .sentencepiece_unigram import op6_unigram_sentencepiece
 from .sharding import op8_rendezvous_sharding
 from .url_filters import op10_temporal_url_filter
 
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_spaced_seed_decontamination,
         op4_multi_index_minhash,
         op5_ngram_quality_rules,
+        op6_unigram_sentencepiece,
         op8_rendezvous_sharding,
         op9_byte_gru_language,
         op10_temporal_url_filter,
