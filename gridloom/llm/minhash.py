@@ -117,19 +117,27 @@ def near(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x != y), lambda d: d)) <= MAX_DIFFERENT
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose full shingle sets are similar enough. Only documents in a pair are read into sets."""
+def shingles_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, shingles): the full shingle sets of the documents whose doc_id is in nodes (node)."""
 
     def kernel(batch: pa.RecordBatch) -> dict:
         sets, before = shingle_sets(batch.column("text"))
         return {"node": batch.column("node"), "shingles": pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), pa.array(sets.view(np.int64)))}
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(needed, "node", "left_semi")
-    sets = map_rows(texts, kernel, "node long, shingles array<long>")
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node", "left_semi")
+    return map_rows(texts, kernel, "node long, shingles array<long>")
+
+
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the sizes of their full sets (na, nb) and of what they share (shared); of repeated doc_ids, the pair that shares most."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.withColumn("n", shared).where(F.lit(100) * F.col("n") >= F.lit(SIMILAR) * (F.size("sa") + F.size("sb") - F.col("n"))).select("a", "b").distinct()
+    rows = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
+    return rows.groupBy("a", "b").agg(F.max(F.struct("shared", "na", "nb")).alias("m")).select("a", "b", "m.shared", "m.na", "m.nb")
+
+
+def linked(rows: DataFrame) -> DataFrame:
+    """The pairs of overlaps() that are similar enough."""
+    return rows.where(F.lit(100) * F.col("shared") >= F.lit(SIMILAR) * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -150,14 +158,29 @@ def components(edges: DataFrame) -> DataFrame:
         labels = labels.join(up, labels["component"] == up["x"], "left").select("node", F.coalesce("p", "component").alias("component")).checkpoint()
 
 
+def may_link(x: str, y: str) -> Column:
+    """Whether two nodes can be similar enough, by lower bounds of how many shingles only one of them has (SIMILAR allows
+    (100 - SIMILAR) / (100 + SIMILAR) of both sizes). No such pair is lost:
+
+    - `own` shingles of a node occur in no other open node, so the other one lacks them;
+    - a pair with the same pivot differs in at least what either differs from the pivot in (`apart`), less twice what both
+      may differ in alike, to which own shingles do not belong.
+    """
+    col = lambda side, name: F.col(f"{side}.{name}")
+    limit = F.lit(100 - SIMILAR) * (col(x, "n") + col(y, "n"))
+    alike = F.least(*(F.greatest(F.lit(0), col(side, "apart") - col(side, "own")) for side in (x, y)))
+    by_pivot = (col(x, "pivot") != col(y, "pivot")) | (F.lit(100 + SIMILAR) * (col(x, "apart") + col(y, "apart") - 2 * alike) <= limit)
+    return (F.lit(100 + SIMILAR) * (col(x, "own") + col(y, "own")) <= limit) & by_pivot & near(col(x, "sig"), col(y, "sig"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row for each row of docs (doc_id, text): n_shingles, component_id (the smallest doc_id reachable over links) and kept.
 
     Links: 100 * shared shingles >= 85 * all shingles of the two. Rows with the same shingle set are one class, which the smallest doc_id
-    stands for; classes get 40 chunk keys each. A first round tries, for every class, the smallest class of its buckets. A second round
-    takes all pairs in a bucket that are not yet in the same component. Both filter by signature distance and confirm on full sets.
-    Texts without words are linked with nothing, as are rows without a doc_id (component_id null, kept). Rows that repeat a doc_id
-    are judged each by their own text.
+    stands for; classes get 40 chunk keys each. A first round tries every class against one pivot: of the most frequented classes of its
+    buckets, the most frequented. A second round takes the pairs in a bucket that are not yet in the same component and that bounds
+    (may_link) do not rule out. Both confirm on full sets. Texts without words are linked with nothing, as are rows without a doc_id
+    (component_id null, kept). Rows that repeat a doc_id are judged each by their own text.
     """
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
@@ -166,24 +189,38 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*same_set).agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")).checkpoint()
     sigs = classes.select("node", "sig")
     keyed = bucket_keys(classes)
-    shared = keyed.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre != last").select("key", "centre")
-    members = keyed.join(shared, "key").select("key", "node", "centre").checkpoint()
-
-    def with_sigs(pairs: DataFrame) -> DataFrame:
-        return pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
-
-    stars = members.where("centre < node").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    first = with_sigs(stars).where(near(F.col("sa"), F.col("sb"))).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    edges = confirmed(first.checkpoint(), docs).checkpoint()
+    crowded = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = keyed.join(crowded, "key").checkpoint()
+    met = members.groupBy("node").agg(F.sum("size").alias("met"))
+    sets = shingles_of(docs, met.select("node")).checkpoint()
+
+    known = members.join(met, "node").select("key", "node", "met")
+    centres = known.groupBy("key").agg(F.max(F.struct(F.col("met"), (-F.col("node")).alias("less"))).alias("top"))
+    stars = known.join(centres, "key").select(F.col("top").alias("top"), (-F.col("top.less")).alias("a"), F.col("node").alias("b")).where("a != b").distinct()
+    stars = stars.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
+    chosen = stars.where(near(F.col("sa"), F.col("sb"))).groupBy("b").agg(F.max("top").alias("top")).select((-F.col("top.less")).alias("a"), "b")
+    tried = overlaps(chosen, sets).checkpoint()
+    edges = linked(tried)
     found = components(edges)
 
     placed = members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    open_members = placed.join(mixed, "key", "left_semi").join(sigs, "node").checkpoint()
-    x, y = open_members.alias("x"), open_members.alias("y")
-    crossing = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & near(F.col("x.sig"), F.col("y.sig")))
-    pairs = crossing.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(first, ["a", "b"], "left_anti").checkpoint()
-    more = confirmed(pairs, docs).checkpoint()
+    open_members = placed.join(mixed, "key", "left_semi").checkpoint()
+    pivots = tried.select(F.col("b").alias("node"), F.col("a").alias("pivot"), (F.col("na") + F.col("nb") - 2 * F.col("shared")).alias("apart"))
+    nodes = open_members.select("node").distinct().join(pivots, "node", "left")
+    nodes = nodes.select("node", F.coalesce("pivot", "node").alias("pivot"), F.coalesce("apart", F.lit(0)).alias("apart"))
+    seen = nodes.select("node").union(nodes.select(F.col("pivot").alias("node"))).distinct()
+    shingles = sets.join(seen, "node", "left_semi").select("node", F.explode("shingles").alias("h"))
+    own = shingles.groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last").groupBy("node").agg(F.count("*").alias("own"))
+    sizes = sets.groupBy("node").agg(F.min(F.size("shingles")).alias("n"), F.count("*").alias("rows"))
+    # a repeated doc_id has several sets: bounds that hold for one set say nothing then
+    facts = nodes.join(sizes, "node").join(own, "node", "left").join(sigs, "node").select(
+        "node", "pivot", "apart", "sig", F.when(F.col("rows") > 1, F.lit(1 << 40)).otherwise(F.col("n")).cast("bigint").alias("n"), F.coalesce("own", F.lit(0)).alias("own"))
+    candidates = open_members.join(facts, "node").checkpoint()
+    x, y = candidates.alias("x"), candidates.alias("y")
+    crossing = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & may_link("x", "y"))
+    pairs = crossing.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    more = linked(overlaps(pairs, sets)).checkpoint()
     if not more.isEmpty():
         found = components(edges.union(more))
 
