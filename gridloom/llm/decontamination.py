@@ -19,16 +19,16 @@ def _hashed(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seeds(hashes: str, pos: str, size: str, masks: tuple[tuple[int, ...], ...]) -> Column:
-    """The seed hashes at one place; null for masks that reach past the end."""
-    one = lambda m, mask: F.when(F.col(pos) + mask[-1] < F.col(size), F.xxhash64(F.lit(m), *(F.get(hashes, F.col(pos) + o) for o in mask)))
-    return F.array(*(one(m, mask) for m, mask in enumerate(masks)))
+def _seeds(df: DataFrame, keep: list[str], masks: tuple[tuple[int, ...], ...]) -> DataFrame:
+    """A row (keep, pos, seed) for each place and mask of df's hashed words `h`. The word array itself isn't repeated in them."""
 
+    def at_places(m: int, mask: tuple[int, ...]) -> Column:
+        seed = lambda w, i: F.struct(i.alias("pos"), F.xxhash64(F.lit(m), *(F.get("h", i + o) for o in mask)).alias("seed"))
+        return F.transform(F.slice("h", F.lit(1), F.greatest(F.lit(0), F.size("h") - mask[-1])), seed)
 
-def _exploded(df: DataFrame, keep: list[str], masks: tuple[tuple[int, ...], ...]) -> DataFrame:
-    """A row for each place and mask of df(words hashed in `h`), with `pos` and `seed`."""
-    places = df.select(*dict.fromkeys([*keep, "h"]), F.size("h").alias("n"), F.posexplode("h").alias("pos", "_w"))
-    return places.select(*keep, "pos", F.explode(_seeds("h", "pos", "n", masks)).alias("seed")).where(F.col("seed").isNotNull())
+    every = df.select(*keep, F.concat(*(at_places(m, mask) for m, mask in enumerate(masks))).alias("places"), F.size("h").alias("_n"))
+    # the outer form, as for the plain one Spark would compute the whole array once more to filter out empty ones
+    return every.select(*keep, F.explode_outer("places").alias("p")).select(*keep, "p.pos", "p.seed").where(F.col("seed").isNotNull())
 
 
 def overlap(doc: Column, item: Column, diagonal: Column, window: int = WINDOW) -> tuple[Column, Column]:
@@ -49,22 +49,21 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, masks: tuple[tuple
     Repeated ids count as one document or item, each of whose rows is compared, with the largest figures. Items with fewer words than the
     shortest mask spans, empty texts and nulls match nothing.
 
-    While the benchmark's seeds number at most `broadcast_seeds`, they are broadcast and the document's words stay at hand for the comparison:
-    the corpus isn't shuffled. Beyond, seeds are joined by a shuffle and the hit documents are joined again.
+    The benchmark's seeds are broadcast while they number at most `broadcast_seeds`; beyond, seeds are joined by a shuffle. Either way only
+    the diagonals that were hit go on, and their documents' words are compared once for each.
     """
-    items = benchmark.select("item_id", _hashed(words_of(F.col("text"))).alias("h")).where(F.size("h") > max(masks[0][-1], 0)).withColumn("row", F.xxhash64("item_id", "h")).dropDuplicates(["row"])
-    test = _exploded(items, ["row", "h", "item_id"], masks)
-    small = test.count() <= broadcast_seeds
-    train = docs.select("doc_id", _hashed(words_of(F.col("text"))).alias("h"))
-    if small:
-        test = test.select("seed", "item_id", F.col("h").alias("item"), F.col("pos").alias("item_pos"))
-        hits = _exploded(train, ["doc_id", "h"], masks).join(F.broadcast(test), "seed")
-        laid = hits.select("doc_id", "item_id", "h", "item", (F.col("pos") - F.col("item_pos")).alias("diagonal"))
-    else:
-        train = train.withColumn("doc_row", F.xxhash64("doc_id", "h"))
-        hits = _exploded(train, ["doc_row"], masks).join(test.select("seed", "row", F.col("pos").alias("item_pos")), "seed")
-        diagonals = hits.select("doc_row", "row", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct()
-        laid = diagonals.join(train, "doc_row").join(items.select("row", "item_id", F.col("h").alias("item")), "row")
+    items = benchmark.select("item_id", _hashed(words_of(F.col("text"))).alias("h")).where(F.size("h") > min(mask[-1] for mask in masks))
+    items = items.withColumn("row", F.xxhash64("item_id", "h")).dropDuplicates(["row"])
+    test = _seeds(items, ["row"], masks).select("seed", "row", F.col("pos").alias("item_pos"))
+    test = F.broadcast(test) if test.count() <= broadcast_seeds else test
+    train = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("doc_row"))
+    hashed = train.select("doc_row", _hashed(words_of(F.col("text"))).alias("h"))
+    hits = _seeds(hashed, ["doc_row"], masks).join(test, "seed")
+    diagonals = hits.select("doc_row", "row", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct()
+    laid = diagonals.join(items.select("row", "item_id", F.col("h").alias("item")), "row")
+    laid = laid.groupBy("doc_row").agg(F.collect_list(F.struct("item_id", "item", "diagonal")).alias("laid")).join(train, "doc_row")
+    laid = laid.select("doc_id", _hashed(words_of(F.col("text"))).alias("h"), F.col("laid"))
+    laid = laid.select("doc_id", "h", F.explode("laid").alias("l"), F.size("h").alias("_n")).select("doc_id", "h", "l.item_id", "l.item", "l.diagonal")
     most, total = overlap(F.col("h"), F.col("item"), F.col("diagonal"), window)
     judged = laid.select("doc_id", "item_id", F.least(F.size("item"), F.lit(window)).alias("width"), most.alias("best_window"), total.alias("n_matched"))
     kept = judged.where(F.col("best_window") >= F.col("width") - substituted)
