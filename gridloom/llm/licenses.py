@@ -55,7 +55,7 @@ _FIELD = 1 << 40  # template and start in one number, so that candidates sort as
 def document_frequencies(words: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     """In how many documents each word of the vocabulary occurs. Counted over all documents; at most one row a word reaches the driver."""
     known = F.array_distinct(F.filter("words", lambda w: w.isin(vocabulary)))
-    rows = words.select(F.explode(known).alias("word")).groupBy("word").count().collect()
+    rows = words.select(F.explode_outer(known).alias("word")).where("word IS NOT NULL").groupBy("word").count().collect()
     return {r["word"]: r["count"] for r in rows}
 
 
