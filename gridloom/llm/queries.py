@@ -15,6 +15,7 @@ from .quality_gam import op2_pairwise_gam_quality
 from .quality_rules import op5_ngram_quality_rules
 from .sentencepiece_unigram import op6_unigram_sentencepiece
 from .sharding import op8_rendezvous_sharding
+from .suffix_dedup import op7_difference_cover_dedup
 from .url_filters import op10_temporal_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_multi_index_minhash,
         op5_ngram_quality_rules,
         op6_unigram_sentencepiece,
+        op7_difference_cover_dedup,
         op8_rendezvous_sharding,
         op9_byte_gru_language,
         op10_temporal_url_filter,
