@@ -103,13 +103,22 @@ def sign_documents(docs: DataFrame) -> DataFrame:
 
 
 def bucket_keys(nodes: DataFrame) -> DataFrame:
-    """(key, node) for every chunk key of every node (node, sig)."""
+    """(key, slot, node) for every chunk key of every node (node, sig); a key belongs to one slot."""
 
     def kernel(batch: pa.RecordBatch) -> dict:
         sig = batch.column("sig").flatten().to_numpy(zero_copy_only=False).view(np.uint16).reshape(-1, CHUNKS * CHUNK)
         return {"node": batch.column("node"), "keys": _lists(chunk_keys(sig), CHUNKS * CHUNK, pa.int64())}
 
-    return map_rows(nodes.select("node", "sig"), kernel, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
+    return map_rows(nodes.select("node", "sig"), kernel, "node long, keys array<long>").select("node", F.posexplode("keys").alias("slot", "key"))
+
+
+def meets_first(a: Column, b: Column, slot: Column) -> Column:
+    """Whether `slot` is the first at which two signatures have the same key, so that a pair comes up once and not in every bucket it shares."""
+    differ = F.zip_with(a, b, lambda x, y: (x != y).cast("int"))
+    inside = lambda chunk: F.aggregate(F.slice(differ, chunk * CHUNK + 1, CHUNK), F.lit(0), lambda n, d: n + d)
+    chunk = F.floor(slot / CHUNK).cast("int")
+    earlier = F.filter(F.sequence(F.lit(0), chunk), lambda c: (c < chunk) & (inside(c) <= 1))
+    return (F.size(earlier) == 0) & ((slot % CHUNK == 0) | (inside(chunk) > 0))
 
 
 def near(a: Column, b: Column) -> Column:
@@ -203,7 +212,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     edges = linked(tried)
     found = components(edges)
 
-    placed = members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    placed = members.join(found, "node", "left").select("key", "slot", "node", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
     open_members = placed.join(mixed, "key", "left_semi").checkpoint()
     pivots = tried.select(F.col("b").alias("node"), F.col("a").alias("pivot"), (F.col("na") + F.col("nb") - 2 * F.col("shared")).alias("apart"))
@@ -218,8 +227,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "node", "pivot", "apart", "sig", F.when(F.col("rows") > 1, F.lit(1 << 40)).otherwise(F.col("n")).cast("bigint").alias("n"), F.coalesce("own", F.lit(0)).alias("own"))
     candidates = open_members.join(facts, "node").checkpoint()
     x, y = candidates.alias("x"), candidates.alias("y")
-    crossing = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & may_link("x", "y"))
-    pairs = crossing.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    crossing = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & may_link("x", "y") & meets_first(F.col("x.sig"), F.col("y.sig"), F.col("x.slot")))
+    pairs = crossing.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     more = linked(overlaps(pairs, sets)).checkpoint()
     if not more.isEmpty():
         found = components(edges.union(more))
