@@ -116,7 +116,9 @@ def compare(a: Column, a_kind: str, b: Column, b_kind: str) -> Column:
         return -compare(b, b_kind, a, a_kind)
     f, i = b.cast("double"), _exact(a, a_kind)
     top = F.lit(2.0**64)
-    whole = F.when(F.abs(f) < top, F.floor(F.when(F.abs(f) < 2.0**62, f).otherwise(0.0)).cast("decimal(20,0)") + F.when(F.abs(f) >= 2.0**62, f.cast("decimal(20,0)")).otherwise(0))
+    # through bigint, as doubles reach decimals by way of their shortest text; from 2**62 on they are multiples of 4
+    near = F.floor(F.when(F.abs(f) < 2.0**62, f).otherwise(0.0)).cast("decimal(20,0)")
+    whole = F.when(F.abs(f) < 2.0**62, near).otherwise(F.when(F.abs(f) < top, f / 4).otherwise(0.0).cast("bigint").cast("decimal(20,0)") * 4)
     fraction = F.when(F.abs(f) < 2.0**53, f - F.floor(f)).otherwise(0.0)
     return F.when(F.isnan(f), F.lit(None)).when(f >= top, -1).when(f <= -top, 1).when(i < whole, -1).when(i > whole, 1).when(fraction > 0, -1).otherwise(0)
 

@@ -220,7 +220,7 @@ class ArrayFrame:
     def copy_to(self) -> np.ndarray:
         """All cells as a row-major numpy array. Waits for the cells; RuntimeError unless every cell came exactly once."""
         kind = self.dtype.numpy
-        got = self.df.orderBy(*self.columns).toArrow().column("v").combine_chunks()
+        got = (self.df.orderBy(*self.columns) if self.rank else self.df).toArrow().column("v").combine_chunks()
         if len(got) != self.volume:
             raise RuntimeError(f"{len(got)} cells instead of {self.volume}")
         if self.dtype.kind == "complex":

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -11,18 +12,16 @@ from pyspark.sql import functions as F
 
 from ..functions.dtypes import ScalarType, UnsupportedReduction, identity, literal, scalar_type, supports, wrap
 
-_BIAS = 1 << 63
-
 
 def _signed(v: Column) -> Column:
     """An unsigned 64-bit decimal as the bigint with the same bits."""
     v = v.cast("decimal(20,0)")
-    return F.when(v >= F.lit(_BIAS), v - F.lit(1 << 64)).otherwise(v).cast("bigint")
+    return F.when(v >= F.lit(Decimal(1 << 63)), v - F.lit(Decimal(1 << 64))).otherwise(v).cast("bigint")
 
 
 def _unsigned(v: Column) -> Column:
     v = v.cast("decimal(20,0)")
-    return F.when(v < 0, v + F.lit(1 << 64)).otherwise(v).cast("decimal(20,0)")
+    return F.when(v < 0, v + F.lit(Decimal(1 << 64))).otherwise(v).cast("decimal(20,0)")
 
 
 def aggregate(op: str, v: Column, dtype: ScalarType) -> Column:

@@ -44,7 +44,7 @@ def expand(args: Sequence[object]) -> list[object]:
     """Arguments with dataclasses replaced by their fields, in order."""
     out: list[object] = []
     for a in args:
-        if is_dataclass(a) and not isinstance(a, (Access, type)):
+        if is_dataclass(a) and not isinstance(a, (Access, IndexMap, type)):
             out += expand([getattr(a, f.name) for f in fields(a)])
         else:
             out.append(a)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import geometry as G
@@ -42,13 +42,15 @@ def embedding_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("d0"), F.posexplode("embedding").alias("d1", "v")).select("d0", F.col("d1").cast("bigint").alias("d1"), "v")
 
 
-CENTS = F.col("o_totalprice") * 100
+def cents() -> Column:
+    """o_totalprice in whole cents, cut off."""
+    return (F.col("o_totalprice") * 100).cast("bigint")
 
 
 @query("SELECT o_orderkey // 1000 AS tile, CAST(sum(CAST(trunc(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS v FROM orders GROUP BY 1")
 def reduce_sum_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sum of o_totalprice in cents for each tile of 1000 order keys."""
-    rows = table(spark, sf_dir, "orders").select(S.div_floor(F.col("o_orderkey"), F.lit(1000)).alias("tile"), CENTS.cast("bigint").alias("v"))
+    rows = table(spark, sf_dir, "orders").select(S.div_floor(F.col("o_orderkey"), F.lit(1000)).alias("tile"), cents().alias("v"))
     return reduce_cells(rows, "sum", I64, ["tile"])
 
 
@@ -103,7 +105,7 @@ def histogram_privatized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT d0, p.value AS value, p.key AS key FROM (SELECT o_custkey % 50 AS d0, min({'value': CAST(trunc(o_totalprice * 100) AS BIGINT), 'key': o_orderkey}) AS p FROM orders GROUP BY 1)""")
 def argmin_keyvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("d0"), CENTS.cast("bigint").alias("cents"), "o_orderkey")
+    rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("d0"), cents().alias("cents"), "o_orderkey")
     return arg_min(rows, ["d0"], "cents", "o_orderkey")
 
 
@@ -122,7 +124,7 @@ def view_drop_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey - 250 AS d0, CAST(trunc(o_totalprice * 100) AS BIGINT) AS v FROM orders WHERE o_orderkey >= 300 AND o_orderkey < 700")
 def view_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = from_table(table(spark, sf_dir, "orders"), ["o_orderkey"], CENTS.cast("bigint"), [1000], I64)
+    a = from_table(table(spark, sf_dir, "orders"), ["o_orderkey"], cents(), [1000], I64)
     return a.slice(G.Bounds.of([(300, 700)])).shift_axis_to(0, 50).df
 
 
@@ -283,14 +285,14 @@ def checked_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey AS d0, CAST(trunc(o_totalprice * 100) AS BIGINT) + o_custkey AS v FROM orders")
 def vector_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C = A + B. Both arrays are columns of one table, so that one projection adds them: no join, no shuffle."""
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("d0"), (CENTS.cast("bigint") + F.col("o_custkey")).alias("v"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("d0"), (cents() + F.col("o_custkey")).alias("v"))
 
 
 @query("SELECT o_orderkey AS d0, CAST(trunc(o_totalprice * 100) AS BIGINT) + o_orderkey AS v FROM orders WHERE o_orderkey < 1000")
 def vector_add_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C = A + B of separate arrays, which meet by their coordinate."""
     n = 1000
-    a = from_table(table(spark, sf_dir, "orders").where(F.col("o_orderkey") < n), ["o_orderkey"], CENTS.cast("bigint"), [n], I64)
+    a = from_table(table(spark, sf_dir, "orders").where(F.col("o_orderkey") < n), ["o_orderkey"], cents(), [n], I64)
     b, c = ArrayFrame(spark, [n], I64).iota(), ArrayFrame(spark, [n], I64)
     x = axis(0)
     return elementwise(spark, [n], ExprKernel(lambda d, u, v: u + v), write(c[x]), a[x], b[x]).df
