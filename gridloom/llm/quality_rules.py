@@ -134,18 +134,25 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps: int) -> tuple
 
 
 def _platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift that calibrate margins, by Newton steps on smoothed labels."""
+    """Slope and shift that calibrate margins: the log loss of smoothed labels, by Newton steps that are halved until they lower it."""
     target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
-    a, b = 1.0, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
-        g, s = target - p, p * (1 - p) + 1e-9
-        ga, gb = (g * margin).sum() - 1e-3 * (a - 1), g.sum()
-        haa, hab, hbb = (s * margin**2).sum() + 1e-3, (s * margin).sum(), s.sum() + 1e-6
-        det = haa * hbb - hab * hab
-        da, db = (ga * hbb - gb * hab) / det, (gb * haa - ga * hab) / det
-        a, b = a + float(np.clip(da, -5, 5)), b + float(np.clip(db, -5, 5))
-    return max(a, 1e-3), b
+    unit = max(float(margin.std()), 1e-9)
+    x = np.stack([margin / unit, np.ones(len(y))], 1)
+    w = np.array([1.0, 0.0])
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - target * z).sum() + 1e-4 * (w @ w))
+
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        gradient = x.T @ (p - target) + 2e-4 * w
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 2e-4 * np.eye(2), gradient)
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) > loss(w):
+            size /= 2
+        w = w - size * step
+    return max(float(w[0]), 1e-3) / unit, float(w[1])
 
 
 SCALE = 40.0
