@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -212,12 +213,12 @@ def _told_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_place = first[-1]
 
 
-def _sorted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of segments with their bytes, sorted by h: spans of repeated windows (kind 0). Windows of a class over BLOCK bytes go on as hashes (kind 2)."""
+def _sorted_blocks(batches: Iterator[pa.RecordBatch], block: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """Of segments with their bytes, sorted by h: spans of repeated windows (kind 0). Windows of a class over about `block` bytes go on as hashes (kind 2)."""
     names = ("h", "doc", "tie", "lo")
     kept: dict[str, list] = {c: [] for c in (*names, "bytes")}
     size, since = 0, 0  # bytes held, and those of the last class
-    huge = None  # the class that goes on as hashes
+    last = huge = None  # the class of the last row, and the class that goes on as hashes
 
     def columns(n: int) -> tuple[np.ndarray, ...]:
         raw = kept["bytes"][:n]
@@ -256,37 +257,38 @@ def _sorted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     for batch in batches:
         for h, doc, tie, lo, raw in zip(*(batch.column(c).to_pylist() for c in (*names, "bytes")), strict=True):
-            if kept["h"] and kept["h"][-1] != h:
+            if last is not None and last != h:
                 if huge is not None:
-                    yield hashed(len(kept["h"]))
-                    drop(len(kept["h"]))
+                    if kept["h"]:
+                        yield hashed(len(kept["h"]))
+                        drop(len(kept["h"]))
                     size, huge = 0, None
-                elif size > BLOCK // 2:
+                elif size > block // 2:
                     yield suffix_sorted(len(kept["h"]))
                     drop(len(kept["h"]))
                     size = 0
                 since = 0
+            last = h
             for c, v in zip((*names, "bytes"), (h, doc, tie, lo, raw), strict=True):
                 kept[c].append(v)
             size, since = size + len(raw), since + len(raw)
-            if size > BLOCK:
+            if size > block:
                 # the last class alone may be too large: what is before it is sorted, the class goes on as hashes
                 n = next((k for k in range(len(kept["h"]) - 1, -1, -1) if kept["h"][k] != h), -1) + 1
                 if n:
                     yield suffix_sorted(n)
                     drop(n)
                     size = since
-                if huge is not None or size > BLOCK // 2:
+                if huge is not None or size > block // 2:
                     huge = h
                     yield hashed(len(kept["h"]))
-                    # one row stays, so that the class is known when it goes on; its windows are already out
                     drop(len(kept["h"]))
                     size = 0
     if kept["h"]:
         yield (hashed if huge is not None else suffix_sorted)(len(kept["h"]))
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """(doc, tie, lo, hi): spans of bytes of docs (doc, tie, text) that make up all repeated windows; they may overlap."""
     n = shuffle_partitions(docs.sparkSession)
     dealt = F.when(F.col("gone"), F.xxhash64("doc", "lo")).otherwise(F.xxhash64("h"))
@@ -304,7 +306,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         return {c: pa.array(v, k) for (c, v), k in zip(out.items(), kinds, strict=True)}
 
     cut = map_rows(docs.join(wanted, ["doc", "tie"]).select("doc", "tie", "text", "segs"), extract, "h long, doc long, tie int, lo int, bytes binary")
-    ordered = shared_table(cut.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_sorted_blocks, SPAN))
+    ordered = shared_table(cut.repartition(n, "h").sortWithinPartitions("h").mapInArrow(partial(_sorted_blocks, block=block), SPAN))
     hot = ordered.where("kind = 2")
     place = F.struct("doc", "tie", "lo")
     first = hot.groupBy("h", "w").agg(F.min(place).alias("first"))
@@ -331,24 +333,23 @@ def merged(spans: list, whole_characters: bytes | None = None) -> list[tuple[int
     return [(lo, hi) for lo, hi in runs if lo < hi]
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
-    """docs with `spans`, an array of (lo, hi) or null, of the repeated bytes of each row's text.
+def with_spans(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(document, text, spans): each row of docs as a struct, its text, and an array of (lo, hi) or null, the repeated bytes of the text.
 
     Rows are ordered by doc_id (null first); rows that repeat a doc_id with another text by a checksum of it, and rows that repeat both
     count as one document. Null texts and texts under LENGTH bytes have no spans.
     """
     again = docs.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
     tie = F.crc32(F.coalesce("text", F.lit(""))) - (1 << 31) if again else F.lit(0)
-    keyed = docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "tie": tie.cast("int")})
+    keyed = docs.select(F.struct(*docs.columns).alias("document"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), tie.cast("int").alias("tie"))
     source = keyed.select("doc", "tie", "text")
-    spans = repeated_spans(source.dropDuplicates(["doc", "tie"]) if again else source)
+    spans = repeated_spans(source.dropDuplicates(["doc", "tie"]) if again else source, block)
     lists = spans.groupBy("doc", "tie").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    return keyed.join(lists, ["doc", "tie"], "left").drop("doc", "tie")
+    return keyed.join(lists, ["doc", "tie"], "left").select("document", "text", "spans")
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """docs with the repeated bytes cut out of `text`. A character of which only a part is repeated stays whole, so that the text stays UTF-8."""
-    columns = docs.columns
 
     def kernel(batch: pa.RecordBatch) -> dict:
         texts = []
@@ -360,12 +361,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     at = hi
                 text = b"".join([*kept, raw[at:]]).decode()
             texts.append(text)
-        return {c: pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in columns}
+        return {"document": batch.column("document"), "text": pa.array(texts, pa.string())}
 
-    return map_rows(with_spans(docs), kernel, docs.schema)
+    rows = with_spans(docs, block)
+    cut = map_rows(rows, kernel, rows.select("document", "text").schema)
+    return cut.select(*(F.col("text") if c == "text" else F.col("document").getField(c).alias(c) for c in docs.columns))
 
 
-def repeat_digests(docs: DataFrame) -> DataFrame:
+def repeat_digests(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """For each row: n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 of the remaining bytes."""
 
     def kernel(batch: pa.RecordBatch) -> dict:
@@ -379,10 +382,10 @@ def repeat_digests(docs: DataFrame) -> DataFrame:
             digest.update(raw[at:])
             for c, v in zip(out, (len(raw), sum(hi - lo for lo, hi in runs), len(runs), digest.hexdigest()), strict=True):
                 out[c].append(v)
-        return {"doc_id": batch.column("doc_id")} | {c: pa.array(v, pa.string() if c == "kept_sha256" else pa.int64()) for c, v in out.items()}
+        return {"doc_id": batch.column("document").field("doc_id")} | {c: pa.array(v, pa.string() if c == "kept_sha256" else pa.int64()) for c, v in out.items()}
 
-    rows = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    return map_rows(rows.select("doc_id", "text", "spans"), kernel, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), block).withColumn("document", F.struct("document.doc_id"))
+    return map_rows(rows, kernel, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op7_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
