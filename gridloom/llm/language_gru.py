@@ -113,7 +113,7 @@ def windows_of(body: np.ndarray, offsets: np.ndarray, steps: int = STEPS) -> tup
 def document_probabilities(net: LanguageNet, body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The mean of the probabilities of all positions of each row; zeros for rows without bytes."""
     x, valid, before = windows_of(body, offsets)
-    sums = np.zeros((len(x), len(net.languages)))
+    sums = np.zeros((len(x), len(net.bias)))
     for a in range(0, len(x), 4096):
         p = net.positions(np.ascontiguousarray(x[a : a + 4096].T))
         inside = np.arange(STEPS)[:, None] < valid[a : a + 4096]
