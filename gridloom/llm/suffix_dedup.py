@@ -26,8 +26,10 @@ LENGTH = 100
 GRAM = 40
 #: Window starts that are handled at once; longer texts are read in pieces.
 PIECE = 1 << 20
-#: Bytes of segments that are suffix-sorted together. A larger class is told apart by hashes of its windows instead.
-BLOCK = 1_500_000
+#: Whole classes are suffix-sorted together until they have so many bytes.
+BLOCK = 750_000
+#: A class of more segments is not brought into one task: its windows are told apart by 128-bit hashes, with an ordinary aggregation.
+HOT = 1000
 
 
 def shared_table(df: DataFrame) -> DataFrame:
@@ -213,100 +215,80 @@ def _told_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_place = first[-1]
 
 
+def windows_of(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of segments put together; for each of their windows where it starts in them, its segment, and its place there."""
+    length = np.array([len(b) for b in raw], np.int64)
+    count = length - LENGTH + 1
+    seg = np.repeat(np.arange(len(raw)), count)
+    inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return np.frombuffer(b"".join(raw), np.uint8), np.repeat(np.cumsum(length) - length, count) + inner, seg, inner
+
+
 def _sorted_blocks(batches: Iterator[pa.RecordBatch], block: int = BLOCK) -> Iterator[pa.RecordBatch]:
-    """Of segments with their bytes, sorted by h: spans of repeated windows (kind 0). Windows of a class over about `block` bytes go on as hashes (kind 2)."""
-    names = ("h", "doc", "tie", "lo")
-    kept: dict[str, list] = {c: [] for c in (*names, "bytes")}
-    size, since = 0, 0  # bytes held, and those of the last class
-    last = huge = None  # the class of the last row, and the class that goes on as hashes
-
-    def columns(n: int) -> tuple[np.ndarray, ...]:
-        raw = kept["bytes"][:n]
-        length = np.array([len(b) for b in raw])
-        count = length - LENGTH + 1
-        seg = np.repeat(np.arange(n), count)
-        inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        return np.frombuffer(b"".join(raw), np.uint8), np.repeat(np.cumsum(length) - length, count) + inner, seg, inner
-
-    def rows(n: int, pick: np.ndarray, seg: np.ndarray, inner: np.ndarray) -> list[np.ndarray]:
-        get = [np.array(kept[c][:n])[seg[pick]] for c in names]
-        return [*get[:3], get[3] + inner[pick]]
-
-    def drop(n: int) -> None:
-        for c in kept:
-            del kept[c][:n]
-
-    def suffix_sorted(n: int) -> pa.RecordBatch:
-        text, starts, seg, inner = columns(n)
-        doc, tie, lo = (np.array(kept[c][:n], np.int64) for c in names[1:])
+    """Of segments with their bytes, sorted by h: spans of repeated windows (kind 0). Hashed windows (kind 2) pass through."""
+    kept: dict[str, list] = {c: [] for c in ("doc", "tie", "lo", "bytes")}
+    last, size = None, 0
+
+    def suffix_sorted() -> pa.RecordBatch:
+        text, starts, seg, inner = windows_of(kept["bytes"])
+        doc, tie, lo = (np.array(kept[c], np.int64) for c in ("doc", "tie", "lo"))
         order = np.lexsort((lo, tie, doc))
         # places in the order of (doc, tie, start): a rank for each text, then the start
-        rank = np.zeros(n, np.int64)
+        rank = np.zeros(len(doc), np.int64)
         rank[order] = np.cumsum(np.concatenate([[0], ((np.diff(doc[order]) != 0) | (np.diff(tie[order]) != 0)).astype(np.int64)]))
         pick = np.flatnonzero(repeated_starts(text, starts, (rank[seg] << 32) | (lo[seg] + inner)))
-        _, d, t, at = rows(n, pick, seg, inner)
-        return _spans(0, 0, 0, d, t, at, at + LENGTH)
-
-    def hashed(n: int) -> pa.RecordBatch:
-        text, starts, seg, inner = columns(n)
-        prefix = prefix_hash(text)
-        h = span_hash(prefix, starts, starts + LENGTH)
-        other = span_hash(prefix_hash(mix(text.astype(np.uint64))), starts, starts + LENGTH)
-        _, d, t, at = rows(n, np.arange(len(seg)), seg, inner)
-        return _spans(2, h.view(np.int64), other.view(np.int64), d, t, at, at + LENGTH)
+        at = lo[seg[pick]] + inner[pick]
+        return _spans(0, 0, 0, doc[seg[pick]], tie[seg[pick]], at, at + LENGTH)
 
     for batch in batches:
-        for h, doc, tie, lo, raw in zip(*(batch.column(c).to_pylist() for c in (*names, "bytes")), strict=True):
-            if last is not None and last != h:
-                if huge is not None:
-                    if kept["h"]:
-                        yield hashed(len(kept["h"]))
-                        drop(len(kept["h"]))
-                    size, huge = 0, None
-                elif size > block // 2:
-                    yield suffix_sorted(len(kept["h"]))
-                    drop(len(kept["h"]))
-                    size = 0
-                since = 0
-            last = h
-            for c, v in zip((*names, "bytes"), (h, doc, tie, lo, raw), strict=True):
+        kind = batch.column("kind").to_numpy()
+        if (kind == 2).any():
+            hashed = batch.filter(pa.array(kind == 2))
+            yield hashed.select([c.split()[0] for c in SPAN.split(", ")])
+            batch = batch.filter(pa.array(kind != 2))
+        for h, *row in zip(*(batch.column(c).to_pylist() for c in ("h", *kept)), strict=True):
+            if h != last and size > block:
+                yield suffix_sorted()
+                size = 0
+                for c in kept:
+                    kept[c].clear()
+            last, size = h, size + len(row[-1])
+            for c, v in zip(kept, row, strict=True):
                 kept[c].append(v)
-            size, since = size + len(raw), since + len(raw)
-            if size > block:
-                # the last class alone may be too large: what is before it is sorted, the class goes on as hashes
-                n = next((k for k in range(len(kept["h"]) - 1, -1, -1) if kept["h"][k] != h), -1) + 1
-                if n:
-                    yield suffix_sorted(n)
-                    drop(n)
-                    size = since
-                if huge is not None or size > block // 2:
-                    huge = h
-                    yield hashed(len(kept["h"]))
-                    drop(len(kept["h"]))
-                    size = 0
-    if kept["h"]:
-        yield (hashed if huge is not None else suffix_sorted)(len(kept["h"]))
-
-
-def repeated_spans(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    if kept["doc"]:
+        yield suffix_sorted()
+
+
+def _extracted(batch: pa.RecordBatch) -> dict:
+    """The segments (segs) of texts with their bytes (kind 1); of hot classes instead hashes h, w of each window (kind 2)."""
+    rows = []
+    for doc, tie, text, segs in zip(*(batch.column(c).to_pylist() for c in ("doc", "tie", "text", "segs")), strict=True):
+        raw = (text or "").encode()
+        rows += [(s["h"], doc, tie, s["lo"], s["hi"], s["hot"], raw[s["lo"] : s["hi"] + LENGTH]) for s in segs]
+    plain, hot = [r for r in rows if not r[5]], [r for r in rows if r[5]]
+    text, starts, seg, inner = windows_of([r[6] for r in hot])
+    h, w = (span_hash(prefix_hash(t), starts, starts + LENGTH).view(np.int64) for t in (text, mix(text.astype(np.uint64))))
+    doc, tie, lo = (np.array([r[k] for r in hot], np.int64)[seg] for k in (1, 2, 3))
+    both = lambda k, values: np.concatenate([np.array([r[k] for r in plain], np.int64), values])
+    at = both(3, lo + inner)
+    return {
+        "kind": np.concatenate([np.ones(len(plain)), np.full(len(seg), 2)]).astype(np.int32), "h": both(0, h), "w": np.concatenate([np.zeros(len(plain), np.int64), w]),
+        "doc": both(1, doc), "tie": both(2, tie).astype(np.int32), "lo": at.astype(np.int32), "hi": (at + LENGTH).astype(np.int32),
+        "bytes": pa.array([*(r[6] for r in plain), *[None] * len(seg)], pa.binary()),
+    }
+
+
+def repeated_spans(docs: DataFrame, block: int = BLOCK, hot_class: int = HOT) -> DataFrame:
     """(doc, tie, lo, hi): spans of bytes of docs (doc, tie, text) that make up all repeated windows; they may overlap."""
     n = shuffle_partitions(docs.sparkSession)
     dealt = F.when(F.col("gone"), F.xxhash64("doc", "lo")).otherwise(F.xxhash64("h"))
     apart = shared_table(_cut(docs).repartition(n, dealt).sortWithinPartitions("gone", "h", "seg", "doc", "tie", "lo").mapInArrow(_told_apart, SPAN))
-    wanted = apart.where("kind = 1").groupBy("doc", "tie").agg(F.collect_list(F.struct("h", "lo", "hi")).alias("segs"))
-
-    def extract(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {c: [] for c in ("h", "doc", "tie", "lo", "bytes")}
-        for doc, tie, text, segs in zip(*(batch.column(c).to_pylist() for c in ("doc", "tie", "text", "segs")), strict=True):
-            raw = (text or "").encode()
-            for s in segs:
-                for c, v in zip(out, (s["h"], doc, tie, s["lo"], raw[s["lo"] : s["hi"] + LENGTH]), strict=True):
-                    out[c].append(v)
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        return {c: pa.array(v, k) for (c, v), k in zip(out.items(), kinds, strict=True)}
-
-    cut = map_rows(docs.join(wanted, ["doc", "tie"]).select("doc", "tie", "text", "segs"), extract, "h long, doc long, tie int, lo int, bytes binary")
-    ordered = shared_table(cut.repartition(n, "h").sortWithinPartitions("h").mapInArrow(partial(_sorted_blocks, block=block), SPAN))
+    firsts = apart.where("kind = 1").select("h", "doc", "tie", "lo", "hi")
+    hot = firsts.groupBy("h").count().where(F.col("count") > hot_class).select("h", F.lit(True).alias("hot"))
+    wanted = firsts.join(hot, "h", "left").groupBy("doc", "tie").agg(F.collect_list(F.struct("h", "lo", "hi", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("segs"))
+    cut = map_rows(docs.join(wanted, ["doc", "tie"]).select("doc", "tie", "text", "segs"), _extracted, f"{SPAN}, bytes binary")
+    dealt = F.when(F.col("kind") == 2, F.xxhash64("h", "w", "doc")).otherwise(F.xxhash64("h"))
+    ordered = shared_table(cut.repartition(n, dealt).sortWithinPartitions("kind", "h").mapInArrow(partial(_sorted_blocks, block=block), SPAN))
     hot = ordered.where("kind = 2")
     place = F.struct("doc", "tie", "lo")
     first = hot.groupBy("h", "w").agg(F.min(place).alias("first"))
@@ -333,7 +315,7 @@ def merged(spans: list, whole_characters: bytes | None = None) -> list[tuple[int
     return [(lo, hi) for lo, hi in runs if lo < hi]
 
 
-def with_spans(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def with_spans(docs: DataFrame, block: int = BLOCK, hot_class: int = HOT) -> DataFrame:
     """(document, text, spans): each row of docs as a struct, its text, and an array of (lo, hi) or null, the repeated bytes of the text.
 
     Rows are ordered by doc_id (null first); rows that repeat a doc_id with another text by a checksum of it, and rows that repeat both
@@ -343,12 +325,12 @@ def with_spans(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     tie = F.crc32(F.coalesce("text", F.lit(""))) - (1 << 31) if again else F.lit(0)
     keyed = docs.select(F.struct(*docs.columns).alias("document"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), tie.cast("int").alias("tie"))
     source = keyed.select("doc", "tie", "text")
-    spans = repeated_spans(source.dropDuplicates(["doc", "tie"]) if again else source, block)
+    spans = repeated_spans(source.dropDuplicates(["doc", "tie"]) if again else source, block, hot_class)
     lists = spans.groupBy("doc", "tie").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     return keyed.join(lists, ["doc", "tie"], "left").select("document", "text", "spans")
 
 
-def remove_repeats(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def remove_repeats(docs: DataFrame, block: int = BLOCK, hot_class: int = HOT) -> DataFrame:
     """docs with the repeated bytes cut out of `text`. A character of which only a part is repeated stays whole, so that the text stays UTF-8."""
 
     def kernel(batch: pa.RecordBatch) -> dict:
@@ -363,12 +345,12 @@ def remove_repeats(docs: DataFrame, block: int = BLOCK) -> DataFrame:
             texts.append(text)
         return {"document": batch.column("document"), "text": pa.array(texts, pa.string())}
 
-    rows = with_spans(docs, block)
+    rows = with_spans(docs, block, hot_class)
     cut = map_rows(rows, kernel, rows.select("document", "text").schema)
     return cut.select(*(F.col("text") if c == "text" else F.col("document").getField(c).alias(c) for c in docs.columns))
 
 
-def repeat_digests(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def repeat_digests(docs: DataFrame, block: int = BLOCK, hot_class: int = HOT) -> DataFrame:
     """For each row: n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 of the remaining bytes."""
 
     def kernel(batch: pa.RecordBatch) -> dict:
@@ -384,7 +366,7 @@ def repeat_digests(docs: DataFrame, block: int = BLOCK) -> DataFrame:
                 out[c].append(v)
         return {"doc_id": batch.column("document").field("doc_id")} | {c: pa.array(v, pa.string() if c == "kept_sha256" else pa.int64()) for c, v in out.items()}
 
-    rows = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), block).withColumn("document", F.struct("document.doc_id"))
+    rows = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), block, hot_class).withColumn("document", F.struct("document.doc_id"))
     return map_rows(rows, kernel, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 

@@ -261,15 +261,15 @@ def test_suffix_array():
         assert suffix_dedup.suffix_array(x).tolist() == sorted(range(len(x)), key=lambda i: x[i:].tolist())
 
 
-@pytest.mark.parametrize("block", [suffix_dedup.BLOCK, 3000])
-def test_suffix_dedup(spark, block):
+@pytest.mark.parametrize(("block", "hot"), [(suffix_dedup.BLOCK, suffix_dedup.HOT), (1000, 1000), (suffix_dedup.BLOCK, 5), (1000, 0)])
+def test_suffix_dedup(spark, block, hot):
     rng = random.Random(21)
     passage = prose(rng, 60)
     docs = list(enumerate(odd_texts()))
     docs += [(len(docs) + k, prose(rng, rng.randint(0, 40)) + " " + passage[rng.randint(0, 60) :] + " " + prose(rng, 30)) for k in range(25)]
     docs.append((len(docs), "zy" * 400 + passage + "zy" * 300))
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.repeat_digests(df, block).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.repeat_digests(df, block, hot).collect()}
     assert got == removed(docs)
 
 
