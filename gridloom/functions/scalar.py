@@ -15,8 +15,8 @@ def div_floor(a: Column, b: Column) -> Column:
 
 
 def _div(a: Column, b: Column) -> Column:
-    """Truncating quotient. Spark's `div` has no function name; a less the remainder is divisible, so the quotient is exact."""
-    return ((a.cast("bigint") - _rem(a, b)).cast("decimal(20,0)") / b.cast("bigint").cast("decimal(20,0)")).cast("bigint")
+    """Truncating quotient, as bigint."""
+    return F.call_function("div", a.cast("bigint"), b.cast("bigint"))
 
 
 def _rem(a: Column, b: Column) -> Column:

@@ -311,7 +311,7 @@ def copy_strided(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.copy_region(source, [10], [5], [40], [3], [2]).df
 
 
-@query("SELECT p_partkey AS d0, p_size * 2.5 + p_partkey AS v FROM part")
+@query("SELECT p_partkey AS d0, CAST(p_size * 2.5 + p_partkey AS DOUBLE) AS v FROM part")
 def struct_arg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A struct argument: fields that share a shape are one struct column."""
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("d0"), F.struct(F.col("p_size").alias("a"), F.col("p_partkey").alias("b")).alias("s"))
