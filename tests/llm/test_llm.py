@@ -364,3 +364,18 @@ def test_url_filters(spark, tmp_path):
 def test_queries_are_registered():
     names = list(queries.QUERIES)
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11)) and set(queries.ORACLE_SQL) <= set(names)
+
+
+@pytest.mark.parametrize("name", queries.ORACLE_SQL)
+def test_query_equals_sql(spark, name):
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    try:
+        for t in ("documents", "pages", "benchmark", "labels"):
+            con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    except duckdb.IOException:
+        pytest.skip("needs the test tables")
+    found = con.sql(queries.ORACLE_SQL[name])
+    columns, rows = found.columns, found.fetchall()
+    assert rows or name.startswith("op3")
+    same(queries.QUERIES[name](spark, folder), columns, rows)
