@@ -19,8 +19,8 @@ from gridloom.llm.suffix_dedup import remove_repeats, shared_table
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, trained on `labels`, doesn't reject."""
     model = train_quality(docs, table(spark, sf_dir, "labels"))
-    whole = docs.select(F.struct(*docs.columns).alias("document"), "text")
-    return score_quality(whole, model, ["document"]).where("predicted = 1").select("document.*")
+    whole = docs.select(F.struct(*docs.columns).alias("document"))
+    return score_quality(whole, model, ["document"], "document.text").where("predicted = 1").select("document.*")
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

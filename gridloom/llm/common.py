@@ -62,6 +62,15 @@ def map_rows(df: DataFrame, kernel: Callable[[pa.RecordBatch], dict], schema: ob
     return df.mapInArrow(run, schema)
 
 
+def column_at(batch: pa.RecordBatch, path: str) -> pa.Array:
+    """A column, or the field of a struct column as 'column.field'."""
+    first, *rest = path.split(".")
+    found = batch.column(first)
+    for name in rest:
+        found = found.field(name)
+    return found
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column, and where each row starts in them (one more entry than rows); nulls are empty."""
     column = column.cast(pa.large_binary()).fill_null(b"")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, map_rows, table
+from .common import column_at, fold, map_rows, table
 
 #: The most labelled rows that a model is fitted on: those with the smallest hash of doc_id.
 SAMPLE_ROWS = 20_000
@@ -164,16 +164,19 @@ def train_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     return fit_gam(x[order], got["quality"].to_numpy(dtype=float)[order]) if len(x) else fit_gam(x, np.zeros(0))
 
 
-def score_quality(docs: DataFrame, model: PairwiseGam, keep: list[str] | None = None) -> DataFrame:
+def score_quality(docs: DataFrame, model: PairwiseGam, keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """The columns `keep` of docs (default: doc_id) with `score`, the probability of label 1, and `predicted` (1 from 0.5 on).
 
-    Every row gets a score from its whole text; null and empty texts that of a text without words.
+    Every row gets a score from its whole text; null and empty texts that of a text without words. `text` may be a field of a kept struct
+    ('document.text'), so that the text goes to Python once.
     """
     keep = keep or ["doc_id"]
-    rows = docs.select(*keep, F.col("text").alias("_text"))
+    inside = text.split(".")[0] in keep
+    rows = docs.select(*keep) if inside else docs.select(*keep, F.col(text).alias("_text"))
+    place = text if inside else "_text"
 
     def kernel(batch: pa.RecordBatch) -> dict:
-        x = np.array([text_features(t) for t in batch.column("_text").to_pylist()], dtype=float).reshape(-1, len(FEATURES))
+        x = np.array([text_features(t) for t in column_at(batch, place).to_pylist()], dtype=float).reshape(-1, len(FEATURES))
         score = model.score(x)
         return {c: batch.column(c) for c in keep} | {"score": score, "predicted": (score >= 0.5).astype(np.int32)}
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir, map_rows, mix, prefix_hash, shuffle_partitions, span_hash, table, text_bytes
+from .common import column_at, ensure_checkpoint_dir, map_rows, mix, prefix_hash, shuffle_partitions, span_hash, table, text_bytes
 
 LENGTH = 100
 GRAM = 40
@@ -316,18 +316,18 @@ def merged(spans: list, whole_characters: bytes | None = None) -> list[tuple[int
 
 
 def with_spans(docs: DataFrame, block: int = BLOCK, hot_class: int = HOT) -> DataFrame:
-    """(document, text, spans): each row of docs as a struct, its text, and an array of (lo, hi) or null, the repeated bytes of the text.
+    """(document, spans): each row of docs as a struct, and an array of (lo, hi) or null, the repeated bytes of its text.
 
     Rows are ordered by doc_id (null first); rows that repeat a doc_id with another text by a checksum of it, and rows that repeat both
     count as one document. Null texts and texts under LENGTH bytes have no spans.
     """
     again = docs.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
     tie = F.crc32(F.coalesce("text", F.lit(""))) - (1 << 31) if again else F.lit(0)
-    keyed = docs.select(F.struct(*docs.columns).alias("document"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), tie.cast("int").alias("tie"))
-    source = keyed.select("doc", "tie", "text")
+    keyed = docs.select(F.struct(*docs.columns).alias("document"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), tie.cast("int").alias("tie"))
+    source = keyed.select("doc", "tie", "document.text")
     spans = repeated_spans(source.dropDuplicates(["doc", "tie"]) if again else source, block, hot_class)
     lists = spans.groupBy("doc", "tie").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    return keyed.join(lists, ["doc", "tie"], "left").select("document", "text", "spans")
+    return keyed.join(lists, ["doc", "tie"], "left").select("document", "spans")
 
 
 def remove_repeats(docs: DataFrame, block: int = BLOCK, hot_class: int = HOT) -> DataFrame:
@@ -335,7 +335,7 @@ def remove_repeats(docs: DataFrame, block: int = BLOCK, hot_class: int = HOT) ->
 
     def kernel(batch: pa.RecordBatch) -> dict:
         texts = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+        for text, spans in zip(column_at(batch, "document.text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             if spans:
                 raw, at, kept = text.encode(), 0, []
                 for lo, hi in merged(spans, raw):
@@ -346,7 +346,7 @@ def remove_repeats(docs: DataFrame, block: int = BLOCK, hot_class: int = HOT) ->
         return {"document": batch.column("document"), "text": pa.array(texts, pa.string())}
 
     rows = with_spans(docs, block, hot_class)
-    cut = map_rows(rows, kernel, rows.select("document", "text").schema)
+    cut = map_rows(rows, kernel, rows.select("document", "document.text").schema)
     return cut.select(*(F.col("text") if c == "text" else F.col("document").getField(c).alias(c) for c in docs.columns))
 
 
@@ -355,7 +355,7 @@ def repeat_digests(docs: DataFrame, block: int = BLOCK, hot_class: int = HOT) ->
 
     def kernel(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")}
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+        for text, spans in zip(column_at(batch, "document.text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             raw, at = (text or "").encode(), 0
             runs, digest = merged(spans), hashlib.sha256()
             for lo, hi in runs:
@@ -364,9 +364,9 @@ def repeat_digests(docs: DataFrame, block: int = BLOCK, hot_class: int = HOT) ->
             digest.update(raw[at:])
             for c, v in zip(out, (len(raw), sum(hi - lo for lo, hi in runs), len(runs), digest.hexdigest()), strict=True):
                 out[c].append(v)
-        return {"doc_id": batch.column("document").field("doc_id")} | {c: pa.array(v, pa.string() if c == "kept_sha256" else pa.int64()) for c, v in out.items()}
+        return {"doc_id": column_at(batch, "document.doc_id")} | {c: pa.array(v, pa.string() if c == "kept_sha256" else pa.int64()) for c, v in out.items()}
 
-    rows = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), block, hot_class).withColumn("document", F.struct("document.doc_id"))
+    rows = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), block, hot_class)
     return map_rows(rows, kernel, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
