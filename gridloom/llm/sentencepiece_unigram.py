@@ -18,7 +18,7 @@ MARKER = "▁"
 #: A character that no piece covers costs so much more than the least likely piece.
 UNKNOWN_PENALTY = 10.0
 #: Words whose pieces a worker remembers at most.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 _RUN = re.compile(" *[^ ]+| +")
 #: Bytes of a UTF-8 character by its first byte; following bytes have 0.
 _CHAR = np.zeros(256, np.int64)
