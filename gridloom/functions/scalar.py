@@ -177,7 +177,7 @@ def key_value(value: Column, key: Column) -> Column:
 
 def key_value_less(a: Column, b: Column) -> Column:
     """The order of two pairs; values that don't compare (NaN) count as a tie, which the key decides."""
-    return F.when(a["value"].cast("double").isNull(), F.lit(None)).when(_ordered(a, b) & (a["value"] < b["value"]), True).when(_ordered(a, b) & (a["value"] > b["value"]), False).otherwise(a["key"] < b["key"])
+    return F.when(_ordered(a, b) & (a["value"] < b["value"]), True).when(_ordered(a, b) & (a["value"] > b["value"]), False).otherwise(a["key"] < b["key"])
 
 
 def _ordered(a: Column, b: Column) -> Column:

@@ -14,10 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.dtypes import scalar_type
 from ..functions.geometry import Bounds
 from ..plans.domain import AXES, Distribution, into_domain
-from ..plans.mapper import ALL, IndexMap
+from ..plans.mapper import IndexMap, region
 from .access import Access, _access, check_aliases
 from .arrayframe import ArrayFrame, coordinates, index_space
 from .reduce import reduce_cells
@@ -187,8 +186,6 @@ def parallel_submit(spark: SparkSession, domain: object, kernel: ChunkKernel, ta
     f = kernel.f
 
     def run(table: pa.Table) -> pa.Table:
-        from ..plans.mapper import region
-
         arg = table.column("arg").to_numpy()
         head = int(np.flatnonzero(arg == -1)[0])
         place = [int(table.column(f"i{k}")[head].as_py()) for k in range(2 * AXES)]
@@ -235,6 +232,3 @@ def _inferred_chunk(chunks: DataFrame, target: Access) -> tuple[int, ...] | None
 def submit(spark: SparkSession, kernel: ChunkKernel, target: Access, *args: object) -> ArrayFrame:
     """One task over a single chunk."""
     return parallel_submit(spark, ([1], [1]), kernel, target, *args)
-
-
-__all__ = ["ALL", "ChunkKernel", "ExprKernel", "elementwise", "expand", "parallel_submit", "reduce_elements", "scalar_type", "submit", "touched_cells"]

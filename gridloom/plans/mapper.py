@@ -128,7 +128,6 @@ class OneToOne:
 
 
 ALL, ONE_TO_ONE = All(), OneToOne()
-AxisLike = "int | IndexMap | All"
 
 
 def index_map(m: int | IndexMap | All) -> IndexMap:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import geometry as G
 from .functions import scalar as S
 from .functions.dtypes import TYPES
-from .operators.access import Access, privatize, reduce, write
+from .operators.access import privatize, reduce, write
 from .operators.arrayframe import ArrayFrame, index_space
 from .operators.reduce import aggregate, arg_min, reduce_cells
 from .operators.submit import ChunkKernel, ExprKernel, elementwise, parallel_submit, reduce_elements
@@ -357,6 +357,3 @@ def scatter_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places within ragged rows, as needed to make an array of contributions."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("d0"), "l_linenumber", (F.row_number().over(w) - 1).cast("bigint").alias("place"))
-
-
-__all__ = ["ORACLE_SQL", "QUERIES", "Access"]
