@@ -284,7 +284,8 @@ def repeated_spans(docs: DataFrame, block: int = BLOCK, hot_class: int = HOT) ->
     dealt = F.when(F.col("gone"), F.xxhash64("doc", "lo")).otherwise(F.xxhash64("h"))
     apart = shared_table(_cut(docs).repartition(n, dealt).sortWithinPartitions("gone", "h", "seg", "doc", "tie", "lo").mapInArrow(_told_apart, SPAN))
     firsts = apart.where("kind = 1").select("h", "doc", "tie", "lo", "hi")
-    hot = firsts.groupBy("h").count().where(F.col("count") > hot_class).select("h", F.lit(True).alias("hot"))
+    # written, so that the join below is a plain one of two tables: small ones are broadcast by their size, else skewed partitions are split
+    hot = shared_table(firsts.groupBy("h").count().where(F.col("count") > hot_class).select("h", F.lit(True).alias("hot")))
     wanted = firsts.join(hot, "h", "left").groupBy("doc", "tie").agg(F.collect_list(F.struct("h", "lo", "hi", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("segs"))
     cut = map_rows(docs.join(wanted, ["doc", "tie"]).select("doc", "tie", "text", "segs"), _extracted, f"{SPAN}, bytes binary")
     dealt = F.when(F.col("kind") == 2, F.xxhash64("h", "w", "doc")).otherwise(F.xxhash64("h"))
