@@ -42,6 +42,17 @@ def embedding_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("d0"), F.posexplode("embedding").alias("d1", "v")).select("d0", F.col("d1").cast("bigint").alias("d1"), "v")
 
 
+def shape_of(cells: DataFrame, *coords: str) -> list[int]:
+    """The smallest shape that holds all cells: the greatest coordinate of each axis plus one (0 without cells)."""
+    return [0 if m is None else m + 1 for m in cells.agg(*(F.max(c) for c in coords)).first()]
+
+
+def embedding_array(spark: SparkSession, sf_dir: str) -> ArrayFrame:
+    """embeddings as a whole, in the shape that the table has."""
+    cells = embedding_cells(spark, sf_dir)
+    return from_table(cells, ["d0", "d1"], "v", shape_of(cells, "d0", "d1"), "Float32")
+
+
 def cents() -> Column:
     """o_totalprice in whole cents, cut off."""
     return (F.col("o_totalprice") * 100).cast("bigint")
@@ -112,19 +123,31 @@ def argmin_keyvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT vec_id AS d0, CAST(i AS BIGINT) AS d1, CAST(vec_id * 64 + i AS BIGINT) AS row_major, CAST(vec_id + i * 500 AS BIGINT) AS column_major
 FROM (SELECT vec_id, unnest(range(len(embedding))) AS i FROM embeddings WHERE vec_id < 100)""")
 def linear_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 100 vectors in an array of 500, as its SQL has it; linear_index_all has every vector."""
     a = from_table(embedding_cells(spark, sf_dir), ["d0", "d1"], "v", [500, 64], "Float32").slice(G.Bounds.of([100, 64]))
     whole = ArrayFrame(spark, [500, 64], "Float32")
     return a.df.select("d0", "d1", whole.linear_index("row").alias("row_major"), whole.linear_index("column").alias("column_major"))
 
 
+@query("""WITH s AS (SELECT max(vec_id) + 1 AS n, max(len(embedding)) AS m FROM embeddings)
+SELECT vec_id AS d0, CAST(i AS BIGINT) AS d1, CAST(vec_id * m + i AS BIGINT) AS row_major, CAST(vec_id + i * n AS BIGINT) AS column_major
+FROM (SELECT vec_id, unnest(range(len(embedding))) AS i FROM embeddings), s""")
+def linear_index_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both linear indexes of every cell, with the strides of the table's own shape."""
+    a = embedding_array(spark, sf_dir)
+    return a.df.select("d0", "d1", a.linear_index("row").alias("row_major"), a.linear_index("column").alias("column_major"))
+
+
 @query("SELECT CAST(i AS BIGINT) AS d0, v FROM (SELECT unnest(range(len(embedding))) AS i, unnest(embedding) AS v FROM embeddings WHERE vec_id = 7)")
 def view_drop_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_table(embedding_cells(spark, sf_dir), ["d0", "d1"], "v", [500, 64], "Float32").drop_axis(0, 7).df
+    return embedding_array(spark, sf_dir).drop_axis(0, 7).df
 
 
 @query("SELECT o_orderkey - 250 AS d0, CAST(trunc(o_totalprice * 100) AS BIGINT) AS v FROM orders WHERE o_orderkey >= 300 AND o_orderkey < 700")
 def view_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = from_table(table(spark, sf_dir, "orders"), ["o_orderkey"], cents(), [1000], I64)
+    """A view of a slice, which is what the query is of: 400 keys, moved to start at 50."""
+    orders = table(spark, sf_dir, "orders")
+    a = from_table(orders, ["o_orderkey"], cents(), shape_of(orders, "o_orderkey"), I64)
     return a.slice(G.Bounds.of([(300, 700)])).shift_axis_to(0, 50).df
 
 
@@ -154,8 +177,20 @@ def total_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT a.d0 AS d0, b.d0 AS d1, CAST(round(sum(CAST(a.v AS DOUBLE) * CAST(b.v AS DOUBLE)), 4) + 0.0 AS DOUBLE) AS v
 FROM {_EMBEDDED} a JOIN {_EMBEDDED} b ON a.d1 = b.d1 WHERE a.d0 < 20 AND b.d0 < 20 GROUP BY 1, 2""")
 def matmul_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The products of the first 20 vectors, as its SQL has it; matmul_gram_all has those of every two."""
+    return gram(embedding_cells(spark, sf_dir).where("d0 < 20"))
+
+
+@query("""SELECT a.vec_id AS d0, b.vec_id AS d1, round(list_dot_product(CAST(CAST(a.embedding AS DECIMAL(20, 8)[]) AS DOUBLE[]), CAST(CAST(b.embedding AS DECIMAL(20, 8)[]) AS DOUBLE[])), 4) + 0.0 AS v
+FROM embeddings a, embeddings b""")
+def matmul_gram_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The products of every two vectors of the table."""
+    return gram(embedding_cells(spark, sf_dir))
+
+
+def gram(cells: DataFrame) -> DataFrame:
     """A contraction over the shared axis: an equi-join and a sum."""
-    a = embedding_cells(spark, sf_dir).where("d0 < 20").select("d0", F.col("d1").alias("k"), F.col("v").cast("decimal(20,8)").cast("double").alias("a"))
+    a = cells.select("d0", F.col("d1").alias("k"), F.col("v").cast("decimal(20,8)").cast("double").alias("a"))
     b = a.select(F.col("d0").alias("d1"), "k", F.col("a").alias("b"))
     return a.join(b, "k").groupBy("d0", "d1").agg((F.round(F.sum(F.col("a") * F.col("b")), 4) + 0.0).alias("v"))
 
@@ -190,15 +225,26 @@ def point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _part_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").where("p_partkey < 400").select("p_partkey", G.range_struct(F.col("p_partkey"), F.col("p_partkey") + F.col("p_size")).alias("r"))
+    return table(spark, sf_dir, "part").select("p_partkey", G.range_struct(F.col("p_partkey"), F.col("p_partkey") + F.col("p_size")).alias("r"))
 
 
 @query("""SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND a.p_size > 0 AND b.p_size > 0
 AND a.p_partkey < b.p_partkey + b.p_size AND b.p_partkey < a.p_partkey + a.p_size WHERE a.p_partkey < 400 AND b.p_partkey < 400""")
 def bounds_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranges of parts under 400, as its SQL has it; bounds_overlaps_all has those of every part."""
+    return overlapping(_part_ranges(spark, sf_dir).where("p_partkey < 400"))
+
+
+@query("""SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND a.p_size > 0 AND b.p_size > 0
+AND a.p_partkey < b.p_partkey + b.p_size AND b.p_partkey < a.p_partkey + a.p_size""")
+def bounds_overlaps_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranges of every part against each other."""
+    return overlapping(_part_ranges(spark, sf_dir))
+
+
+def overlapping(r: DataFrame) -> DataFrame:
     """An interval join: ranges are cut at multiples of 64, so that those that overlap share a cell, which is the equi-join key."""
     cell = 64
-    r = _part_ranges(spark, sf_dir)
     cells = r.where(~G.range_is_empty(F.col("r"))).withColumn("cell", F.explode(F.sequence(S.div_floor(F.col("r.begin"), F.lit(cell)), S.div_floor(F.col("r.end") - 1, F.lit(cell)))))
     a, b = cells.alias("a"), cells.alias("b")
     meet = (F.col("a.cell") == F.col("b.cell")) & (F.col("a.p_partkey") < F.col("b.p_partkey")) & G.range_overlaps(F.col("a.r"), F.col("b.r"))
@@ -238,8 +284,9 @@ def tile_domain_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT vec_id // 15 * 7 + i // 10 AS chunk_id, count(*) AS cells FROM (SELECT vec_id, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY 1""")
 def distribution_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many cells of the embeddings lie in each chunk of 15 x 10."""
-    grid = Distribution([500, 64], [15, 10])
-    return embedding_cells(spark, sf_dir).groupBy(grid.chunk_id([F.col("d0"), F.col("d1")]).alias("chunk_id")).agg(F.count("*").alias("cells"))
+    cells = embedding_cells(spark, sf_dir)
+    grid = Distribution(shape_of(cells, "d0", "d1"), [15, 10])
+    return cells.groupBy(grid.chunk_id([F.col("d0"), F.col("d1")]).alias("chunk_id")).agg(F.count("*").alias("cells"))
 
 
 @query("""SELECT CAST(i AS BIGINT) AS chunk_id, CAST(i // 3 * 15 AS BIGINT) AS o0, CAST(i % 3 * 10 AS BIGINT) AS o1,
@@ -290,9 +337,21 @@ def vector_add(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey AS d0, CAST(trunc(o_totalprice * 100) AS BIGINT) + o_orderkey AS v FROM orders WHERE o_orderkey < 1000")
 def vector_add_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 1000 keys, as its SQL has it; vector_add_zip_all adds those of every order."""
+    return zipped(table(spark, sf_dir, "orders").where("o_orderkey < 1000"), 1000)
+
+
+@query("SELECT o_orderkey AS d0, CAST(trunc(o_totalprice * 100) AS BIGINT) + o_orderkey AS v FROM orders")
+def vector_add_zip_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order, in an array as long as the keys go."""
+    orders = table(spark, sf_dir, "orders")
+    return zipped(orders, *shape_of(orders, "o_orderkey"))
+
+
+def zipped(orders: DataFrame, n: int) -> DataFrame:
     """C = A + B of separate arrays, which meet by their coordinate."""
-    n = 1000
-    a = from_table(table(spark, sf_dir, "orders").where(F.col("o_orderkey") < n), ["o_orderkey"], cents(), [n], I64)
+    spark = orders.sparkSession
+    a = from_table(orders, ["o_orderkey"], cents(), [n], I64)
     b, c = ArrayFrame(spark, [n], I64).iota(), ArrayFrame(spark, [n], I64)
     x = axis(0)
     return elementwise(spark, [n], ExprKernel(lambda d, u, v: u + v), write(c[x]), a[x], b[x]).df

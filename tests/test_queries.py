@@ -33,6 +33,31 @@ def test_query_equals_sql(spark, name):
     assert rows(df.columns, df.collect()) == rows(want.columns, want.fetchall())
 
 
+def test_queries_of_whole_tables(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    e = rng.integers(-99, 99, (530, 3)) / 8  # more vectors than the arrays of the bounded queries have
+    spark.createDataFrame([(k, row.tolist()) for k, row in enumerate(e)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    size = rng.integers(0, 9, 450).tolist()
+    spark.createDataFrame(list(enumerate(size)), "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(k, k + 0.5) for k in range(1300)], "o_orderkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+
+    def run(name):
+        return [tuple(r) for r in workloads.QUERIES[name](spark, str(tmp_path)).collect()]
+
+    index = run("linear_index_all")
+    assert len(index) == 1590 and all((r, c) == (i * 3 + j, i + j * 530) for i, j, r, c in index)
+    got, want = np.full((530, 530), np.nan), e @ e.T
+    for i, j, v in run("matmul_gram_all"):
+        got[i, j] = v
+    assert np.abs(got - want).max() <= 5.1e-5
+    pairs = [(a, b) for a in range(450) for b in range(a + 1, min(450, a + size[a])) if size[b]]
+    assert sorted(run("bounds_overlaps_all")) == pairs
+    assert sorted(run("vector_add_zip_all")) == [(k, k * 101 + 50) for k in range(1300)]
+    assert len(run("distribution_cells")) == 36 and len(run("view_shift")) == 400 and len(run("view_drop_axis")) == 3
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
