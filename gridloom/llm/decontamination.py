@@ -9,6 +9,12 @@ from .common import table, words_of
 
 #: Places of a word window that a seed reads; the others may be substituted. Each mask has 6 places, in spans of 9 to 11 words.
 MASKS = ((0, 1, 3, 4, 7, 8), (0, 2, 3, 6, 8, 9), (0, 1, 5, 6, 9, 10))
+#: Masks for items of SHORTEST to WINDOW - 1 words: the places they leave out are the 12 lines of the affine plane of 3 x 3 points, so that
+#: any two of 9 consecutive words are left out by one of them.
+_LINES = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (0, 3, 6), (1, 4, 7), (2, 5, 8), (0, 4, 8), (1, 5, 6), (2, 3, 7), (0, 5, 7), (1, 3, 8), (2, 4, 6))
+SHORT_MASKS = tuple(tuple(j for j in range(9) if j not in line) for line in _LINES)
+#: Items with fewer words match only where all their words stand as they are.
+SHORTEST = 9
 #: Overlaps are judged in windows of so many words, of which so many may differ.
 WINDOW, SUBSTITUTED = 13, 2
 #: Up to so many seed hashes of the benchmark are broadcast (about 100 MB at most); beyond, they are joined by a shuffle.
@@ -19,14 +25,23 @@ def _hashed(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seeds(df: DataFrame, keep: list[str], masks: tuple[tuple[int, ...], ...]) -> DataFrame:
-    """A row (keep, pos, seed) for each place and mask of df's hashed words `h`. The word array itself isn't repeated in them."""
+def seed_masks(masks: tuple[tuple[int, ...], ...], lengths: list[int], window: int = WINDOW) -> list[tuple[tuple[int, ...], int, int | None]]:
+    """(mask, fewest words, most words) of the items that each mask reads: SHORT_MASKS, and whole items under SHORTEST, only where `lengths` has such items."""
+    short = [(mask, SHORTEST, window - 1) for mask in SHORT_MASKS if any(SHORTEST <= n < window for n in lengths)]
+    return [*((mask, SHORTEST, None) for mask in masks), *short, *((tuple(range(n)), n, n) for n in sorted(set(lengths)) if 0 < n < SHORTEST)]
 
-    def at_places(m: int, mask: tuple[int, ...]) -> Column:
+
+def _seeds(df: DataFrame, keep: list[str], masks: list[tuple[tuple[int, ...], int, int | None]], items: bool = False) -> DataFrame:
+    """A row (keep, pos, seed) for each place and mask of df's hashed words `h`; in items, only for masks of their length. The word array itself isn't repeated in them."""
+
+    def at_places(m: int, mask: tuple[int, ...], fewest: int, most: int | None) -> Column:
+        n = F.size("h") - mask[-1]
+        if items:
+            n = F.when((F.size("h") >= fewest) & (F.lit(True) if most is None else F.size("h") <= most), n).otherwise(0)
         seed = lambda w, i: F.struct(i.alias("pos"), F.xxhash64(F.lit(m), *(F.get("h", i + o) for o in mask)).alias("seed"))
-        return F.transform(F.slice("h", F.lit(1), F.greatest(F.lit(0), F.size("h") - mask[-1])), seed)
+        return F.transform(F.slice("h", F.lit(1), F.greatest(F.lit(0), n)), seed)
 
-    every = df.select(*keep, F.concat(*(at_places(m, mask) for m, mask in enumerate(masks))).alias("places"), F.size("h").alias("_n"))
+    every = df.select(*keep, F.concat(*(at_places(m, *mask) for m, mask in enumerate(masks))).alias("places"), F.size("h").alias("_n"))
     # the outer form, as for the plain one Spark would compute the whole array once more to filter out empty ones
     return every.select(*keep, F.explode_outer("places").alias("p")).select(*keep, "p.pos", "p.seed").where(F.col("seed").isNotNull())
 
@@ -46,19 +61,22 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, masks: tuple[tuple
     Words are compared in lower case (A-Z) without punctuation. A seed hash reads the words at a mask's places, so the words between may
     differ. Test and training seeds are joined; each hit fixes how the item lies on the document (the diagonal), on which all its words are
     compared: a pair counts if some window of `window` words (or the whole item, if shorter) has at most `substituted` that differ.
-    Repeated ids count as one document or item, each of whose rows is compared, with the largest figures. Items with fewer words than the
-    shortest mask spans, empty texts and nulls match nothing.
+    Items under SHORTEST words count only where all their words stand. Items under `window` words have masks of their own (seed_masks), so
+    that no two substitutions hide one; documents get those seeds only if the benchmark has such items. Repeated ids count as one
+    document or item, each of whose rows is compared, with the largest figures. Empty texts and nulls match nothing.
 
     The benchmark's seeds are broadcast while they number at most `broadcast_seeds`; beyond, seeds are joined by a shuffle. Either way only
     the diagonals that were hit go on, and their documents' words are compared once for each.
     """
-    items = benchmark.select("item_id", _hashed(words_of(F.col("text"))).alias("h")).where(F.size("h") > min(mask[-1] for mask in masks))
+    items = benchmark.select("item_id", _hashed(words_of(F.col("text"))).alias("h")).where(F.size("h") > 0)
     items = items.withColumn("row", F.xxhash64("item_id", "h")).dropDuplicates(["row"])
-    test = _seeds(items, ["row"], masks).select("seed", "row", F.col("pos").alias("item_pos"))
+    lengths = [r.n for r in items.select(F.size("h").alias("n")).where(F.col("n") < window).distinct().collect()]
+    seeded = seed_masks(masks, lengths, window)
+    test = _seeds(items, ["row"], seeded, items=True).select("seed", "row", F.col("pos").alias("item_pos"))
     test = F.broadcast(test) if test.count() <= broadcast_seeds else test
     train = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("doc_row"))
     hashed = train.select("doc_row", _hashed(words_of(F.col("text"))).alias("h"))
-    hits = _seeds(hashed, ["doc_row"], masks).join(test, "seed")
+    hits = _seeds(hashed, ["doc_row"], seeded).join(test, "seed")
     diagonals = hits.select("doc_row", "row", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct()
     laid = diagonals.join(items.select("row", "item_id", F.col("h").alias("item")), "row")
     laid = laid.groupBy("doc_row").agg(F.collect_list(F.struct("item_id", "item", "diagonal")).alias("laid")).join(train, "doc_row")
@@ -66,7 +84,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, masks: tuple[tuple
     laid = laid.select("doc_id", "h", F.explode("laid").alias("l"), F.size("h").alias("_n")).select("doc_id", "h", "l.item_id", "l.item", "l.diagonal")
     most, total = overlap(F.col("h"), F.col("item"), F.col("diagonal"), window)
     judged = laid.select("doc_id", "item_id", F.least(F.size("item"), F.lit(window)).alias("width"), most.alias("best_window"), total.alias("n_matched"))
-    kept = judged.where(F.col("best_window") >= F.col("width") - substituted)
+    kept = judged.where(F.col("best_window") >= F.col("width") - F.when(F.col("width") < SHORTEST, 0).otherwise(substituted))
     return kept.groupBy("doc_id", "item_id").agg(F.max("best_window").cast("bigint").alias("best_window"), F.max("n_matched").cast("bigint").alias("n_matched"))
 
 

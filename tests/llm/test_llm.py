@@ -109,6 +109,34 @@ def test_decontamination(spark, odd, none, tmp_path):
     assert decontamination.find_contamination(docs, bench.where("1 = 0")).count() == 0 and decontamination.find_contamination(none, bench).count() == 0
 
 
+def test_decontamination_of_short_items(spark):
+    rng = random.Random(21)
+    items = {n: [f"i{n}w{j}" for j in range(n)] for n in range(1, 16)}
+    docs = []
+
+    def add(words):
+        docs.append([f"f{rng.randint(0, 9999)}" for _ in range(rng.randint(0, 6))] + words + [f"g{rng.randint(0, 9999)}" for _ in range(rng.randint(0, 6))])
+
+    for n, item in items.items():
+        add(item)
+        for a in range(n):
+            for b in range(a, n):
+                add(["x" if j in (a, b) else w for j, w in enumerate(item)])
+        add(["x" if j in (0, n // 2, n - 1) else w for j, w in enumerate(item)])
+
+    def overlaps(doc, item):  # every diagonal, without seeds
+        width = min(13, len(item))
+        most = width if width < 9 else width - 2
+        same = lambda d: [0 <= j + d < len(doc) and doc[j + d] == w for j, w in enumerate(item)]
+        return any(sum(s[k : k + width]) >= most for s in map(same, range(-len(item), len(doc))) for k in range(len(item) - width + 1))
+
+    want = {(d, n) for d, doc in enumerate(docs) for n, item in items.items() if overlaps(doc, item)}
+    df = spark.createDataFrame([(d, " ".join(doc)) for d, doc in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(item)) for n, item in items.items()], "item_id long, text string")
+    for limit in (decontamination.BROADCAST_SEEDS, 0):
+        assert {(r.doc_id, r.item_id) for r in decontamination.find_contamination(df, bench, broadcast_seeds=limit).collect()} == want
+
+
 def shingles(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
