@@ -24,6 +24,12 @@ class Template:
     def words(self) -> list[str]:
         return self.text.split()
 
+    @property
+    def spare(self) -> int:
+        """How many of the words may differ."""
+        n = len(self.words)
+        return max((k for k in range(n) if (n - k) / n >= self.share), default=0)
+
 
 # Base phrases and the notices the scan knows beyond them.
 TEMPLATES = (
@@ -44,9 +50,9 @@ TEMPLATES = (
     Template("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",), 0.8),
     Template("cc0", "cc0 1 0 universal public domain dedication", ("public domain dedication",), 0.8),
 )
-#: Places of a template that the index holds: those of its words that the fewest documents have.
+#: Places of a template that the index holds at least: those of its words that the fewest documents have.
 RARE_PLACES = 4
-#: How many of the indexed places must agree on one start: all but this many.
+#: How many of RARE_PLACES may disagree in the SQL; the scan goes by Template.spare instead.
 MISSING_PLACES = 1
 _FIELD = 1 << 40  # template and start in one number, so that candidates sort as plain numbers
 
@@ -61,13 +67,15 @@ def document_frequencies(words: DataFrame, vocabulary: list[str]) -> dict[str, i
 def rare_index(templates: tuple[Template, ...], frequency: dict[str, int]) -> tuple[list[tuple[str, int, int]], list[int]]:
     """Postings (word, template, place) of each template's rarest places, and how many must agree. Ties go to the earlier place.
 
+    Where `spare` words may differ, at most so many of the indexed places disagree, so all the others must agree, at least two if the
+    template has them: no start that verification would accept is lost.
     The order is that of the inverse document frequency, which falls as the frequency grows.
     """
     postings, needed = [], []
     for t, template in enumerate(templates):
-        places = sorted(range(len(template.words)), key=lambda j: (frequency.get(template.words[j], 0), j))[:RARE_PLACES]
+        places = sorted(range(len(template.words)), key=lambda j: (frequency.get(template.words[j], 0), j))[: max(RARE_PLACES, template.spare + 2)]
         postings += [(template.words[j], t, j) for j in places]
-        needed.append(len(places) if template.share == 1 else max(1, len(places) - MISSING_PLACES))
+        needed.append(len(places) - template.spare)
     return postings, needed
 
 

@@ -76,6 +76,30 @@ def test_licenses(spark, odd, none, tmp_path):
     assert {r.labels for r in df.where("doc_id = 14").collect()} == {"mit,mit-notice"} and licenses.scan_licenses(none).count() == 0
 
 
+def test_licenses_where_their_words_are_frequent(spark):
+    hot = "distributed under the gnu general public license version 3"
+    rng, texts = random.Random(31), [hot] * 40 + ["work", "this is licensed"] * 4
+    for t in licenses.TEMPLATES:
+        for _ in range(20):  # as many words changed as verification lets pass, or one more
+            w = t.words
+            for j in rng.sample(range(len(w)), min(len(w), rng.randint(0, t.spare + 1))):
+                w[j] = "x"
+            texts.append(" ".join(["see", *w, "end", *" ".join(t.keys).split()]))
+
+    def expected(text):
+        w, shares = text.split(), {}
+        for t in licenses.TEMPLATES:
+            if all(f" {k} " in f" {text} " for k in t.keys):
+                n = len(t.words)
+                best = max(sum(0 <= s + j < len(w) and w[s + j] == x for j, x in enumerate(t.words)) for s in range(-n, len(w))) / n
+                shares |= {t.label: best} if best >= t.share else {}
+        return ",".join(sorted(shares)), max(shares.values(), default=0.0)
+
+    rows = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert expected(hot)[0] == "gpl,gpl-3.0"
+    assert {r.doc_id: (r.labels, r.score) for r in rows} == {k: expected(t) for k, t in enumerate(texts)}
+
+
 def test_quality_gam(spark, odd, none):
     rng = np.random.default_rng(0)
     x = rng.uniform(-1, 1, (3000, 4))
