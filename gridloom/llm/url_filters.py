@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from .common import lower_ascii, table
 
-#: How far the parents of a host are looked up. Deeper labels are covered as the host itself is looked up too.
-PARENT_LABELS = 4
-
 
 def url_host(url: Column) -> Column:
     """Lower-case host of a URL without user, port or a final dot; null where there is none."""
@@ -25,12 +22,12 @@ def url_first_segment(url: Column) -> Column:
 
 
 def lookup_keys(url: Column) -> Column:
-    """What list entries may name for a URL, most specific first: host/segment, host, and parents of 2 to PARENT_LABELS labels."""
+    """What list entries may name for a URL, most specific first: host/segment, host, and all its parents down to one label."""
     host, segment = url_host(url), url_first_segment(url)
     labels = F.size(F.split(host, r"\."))
-    parents = [F.when(labels > n, F.substring_index(host, ".", -n)) for n in range(PARENT_LABELS, 1, -1)]
-    keys = [F.when(segment != "", F.concat(host, F.lit("/"), segment)), host, *parents]
-    return F.array_distinct(F.array_compact(F.array(*keys)))
+    parents = F.when(labels > 1, F.transform(F.sequence(labels - 1, F.lit(1)), lambda n: F.call_function("substring_index", host, F.lit("."), -n)))
+    named = F.array(F.when(segment != "", F.concat(host, F.lit("/"), segment)), host)
+    return F.array_distinct(F.array_compact(F.concat(named, F.coalesce(parents, F.array().cast("array<string>")))))
 
 
 def validity_intervals(entries: DataFrame) -> DataFrame:

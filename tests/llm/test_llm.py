@@ -413,6 +413,15 @@ def test_url_filters(spark, tmp_path):
     same(df, *in_sql(spark, tmp_path, url_filters.ORACLE_SQL, pages=small))
 
 
+def test_url_filters_of_deep_and_short_parents(spark):
+    blocked = ["a.b.c.example.com", "b.c.d.e.f.example.org", "internal", "x.a.b.c.example.com/ok"]
+    entries = spark.createDataFrame([(e, "allow" if "/" in e else "block", "2024-01-01") for e in blocked], "entry string, action string, at string").withColumn("at", F.col("at").cast("date"))
+    hosts = {"x.a.b.c.example.com": blocked[0], "z.y.x.a.b.c.example.com": blocked[0], "b.c.example.com": None, "1.a.b.c.d.e.f.example.org": blocked[1], "wiki.internal": "internal", "a.wiki.internal": "internal", "internal": "internal", "internal.org": None}
+    captures = spark.createDataFrame([(k, f"http://{h}/p") for k, h in enumerate(hosts)] + [(99, "http://x.a.b.c.example.com/ok")], "page_id long, url string").withColumn("fetched_at", F.lit("2024-02-01").cast("date"))
+    found = {r.page_id: r.entry for r in url_filters.filter_captures(captures, entries).collect()}
+    assert found == dict(enumerate(hosts.values())) | {99: blocked[3]}
+
+
 def test_queries_are_registered():
     names = list(queries.QUERIES)
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11)) and set(queries.ORACLE_SQL) <= set(names)
