@@ -15,6 +15,9 @@ from gridloom.llm.quality_gam import score_quality, train_quality
 from gridloom.llm.sentencepiece_unigram import UnigramTokenizer, encode_documents
 from gridloom.llm.suffix_dedup import remove_repeats, shared_table
 
+#: From this similarity on, in percent, the pipeline takes documents for near duplicates; op4 has a threshold of its own.
+STAGE_SIMILAR = 80
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, trained on `labels`, doesn't reject."""
@@ -25,7 +28,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id; documents without a doc_id stay."""
-    copies = near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    copies = near_duplicates(docs, STAGE_SIMILAR).where("NOT kept").select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
 
 

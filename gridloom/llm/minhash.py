@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,13 +12,13 @@ from pyspark.sql import functions as F
 from .common import SPACE, ensure_checkpoint_dir, map_rows, mix, prefix_hash, span_hash, table, text_bytes, word_spans
 
 WORDS = 5
-#: Documents are linked from this similarity on, in percent.
+#: Documents are linked from this similarity on, in percent, unless the caller gives another.
 SIMILAR = 85
 #: A signature has CHUNKS chunks of CHUNK positions of 16 bits. Two signatures that differ in at most 2 * CHUNKS - 1 positions have a
 #: chunk that differs in at most one; every such chunk is found as each of its positions in turn is left out of a key.
 CHUNKS, CHUNK = 8, 5
-#: Candidates must differ in at most so many of the 40 positions. At a similarity of 0.85 more differ once in 10 million pairs.
-MAX_DIFFERENT = 19
+#: Candidates must differ in at most max_different() of the 40 positions: at the lowest similarity more differ about twice in 10 million pairs.
+RARELY = 2.5e-7
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _FACTORS = mix(np.arange(1, CHUNKS * CHUNK + 1, dtype=np.uint64)) | np.uint64(1)
@@ -121,9 +123,15 @@ def meets_first(a: Column, b: Column, slot: Column) -> Column:
     return (F.size(earlier) == 0) & ((slot % CHUNK == 0) | (inside(chunk) > 0))
 
 
-def near(a: Column, b: Column) -> Column:
-    """Whether two signatures differ in at most MAX_DIFFERENT positions."""
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x != y), lambda d: d)) <= MAX_DIFFERENT
+def max_different(similar: int) -> int:
+    """The fewest positions of which more differ at most RARELY at a similarity of so many percent."""
+    n, q = CHUNKS * CHUNK, 1 - similar / 100
+    return next(d for d in range(n + 1) if sum(comb(n, k) * q**k * (1 - q) ** (n - k) for k in range(d + 1, n + 1)) <= RARELY)
+
+
+def near(a: Column, b: Column, similar: int = SIMILAR) -> Column:
+    """Whether two signatures differ in at most max_different(similar) positions."""
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x != y), lambda d: d)) <= max_different(similar)
 
 
 def shingles_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -144,9 +152,9 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.groupBy("a", "b").agg(F.max(F.struct("shared", "na", "nb")).alias("m")).select("a", "b", "m.shared", "m.na", "m.nb")
 
 
-def linked(rows: DataFrame) -> DataFrame:
+def linked(rows: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """The pairs of overlaps() that are similar enough."""
-    return rows.where(F.lit(100) * F.col("shared") >= F.lit(SIMILAR) * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
+    return rows.where(F.lit(100) * F.col("shared") >= F.lit(similar) * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -167,25 +175,25 @@ def components(edges: DataFrame) -> DataFrame:
         labels = labels.join(up, labels["component"] == up["x"], "left").select("node", F.coalesce("p", "component").alias("component")).checkpoint()
 
 
-def may_link(x: str, y: str) -> Column:
-    """Whether two nodes can be similar enough, by lower bounds of how many shingles only one of them has (SIMILAR allows
-    (100 - SIMILAR) / (100 + SIMILAR) of both sizes). No such pair is lost:
+def may_link(x: str, y: str, similar: int = SIMILAR) -> Column:
+    """Whether two nodes can be similar enough, by lower bounds of how many shingles only one of them has (`similar` allows
+    (100 - similar) / (100 + similar) of both sizes). No such pair is lost:
 
     - `own` shingles of a node occur in no other open node, so the other one lacks them;
     - a pair with the same pivot differs in at least what either differs from the pivot in (`apart`), less twice what both
       may differ in alike, to which own shingles do not belong.
     """
     col = lambda side, name: F.col(f"{side}.{name}")
-    limit = F.lit(100 - SIMILAR) * (col(x, "n") + col(y, "n"))
+    limit = F.lit(100 - similar) * (col(x, "n") + col(y, "n"))
     alike = F.least(*(F.greatest(F.lit(0), col(side, "apart") - col(side, "own")) for side in (x, y)))
-    by_pivot = (col(x, "pivot") != col(y, "pivot")) | (F.lit(100 + SIMILAR) * (col(x, "apart") + col(y, "apart") - 2 * alike) <= limit)
-    return (F.lit(100 + SIMILAR) * (col(x, "own") + col(y, "own")) <= limit) & by_pivot & near(col(x, "sig"), col(y, "sig"))
+    by_pivot = (col(x, "pivot") != col(y, "pivot")) | (F.lit(100 + similar) * (col(x, "apart") + col(y, "apart") - 2 * alike) <= limit)
+    return (F.lit(100 + similar) * (col(x, "own") + col(y, "own")) <= limit) & by_pivot & near(col(x, "sig"), col(y, "sig"), similar)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """One row for each row of docs (doc_id, text): n_shingles, component_id (the smallest doc_id reachable over links) and kept.
 
-    Links: 100 * shared shingles >= 85 * all shingles of the two. Rows with the same shingle set are one class, which the smallest doc_id
+    Links: 100 * shared shingles >= similar * all shingles of the two. Rows with the same shingle set are one class, which the smallest doc_id
     stands for; classes get 40 chunk keys each. A first round tries every class against one pivot: of the most frequented classes of its
     buckets, the most frequented. A second round takes the pairs in a bucket that are not yet in the same component and that bounds
     (may_link) do not rule out. Both confirm on full sets. Texts without words are linked with nothing, as are rows without a doc_id
@@ -207,9 +215,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     centres = known.groupBy("key").agg(F.max(F.struct(F.col("met"), (-F.col("node")).alias("less"))).alias("top"))
     stars = known.join(centres, "key").select(F.col("top").alias("top"), (-F.col("top.less")).alias("a"), F.col("node").alias("b")).where("a != b").distinct()
     stars = stars.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
-    chosen = stars.where(near(F.col("sa"), F.col("sb"))).groupBy("b").agg(F.max("top").alias("top")).select((-F.col("top.less")).alias("a"), "b")
+    chosen = stars.where(near(F.col("sa"), F.col("sb"), similar)).groupBy("b").agg(F.max("top").alias("top")).select((-F.col("top.less")).alias("a"), "b")
     tried = overlaps(chosen, sets).checkpoint()
-    edges = linked(tried)
+    edges = linked(tried, similar)
     found = components(edges)
 
     placed = members.join(found, "node", "left").select("key", "slot", "node", F.coalesce("component", "node").alias("component"))
@@ -227,9 +235,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "node", "pivot", "apart", "sig", F.when(F.col("rows") > 1, F.lit(1 << 40)).otherwise(F.col("n")).cast("bigint").alias("n"), F.coalesce("own", F.lit(0)).alias("own"))
     candidates = open_members.join(facts, "node").checkpoint()
     x, y = candidates.alias("x"), candidates.alias("y")
-    crossing = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & may_link("x", "y") & meets_first(F.col("x.sig"), F.col("y.sig"), F.col("x.slot")))
+    crossing = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & may_link("x", "y", similar) & meets_first(F.col("x.sig"), F.col("y.sig"), F.col("x.slot")))
     pairs = crossing.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    more = linked(overlaps(pairs, sets)).checkpoint()
+    more = linked(overlaps(pairs, sets), similar).checkpoint()
     if not more.isEmpty():
         found = components(edges.union(more))
 

@@ -41,3 +41,11 @@ def test_pipeline(spark, tmp_path):
     assert passage not in second.text and second.n_chars == len(second.text) < 400
     assert cut.where("doc_id = 102").first().text == texts[102] and now.where(F.size("ids") != F.col("n_pieces")).count() == 0
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept["sentencepiece"])
+
+
+def test_near_duplicates_between_the_thresholds(spark):
+    words = [f"w{k}" for k in range(28)]  # 24 shingles
+    rows = [(1, words), (2, words[:26] + ["x", "y"]), (3, words[:13] + ["x"] + words[14:])]  # 22 of 26 = 0.846 and 19 of 29 = 0.66
+    docs = spark.createDataFrame([(k, " ".join(w), "en", "s", 1) for k, w in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.doc_id for r in corpus_pipeline.keep_one_of_each(spark, docs, "").orderBy("doc_id").collect()] == [1, 3]
+    assert {r.kept for r in corpus_pipeline.near_duplicates(docs).collect()} == {True}
