@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,10 +35,52 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(n))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster names a shared folder in spark.checkpoint.dir; only where it is unset (tests) a temporary one serves."""
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder for checkpoints and intermediate tables: the one that the cluster names in spark.checkpoint.dir.
+
+    Where it is unset a temporary folder serves, but only on a local master; on a cluster no other executor would see it.
+    """
+    set_ = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if set_ is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-"))
+        set_ = spark.sparkContext.getCheckpointDir()
+    return set_
+
+
+_written: list[str] = []
+
+
+def shared_table(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder and read again, so that later stages don't compute it anew."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/gridloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_shared_tables(spark: SparkSession) -> None:
+    """Deletes the tables that shared_table wrote in this process. Call it when the results made from them have been used."""
+    while _written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def smallest_hashes(ids: DataFrame, rows: int) -> DataFrame:
+    """The rows of ids (doc_id, distinct and not null) with the `rows` smallest hashes of doc_id, in the order of (hash, doc_id).
+
+    A first filter by a threshold from their number leaves about 1.2 times as many (all, where there are not so many), so that little
+    is sorted in one task however many partitions there are.
+    """
+    total = ids.count()
+    return under_share(ids, F.lit(1.2 * rows / max(1, total)), rows).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+
+
+def under_share(ids: DataFrame, share: Column, rows: int) -> DataFrame:
+    # a few hundred are always let through, as the share of small samples varies more
+    limit = F.least(F.lit(1.0), share + share * 200 / max(1, rows)) * float(1 << 64) - float(1 << 63)
+    return ids.where(F.xxhash64("doc_id").cast("double") <= limit)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

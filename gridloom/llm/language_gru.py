@@ -7,15 +7,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fold, map_rows, table, text_bytes
+from .common import under_share, fold, map_rows, table, text_bytes
 
 #: The network reads windows of so many bytes with its state at zero before each; windows tile the whole text.
 STEPS = 64
 HIDDEN = 8
-#: Documents that the network is fitted on at most (smallest hash of doc_id), and windows of each.
+#: Documents that the network is fitted on at most, dealt evenly to all languages (those with the smallest hash of doc_id), and windows of each.
 SAMPLE_DOCS, SAMPLE_WINDOWS = 4000, 6
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -164,18 +164,33 @@ def fit_language_net(windows: np.ndarray, target: np.ndarray, languages: list[st
     return net
 
 
-def train_language(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LanguageNet:
-    """Fits on up to SAMPLE_WINDOWS windows, spread over the text, of at most sample_docs documents with a language outside the held-out fold."""
-    known = docs.where(F.col("lang").isNotNull() & (F.octet_length("text") > 0) & (fold(F.col("doc_id"), 4) != 2))
-    ids = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).distinct()
-    rows = known.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "lang", "text")
+def sampled_ids(known: DataFrame, sample_docs: int) -> DataFrame:
+    """(lang, doc_id): for each language the documents with the smallest hashes of doc_id, sample_docs over the number of languages (one at least).
+
+    So a language of few documents is learned too. A threshold from each language's number of documents comes before the ranking.
+    """
+    ids = known.where("doc_id IS NOT NULL").select("lang", "doc_id")
+    sizes = ids.groupBy("lang").agg(F.count("*").alias("size"))
+    each = -(-sample_docs // max(1, sizes.count()))
+    near = under_share(ids.join(sizes, "lang"), F.lit(1.2 * each) / F.col("size"), each).select("lang", "doc_id").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= each).select("lang", "doc_id")
+
+
+def train_language(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_windows: int = SAMPLE_WINDOWS) -> LanguageNet:
+    """Fits on up to sample_windows windows, spread over the text, of at most sample_docs documents (or one of each language) outside the held-out fold.
+
+    Documents without a language, a doc_id or a text are left out. Every language that is left is learned.
+    """
+    known = docs.where(F.col("lang").isNotNull() & (F.octet_length("text") > 0) & (fold(F.col("doc_id"), 4) != 2)).select("doc_id", "lang", "text")
+    rows = known.join(F.broadcast(sampled_ids(known, sample_docs)), ["lang", "doc_id"])
 
     def kernel(batch: pa.RecordBatch) -> dict:
         x, valid, before = windows_of(*text_bytes(batch.column("text")))
         out: dict[str, list] = {"doc_id": [], "lang": [], "x": []}
         for k, (doc, lang) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("lang").to_pylist(), strict=True)):
             mine = np.arange(before[k], before[k + 1])
-            for w in np.unique(mine[np.linspace(0, len(mine) - 1, min(SAMPLE_WINDOWS, len(mine))).astype(int)]):
+            for w in np.unique(mine[np.linspace(0, len(mine) - 1, min(sample_windows, len(mine))).astype(int)]):
                 out["doc_id"].append(doc)
                 out["lang"].append(lang)
                 out["x"].append(x[w].tobytes())
@@ -191,7 +206,9 @@ def train_language(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LanguageN
 def predict_language(docs: DataFrame, net: LanguageNet) -> DataFrame:
     """One row for each document: `lang_pred`, the language with the largest mean probability over all bytes of the text, and that mean as `score`.
 
-    Null texts and texts without a letter get 'und' and 0.0, as do all where nothing could be learned. Ties go to the first language in order.
+    Null and empty texts and texts without a letter get 'und' and 0.0, as do all where nothing could be learned. Ties go to the first language
+    in order. Texts may be of any length. Rows that repeat a doc_id are predicted each by their own text, equal texts alike; other columns of
+    docs don't matter; an empty table gives an empty result.
     """
 
     def kernel(batch: pa.RecordBatch) -> dict:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column_at, fold, map_rows, table
+from .common import column_at, fold, map_rows, smallest_hashes, table
 
 #: The most labelled rows that a model is fitted on: those with the smallest hash of doc_id.
 SAMPLE_ROWS = 20_000
@@ -151,7 +151,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     Only their features reach the driver. Labels other than 0 and 1 and labels without a document are left out.
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), 3) != 1))
-    sample = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    sample = smallest_hashes(known.groupBy("doc_id").agg(F.max("quality").alias("quality")), sample_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
     def kernel(batch: pa.RecordBatch) -> dict:
@@ -167,8 +167,9 @@ def train_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
 def score_quality(docs: DataFrame, model: PairwiseGam, keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """The columns `keep` of docs (default: doc_id) with `score`, the probability of label 1, and `predicted` (1 from 0.5 on).
 
-    Every row gets a score from its whole text; null and empty texts that of a text without words. `text` may be a field of a kept struct
-    ('document.text'), so that the text goes to Python once.
+    Every row gets a score from its whole text, however long; null and empty texts that of a text without words. Rows that repeat a doc_id
+    are scored each by their own text, equal texts alike; an empty table gives an empty result. `text` may be a field of a kept struct
+    ('document.text'), so that the text goes to Python once; the kept columns may have any names but `score` and `predicted`.
     """
     keep = keep or ["doc_id"]
     inside = text.split(".")[0] in keep

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, mix, per_row, prefix_hash, span_hash, table, word_spans
+from .common import map_rows, mix, per_row, prefix_hash, smallest_hashes, span_hash, table, word_spans
 
 #: The most labelled rows that the model is fitted on: those with the smallest hash of doc_id.
 SAMPLE_ROWS = 2048
@@ -179,7 +179,7 @@ def fit_ngrams(counts: np.ndarray, y: np.ndarray, penalty: float = 2e-4, steps:
 def train_rules(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> NgramModel:
     """Fits on at most sample_rows labelled rows, chosen by the hash of doc_id. Bucket counts of their whole texts reach the driver, texts don't."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
-    sample = known.groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    sample = smallest_hashes(known.groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality")), sample_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text")
 
     def kernel(batch: pa.RecordBatch) -> dict:
@@ -208,7 +208,8 @@ def apply_rules(docs: DataFrame, model: NgramModel, keep_from: float = KEEP_FROM
     """One row for each document (null text: empty) with its counts, base_failed, the calibrated `score` and `kept`.
 
     Words are runs of characters other than ASCII white space. base_failed: fewer than 50 words, or over half of them in repeated
-    3-word windows. Everything is computed on whole texts.
+    3-word windows. Everything is computed on whole texts. Rows that repeat a doc_id are judged each by their own text, equal texts alike; a
+    score of exactly keep_from is kept; other columns of docs don't matter; an empty table gives an empty result.
     """
 
     def kernel(batch: pa.RecordBatch) -> dict:

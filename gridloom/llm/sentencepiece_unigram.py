@@ -219,8 +219,14 @@ class UnigramTokenizer:
 
 
 def encode_documents(docs: DataFrame, tokenizer: UnigramTokenizer, keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of docs (default: doc_id) with `ids`, the piece ids of the whole text (null and empty texts: none)."""
+    """The columns `keep` of docs (default: doc_id) with `ids`, the piece ids of the whole text (null and empty texts: none).
+
+    Of cuts with equal sums the one whose last piece starts first wins (pieces are offered from the left, and only a larger sum replaces one). Rows that repeat a doc_id are encoded each by
+    their own text; an empty table gives an empty result; a kept column may not be called `ids` (ValueError).
+    """
     keep = keep or ["doc_id"]
+    if "ids" in keep:
+        raise ValueError("a kept column may not be called ids")
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
 
     def kernel(batch: pa.RecordBatch) -> dict:
@@ -244,7 +250,7 @@ def decode_documents(encoded: DataFrame, tokenizer: UnigramTokenizer) -> DataFra
 
 def token_digests(docs: DataFrame, tokenizer: UnigramTokenizer) -> DataFrame:
     """Encodes and decodes every whole text: how many pieces and byte pieces it has, a crc32 of its ids (int32, little-endian),
-    and whether decoding gives the text again. Null counts as empty."""
+    and whether decoding gives the text again. Null counts as empty. One row for each row of docs, repeated ids or not; an empty table gives an empty result."""
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
 
     def kernel(batch: pa.RecordBatch) -> dict:

@@ -11,7 +11,6 @@ suffixes merged, and the prefixes of neighbours compared.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 from functools import partial
 
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column_at, ensure_checkpoint_dir, map_rows, mix, prefix_hash, shuffle_partitions, span_hash, table, text_bytes
+from .common import column_at, map_rows, mix, prefix_hash, shared_table, shuffle_partitions, span_hash, table, text_bytes
 
 LENGTH = 100
 GRAM = 40
@@ -32,16 +31,6 @@ BLOCK = 750_000
 HOT = 1000
 
 
-def shared_table(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder and read again, so that later stages don't compute it anew."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    path = f"{folder}/gridloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """Starts of the suffixes of s (integers from 1 on, fewer than 2**21 of them) in order, by the difference cover of 3."""
     n = len(s)
