@@ -55,7 +55,36 @@ def overlap(doc: Column, item: Column, diagonal: Column, window: int = WINDOW) -
     return most, F.aggregate(same, F.lit(0), lambda a, x: a + x)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, masks: tuple[tuple[int, ...], ...] = MASKS, window: int = WINDOW, substituted: int = SUBSTITUTED, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
+def _row_key(docs: DataFrame) -> Column:
+    """Tells rows that repeat a doc_id apart by their texts."""
+    return F.xxhash64(docs["doc_id"], docs["text"])
+
+
+def contaminated_rows(docs: DataFrame, benchmark: DataFrame, masks: tuple[tuple[int, ...], ...] = MASKS, window: int = WINDOW, substituted: int = SUBSTITUTED, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
+    """(doc_id, doc_row, item_id, best_window, n_matched) for each row of docs, item and diagonal that count, as find_contamination says."""
+    items = benchmark.select("item_id", _hashed(words_of(F.col("text"))).alias("h")).where(F.size("h") > 0)
+    items = items.withColumn("row", F.xxhash64("item_id", "h")).dropDuplicates(["row"])
+    lengths = [r.n for r in items.select(F.size("h").alias("n")).where(F.col("n") < window).distinct().collect()]
+    seeded = seed_masks(masks, lengths, window)
+    test = _seeds(items.withColumn("n", F.size("h")), ["row", "n"], seeded, items=True).select("seed", "row", "n", F.col("pos").alias("item_pos"))
+    test = F.broadcast(test) if test.count() <= broadcast_seeds else test
+    train = docs.select("doc_id", "text", _row_key(docs).alias("doc_row"))
+    hashed = train.select("doc_row", _hashed(words_of(F.col("text"))).alias("h"))
+    hits = _seeds(hashed, ["doc_row"], seeded).join(test, "seed")
+    diagonals = hits.select("doc_row", "row", "n", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct()
+    # a document's words are hashed once more for all its diagonals; of each only as many words as the item has go on
+    laid = diagonals.groupBy("doc_row").agg(F.collect_list(F.struct("row", "diagonal", "n")).alias("laid")).join(train, "doc_row")
+    laid = laid.select("doc_id", "doc_row", _hashed(words_of(F.col("text"))).alias("h"), "laid")
+    laid = laid.select("doc_id", "doc_row", "h", F.explode("laid").alias("l"), F.size("h").alias("_n"))
+    under = F.slice("h", F.greatest(F.lit(1), F.col("l.diagonal") + 1), F.greatest(F.lit(0), F.col("l.n") + F.least(F.lit(0), F.col("l.diagonal"))))
+    cut = laid.select("doc_id", "doc_row", F.col("l.row").alias("row"), F.least(F.lit(0), F.col("l.diagonal")).alias("diagonal"), under.alias("under"))
+    met = cut.join(items.select("row", "item_id", F.col("h").alias("item")), "row")
+    most, total = overlap(F.col("under"), F.col("item"), F.col("diagonal"), window)
+    judged = met.select("doc_id", "doc_row", "item_id", F.least(F.size("item"), F.lit(window)).alias("width"), most.cast("bigint").alias("best_window"), total.cast("bigint").alias("n_matched"))
+    return judged.where(F.col("best_window") >= F.col("width") - F.when(F.col("width") < SHORTEST, 0).otherwise(substituted)).drop("width")
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, **options: object) -> DataFrame:
     """Pairs (doc_id, item_id) of documents and benchmark items that overlap, with `best_window` and `n_matched` words.
 
     Words are compared in lower case (A-Z) without punctuation. A seed hash reads the words at a mask's places, so the words between may
@@ -63,35 +92,21 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, masks: tuple[tuple
     compared: a pair counts if some window of `window` words (or the whole item, if shorter) has at most `substituted` that differ.
     Items under SHORTEST words count only where all their words stand. Items under `window` words have masks of their own (seed_masks), so
     that no two substitutions hide one; documents get those seeds only if the benchmark has such items. Repeated ids count as one
-    document or item, each of whose rows is compared, with the largest figures. Empty texts and nulls match nothing.
+    document or item, each of whose rows is compared, with the largest figures. Empty texts and nulls match nothing; very long texts are
+    compared whole; other columns of either table don't matter.
 
     The benchmark's seeds are broadcast while they number at most `broadcast_seeds`; beyond, seeds are joined by a shuffle. Either way only
     the diagonals that were hit go on, and their documents' words are compared once for each.
     """
-    items = benchmark.select("item_id", _hashed(words_of(F.col("text"))).alias("h")).where(F.size("h") > 0)
-    items = items.withColumn("row", F.xxhash64("item_id", "h")).dropDuplicates(["row"])
-    lengths = [r.n for r in items.select(F.size("h").alias("n")).where(F.col("n") < window).distinct().collect()]
-    seeded = seed_masks(masks, lengths, window)
-    test = _seeds(items, ["row"], seeded, items=True).select("seed", "row", F.col("pos").alias("item_pos"))
-    test = F.broadcast(test) if test.count() <= broadcast_seeds else test
-    train = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("doc_row"))
-    hashed = train.select("doc_row", _hashed(words_of(F.col("text"))).alias("h"))
-    hits = _seeds(hashed, ["doc_row"], seeded).join(test, "seed")
-    diagonals = hits.select("doc_row", "row", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct()
-    laid = diagonals.join(items.select("row", "item_id", F.col("h").alias("item")), "row")
-    laid = laid.groupBy("doc_row").agg(F.collect_list(F.struct("item_id", "item", "diagonal")).alias("laid")).join(train, "doc_row")
-    laid = laid.select("doc_id", _hashed(words_of(F.col("text"))).alias("h"), F.col("laid"))
-    laid = laid.select("doc_id", "h", F.explode("laid").alias("l"), F.size("h").alias("_n")).select("doc_id", "h", "l.item_id", "l.item", "l.diagonal")
-    most, total = overlap(F.col("h"), F.col("item"), F.col("diagonal"), window)
-    judged = laid.select("doc_id", "item_id", F.least(F.size("item"), F.lit(window)).alias("width"), most.alias("best_window"), total.alias("n_matched"))
-    kept = judged.where(F.col("best_window") >= F.col("width") - F.when(F.col("width") < SHORTEST, 0).otherwise(substituted))
-    return kept.groupBy("doc_id", "item_id").agg(F.max("best_window").cast("bigint").alias("best_window"), F.max("n_matched").cast("bigint").alias("n_matched"))
+    rows = contaminated_rows(docs, benchmark, **options)  # type: ignore[arg-type]
+    return rows.groupBy("doc_id", "item_id").agg(F.max("best_window").alias("best_window"), F.max("n_matched").alias("n_matched"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options: object) -> DataFrame:
-    """docs without the rows whose doc_id overlaps a benchmark item. Rows with a null doc_id stay."""
-    found = find_contamination(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    """docs without the rows that overlap a benchmark item. Rows are judged each by their own text, also those that repeat a doc_id or have none."""
+    found = contaminated_rows(docs, benchmark, **options).select(F.col("doc_id").alias("f_id"), F.col("doc_row").alias("f_row")).distinct()  # type: ignore[arg-type]
+    keyed = docs.select(F.struct(*docs.columns).alias("document"), docs["doc_id"].alias("k_id"), _row_key(docs).alias("k_row"))
+    return keyed.join(found, F.col("k_id").eqNullSafe(F.col("f_id")) & (F.col("k_row") == F.col("f_row")), "left_anti").select("document.*")
 
 
 def op3_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,29 +114,18 @@ def op3_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def oracle_sql(masks: tuple[tuple[int, ...], ...] = MASKS, window: int = WINDOW, substituted: int = SUBSTITUTED) -> str:
-    seeds = " UNION ALL ".join(
-        f"SELECT id, i, '{m}:' || " + " || ' ' || ".join(f"ws[i + {1 + o}]" for o in mask) + f" AS seed FROM (SELECT id, ws, unnest(range(len(ws) - {mask[-1]})) AS i FROM {{0}})" for m, mask in enumerate(masks)
-    )
+def oracle_sql(window: int = WINDOW, substituted: int = SUBSTITUTED) -> str:
+    """The rule without seeds: every diagonal on which an item has a word in common with a document, all windows of it."""
     words = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
     return f"""
-WITH d AS (SELECT doc_id AS id, {words} AS ws FROM documents),
-b AS (SELECT item_id AS id, {words} AS ws FROM benchmark),
-ds AS ({seeds.format('d')}),
-bs AS ({seeds.format('b')}),
-laid AS (SELECT DISTINCT ds.id AS doc_id, bs.id AS item_id, ds.i - bs.i AS diagonal FROM ds JOIN bs USING (seed)),
-same AS (
-  SELECT doc_id, item_id, diagonal, least(len(b.ws), {window}) AS width, len(b.ws) AS n, b.ws AS item, d.ws AS doc
-  FROM laid JOIN d ON d.id = doc_id JOIN b ON b.id = item_id),
-eq AS (
-  SELECT doc_id, item_id, diagonal, width, n, unnest(range(n)) AS j, unnest(list_transform(range(n), lambda j: CASE WHEN j + diagonal >= 0 AND doc[j + diagonal + 1] = item[j + 1] THEN 1 ELSE 0 END)) AS e FROM same),
-sums AS (
-  SELECT doc_id, item_id, diagonal, width, n, j, sum(e) OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY j) AS upto, sum(e) OVER (PARTITION BY doc_id, item_id, diagonal) AS total FROM eq),
-windows AS (
-  SELECT a.doc_id, a.item_id, a.diagonal, a.width, a.total, a.upto - coalesce(z.upto, 0) AS inside
-  FROM sums a LEFT JOIN sums z ON a.doc_id = z.doc_id AND a.item_id = z.item_id AND a.diagonal = z.diagonal AND z.j = a.j - a.width
-  WHERE a.j >= a.width - 1)
+WITH d AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM (SELECT doc_id, {words} AS ws FROM documents)),
+b AS (SELECT item_id, len(ws) AS n, unnest(ws) AS w, unnest(range(len(ws))) AS j FROM (SELECT item_id, {words} AS ws FROM benchmark)),
+laid AS (
+  SELECT doc_id, item_id, i - j AS diagonal, any_value(n) AS n, least(any_value(n), {window}) AS width, list(j) AS places FROM d JOIN b USING (w)
+  GROUP BY doc_id, item_id, i - j HAVING count(*) >= least(any_value(n), {window}) - CASE WHEN any_value(n) < {SHORTEST} THEN 0 ELSE {substituted} END),
+judged AS (
+  SELECT doc_id, item_id, width, len(places) AS total,
+    list_max(list_transform(range(n - width + 1), lambda k: len(list_filter(places, lambda p: p >= k AND p < k + width)))) AS inside FROM laid)
 SELECT doc_id, item_id, CAST(max(inside) AS BIGINT) AS best_window, CAST(max(total) AS BIGINT) AS n_matched
-FROM (SELECT doc_id, item_id, diagonal, any_value(width) AS width, max(inside) AS inside, any_value(total) AS total FROM windows GROUP BY ALL)
-WHERE inside >= width - {substituted} GROUP BY doc_id, item_id
+FROM judged WHERE inside >= width - CASE WHEN width < {SHORTEST} THEN 0 ELSE {substituted} END GROUP BY doc_id, item_id
 """
