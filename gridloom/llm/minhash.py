@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, ensure_checkpoint_dir, map_rows, mix, prefix_hash, span_hash, table, text_bytes, word_spans
+from .common import ensure_checkpoint_dir, map_rows, mix, shared_table, table
 
 WORDS = 5
 #: Documents are linked from this similarity on, in percent, unless the caller gives another.
@@ -19,46 +21,68 @@ SIMILAR = 85
 CHUNKS, CHUNK = 8, 5
 #: Candidates must differ in at most max_different() of the 40 positions: at the lowest similarity more differ about twice in 10 million pairs.
 RARELY = 2.5e-7
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _FACTORS = mix(np.arange(1, CHUNKS * CHUNK + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct 5-word shingles of each row as sorted 53-bit hashes, and how many come before each row (2048 rows at most).
+def word_digests(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit halves of a BLAKE2b digest of every word, in order, and how many words come before each row.
 
-    Words are runs of bytes other than ASCII white space, A-Z in lower case. With 1 to 4 words the whole sequence is one shingle.
+    Words are runs of bytes other than ASCII white space, A-Z in lower case. Arrow numbers the different ones, so each is digested once.
     """
-    body, offsets = text_bytes(texts)
-    body = _LOWER[body]
-    starts, ends, at = word_spans(SPACE[body], offsets)
-    words = span_hash(prefix_hash(body), starts, ends)
-    rows = len(offsets) - 1
-    count = np.diff(at)
-    row = np.repeat(np.arange(rows), count)
-    size = max(0, len(words) - WORDS + 1)
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat = lists.flatten()
+    real = pc.not_equal(flat, "")
+    at = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])[lists.offsets.to_numpy()]
+    words = flat.filter(real).dictionary_encode()
+    digests = b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in words.dictionary.cast(pa.binary()).to_pylist())
+    return np.frombuffer(digests, np.uint64).reshape(-1, 2)[words.indices.to_numpy()].T, at
+
+
+def _chained(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of WORDS words that depends on their order."""
     h = np.zeros(size, np.uint64)
     for k in range(WORDS):
         h = mix(h * np.uint64(0x100000001B3) + words[k : k + size])
-    fits = row[:size] == row[WORDS - 1 :] if size else np.zeros(0, bool)
-    short = np.flatnonzero((count > 0) & (count < WORDS))
-    whole = np.zeros(len(short), np.uint64)
-    for k in range(WORDS - 1):
-        has = count[short] > k
-        whole[has] = mix(whole[has] * np.uint64(0x100000001B3) + words[at[short[has]] + k])
-    whole = mix(whole + count[short].astype(np.uint64))
-    key = np.concatenate([(row[:size][fits].astype(np.uint64) << np.uint64(53)) | (h[fits] >> np.uint64(11)), (short.astype(np.uint64) << np.uint64(53)) | (whole >> np.uint64(11))])
-    key.sort()
-    if len(key):
-        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
-    before = np.searchsorted(key >> np.uint64(53), np.arange(rows + 1, dtype=np.uint64))
-    return key & np.uint64((1 << 53) - 1), before
+    return h
 
 
-def _wrapped_sums(values: np.ndarray, before: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values, dtype=np.uint64, out=total[1:])
-    return (total[before[1:]] - total[before[:-1]]).view(np.int64)
+def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct 5-word shingles of each row as two independent 64-bit hashes, in the order of these, and how many come before each row (2048 rows at most).
+
+    With 1 to 4 words the whole sequence is one shingle.
+    """
+    words, at = word_digests(texts)
+    rows, count = len(at) - 1, np.diff(at)
+    row = np.repeat(np.arange(rows), count)
+    size = max(0, len(row) - WORDS + 1)
+    fits = row[:size] == row[WORDS - 1 :] if size else np.zeros(0, bool)
+    short = np.flatnonzero((count > 0) & (count < WORDS))
+    owner = np.concatenate([row[:size][fits], short])
+    halves = []
+    for half in words:
+        whole = np.zeros(len(short), np.uint64)
+        for k in range(WORDS - 1):
+            has = count[short] > k
+            whole[has] = mix(whole[has] * np.uint64(0x100000001B3) + half[at[short[has]] + k])
+        halves.append(np.concatenate([_chained(half, size)[fits], mix(whole + count[short].astype(np.uint64))]))
+    a, b = halves
+    key = (owner.astype(np.uint64) << np.uint64(53)) | (a >> np.uint64(11))
+    order = np.argsort(key)
+    same = lambda x: x[order][1:] == x[order][:-1]
+    if (same(key) & ~(same(a) & same(b))).any():  # the 53 bits don't order them
+        order = np.lexsort((b, a, owner))
+    new = np.ones(len(order), bool)
+    new[1:] = ~(same(owner) & same(a) & same(b))
+    order = order[new]
+    return a[order], b[order], np.searchsorted(owner[order], np.arange(rows + 1))
+
+
+def _set_digests(a: np.ndarray, b: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """A 128-bit digest of both hashes of all shingles of each row."""
+    both = np.stack([a, b], 1)
+    digests = b"".join(hashlib.blake2b(both[x:y].tobytes(), digest_size=16).digest() for x, y in zip(before[:-1].tolist(), before[1:].tolist(), strict=True))
+    return np.frombuffer(digests, np.int64).reshape(-1, 2).T
 
 
 def signatures(sets: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -91,17 +115,20 @@ def _lists(values: np.ndarray, width: int, kind: pa.DataType) -> pa.Array:
 
 
 def sign_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, two sums that stand for the shingle set, sig) for each row of docs."""
+    """(doc_id, row, n_shingles, set_a and set_b, a digest of the shingle set, sig) for each row of docs; row is an md5 of the text."""
 
     def kernel(batch: pa.RecordBatch) -> dict:
-        sets, before = shingle_sets(batch.column("text"))
-        sig = signatures(sets, before)
-        return {
-            "doc_id": batch.column("doc_id"), "n_shingles": np.diff(before), "set_a": _wrapped_sums(mix(sets), before), "set_b": _wrapped_sums(mix(sets + np.uint64(0x1F123BB5)), before),
-            "sig": _lists(sig.view(np.int16), CHUNKS * CHUNK, pa.int16()),
-        }
+        a, b, before = shingle_sets(batch.column("text"))
+        set_a, set_b = _set_digests(a, b, before)
+        sig = signatures(a, before)
+        return {"doc_id": batch.column("doc_id"), "row": batch.column("row"), "n_shingles": np.diff(before), "set_a": set_a, "set_b": set_b, "sig": _lists(sig.view(np.int16), CHUNKS * CHUNK, pa.int16())}
 
-    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), kernel, "doc_id long, n_shingles long, set_a long, set_b long, sig array<short>")
+    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("row"), "text"), kernel, "doc_id long, row string, n_shingles long, set_a long, set_b long, sig array<short>")
+
+
+def text_digest(text: Column) -> Column:
+    """Tells rows that repeat a doc_id apart; a null text counts as empty."""
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
 def bucket_keys(nodes: DataFrame) -> DataFrame:
@@ -135,26 +162,49 @@ def near(a: Column, b: Column, similar: int = SIMILAR) -> Column:
 
 
 def shingles_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, shingles): the full shingle sets of the documents whose doc_id is in nodes (node)."""
+    """(node, text, shingles): texts and hashes of the full shingle sets of the documents whose doc_id is in nodes (node)."""
 
     def kernel(batch: pa.RecordBatch) -> dict:
-        sets, before = shingle_sets(batch.column("text"))
-        return {"node": batch.column("node"), "shingles": pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), pa.array(sets.view(np.int64)))}
+        a, _, before = shingle_sets(batch.column("text"))
+        return {"node": batch.column("node"), "text": batch.column("text"), "shingles": pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), pa.array(a.view(np.int64)))}
 
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node", "left_semi")
-    return map_rows(texts, kernel, "node long, shingles array<long>")
+    return map_rows(texts, kernel, "node long, text string, shingles array<long>")
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) with the sizes of their full sets (na, nb) and of what they share (shared); of repeated doc_ids, the pair that shares most."""
+    """The pairs (a, b) with the sizes of their full sets (na, nb) and of what they share (shared), by hashes; of repeated doc_ids, the pair that shares most."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     rows = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
     return rows.groupBy("a", "b").agg(F.max(F.struct("shared", "na", "nb")).alias("m")).select("a", "b", "m.shared", "m.na", "m.nb")
 
 
-def linked(rows: DataFrame, similar: int = SIMILAR) -> DataFrame:
-    """The pairs of overlaps() that are similar enough."""
-    return rows.where(F.lit(100) * F.col("shared") >= F.lit(similar) * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
+def word_shingles(text: str | None) -> set[tuple[bytes, ...]]:
+    """The shingles of a text as the words themselves."""
+    words = (text or "").encode().translate(_LOWER).split()
+    return set(zip(*(words[k:] for k in range(WORDS)), strict=False)) if len(words) >= WORDS else {tuple(words)} if words else set()
+
+
+def linked(rows: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """The pairs (a, b) of overlaps() that are similar enough, by their hashes and then by their words.
+
+    Each side is joined with the texts by itself, so that few pairs are broadcast to them and many split by the adaptive skew join.
+    """
+    close = rows.where(F.lit(100) * F.col("shared") >= F.lit(similar) * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
+    close = shared_table(close)
+    side = lambda x: close.join(sets.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")), x)
+
+    def kernel(batch: pa.RecordBatch) -> dict:
+        known: dict[str | None, set] = {}
+        keep = []
+        for ta, tb in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
+            x, y = (known[t] if t in known else known.setdefault(t, word_shingles(t)) for t in (ta, tb))
+            shared = len(x & y)
+            keep.append(100 * shared >= similar * (len(x) + len(y) - shared))
+        return {"a": batch.column("a"), "b": batch.column("b"), "keep": pa.array(keep, pa.bool_())}
+
+    judged = map_rows(side("a").join(side("b"), ["a", "b"]).select("a", "b", "text_a", "text_b"), kernel, "a long, b long, keep boolean")
+    return judged.where("keep").select("a", "b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -191,13 +241,14 @@ def may_link(x: str, y: str, similar: int = SIMILAR) -> Column:
 
 
 def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
-    """One row for each row of docs (doc_id, text): n_shingles, component_id (the smallest doc_id reachable over links) and kept.
+    """One row for each row of docs (doc_id, text): row (text_digest), n_shingles, component_id (the smallest doc_id reachable over links) and kept.
 
     Links: 100 * shared shingles >= similar * all shingles of the two. Rows with the same shingle set are one class, which the smallest doc_id
     stands for; classes get 40 chunk keys each. A first round tries every class against one pivot: of the most frequented classes of its
     buckets, the most frequented. A second round takes the pairs in a bucket that are not yet in the same component and that bounds
-    (may_link) do not rule out. Both confirm on full sets. Texts without words are linked with nothing, as are rows without a doc_id
-    (component_id null, kept). Rows that repeat a doc_id are judged each by their own text.
+    (may_link) do not rule out; nodes with more shingles of their own than any link allows are out before that. Both confirm on the full
+    sets, of the words themselves (linked). Texts without words are linked with nothing, as are rows without a doc_id
+    (component_id null, kept). Rows that repeat a doc_id are judged each by their own text. Other columns of docs don't matter.
     """
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
@@ -209,7 +260,7 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     crowded = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = keyed.join(crowded, "key").checkpoint()
     met = members.groupBy("node").agg(F.sum("size").alias("met"))
-    sets = shingles_of(docs, met.select("node")).checkpoint()
+    sets = shared_table(shingles_of(docs, met.select("node")))
 
     known = members.join(met, "node").select("key", "node", "met")
     centres = known.groupBy("key").agg(F.max(F.struct(F.col("met"), (-F.col("node")).alias("less"))).alias("top"))
@@ -217,7 +268,7 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     stars = stars.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
     chosen = stars.where(near(F.col("sa"), F.col("sb"), similar)).groupBy("b").agg(F.max("top").alias("top")).select((-F.col("top.less")).alias("a"), "b")
     tried = overlaps(chosen, sets).checkpoint()
-    edges = linked(tried, similar)
+    edges = linked(tried, sets, similar).checkpoint()
     found = components(edges)
 
     placed = members.join(found, "node", "left").select("key", "slot", "node", F.coalesce("component", "node").alias("component"))
@@ -233,23 +284,24 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     # a repeated doc_id has several sets: bounds that hold for one set say nothing then
     facts = nodes.join(sizes, "node").join(own, "node", "left").join(sigs, "node").select(
         "node", "pivot", "apart", "sig", F.when(F.col("rows") > 1, F.lit(1 << 40)).otherwise(F.col("n")).cast("bigint").alias("n"), F.coalesce("own", F.lit(0)).alias("own"))
-    candidates = open_members.join(facts, "node").checkpoint()
+    # of the union with any partner at least `own` shingles are not shared, and the union has at most 100 / similar of the node's shingles
+    candidates = open_members.join(facts.where(F.col("own") * similar <= F.lit(100 - similar) * F.col("n")), "node").checkpoint()
     x, y = candidates.alias("x"), candidates.alias("y")
     crossing = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & may_link("x", "y", similar) & meets_first(F.col("x.sig"), F.col("y.sig"), F.col("x.slot")))
     pairs = crossing.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    more = linked(overlaps(pairs, sets), similar).checkpoint()
+    more = linked(overlaps(pairs, sets), sets, similar).checkpoint()
     if not more.isEmpty():
         found = components(edges.union(more))
 
     labelled = classes.select(*same_set, "node").join(found, "node", "left").select(*same_set, F.coalesce("component", "node").alias("component"))
-    rows = signed.select("doc_id", *same_set).join(labelled, same_set, "left")
+    rows = signed.select("doc_id", "row", *same_set).join(labelled, same_set, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return rows.select("doc_id", "row", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def op4_multi_index_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate groups of all `documents`."""
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("row")
 
 
 ORACLE_SQL = r"""

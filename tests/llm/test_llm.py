@@ -130,6 +130,8 @@ def test_decontamination(spark, odd, none, tmp_path):
     same(shuffled, columns, rows)
     left = decontamination.decontaminate(docs, bench)
     assert left.count() == docs.count() - 1 and left.columns == docs.columns and left.where("doc_id IS NULL").count() == 1
+    mixed = spark.createDataFrame([(7, " ".join(leak)), (7, "a clean text"), (None, " ".join(item)), (None, "clean")], "doc_id long, text string").withColumns({c: F.lit(c) for c in ("_id", "_row", "row", "seed", "laid", "under")})
+    assert [(r.doc_id, r.text) for r in decontamination.decontaminate(mixed, bench).orderBy("text").collect()] == [(7, "a clean text"), (None, "clean")]
     assert decontamination.find_contamination(docs, bench.where("1 = 0")).count() == 0 and decontamination.find_contamination(none, bench).count() == 0
 
 
@@ -200,6 +202,25 @@ def test_near_duplicates(spark, odd, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def test_words_with_equal_polynomial_hashes_are_not_linked(spark):
+    word = "a"
+    for _ in range(11):  # a Thue-Morse word and its complement: every polynomial hash modulo 2**64 gives them the same value
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = [" ".join([w] * 5) for w in (word, other)] + [f"one two {w} three four five" for w in (word, other)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()} == {(k, True) for k in range(4)}
+    a, b, _ = minhash.shingle_sets(df.toArrow().column("text").combine_chunks())
+    assert len(set(a)) == len(set(b)) == 6
+
+
+def test_links_are_confirmed_on_words(spark):
+    rows = [(1, 2, 3, 3, 3), (1, 3, 3, 3, 3), (2, 3, 1, 3, 3)]  # hashes say that 1, 2 and 3 are the same
+    pairs = spark.createDataFrame(rows[:2], "a long, b long, shared int, na int, nb int")
+    sets = spark.createDataFrame([(1, "a b c d e f g"), (2, "A  b c\td e f g"), (3, "other words with the same hashes a b")], "node long, text string")
+    assert [tuple(r) for r in minhash.linked(pairs, sets).collect()] == [(1, 2)]
+
+
 def test_hamming_index_guarantee():
     rng = np.random.default_rng(2)
     sig = rng.integers(0, 1 << 16, (200, 40)).astype(np.uint16)
