@@ -3,9 +3,13 @@
 The suffixes of a corpus are not sorted as one list: that would shuffle every byte position several times. They are dealt by content.
 A window of LENGTH bytes has an anchor, the place of its smallest GRAM-byte hash, which depends on the window's bytes alone, so equal
 windows have the same anchor gram and meet in one class. A run of windows with the same anchor is a segment. Segments whose gram occurs once hold
-no repeated window, and of equal segments all but the earliest are repeats. What is left - different segments around the same gram - is
-suffix-sorted, a block of whole classes at a time: sampled triples are sorted and named, the names sorted by recursion, the remaining
-suffixes merged, and the prefixes of neighbours compared.
+no repeated window, and of equal segments (by a 128-bit digest) all but the earliest are repeats. What is left - different segments around the
+same gram - is suffix-sorted, a block of whole classes at a time: sampled triples are sorted and named, the names sorted by recursion, the
+remaining suffixes merged, and the prefixes of neighbours compared.
+
+A class of more than CLASS segments is dealt on by longer grams until its parts are small enough to be sorted like all others: windows that
+have at least half of their slack to the right of the gram share that much more on the right, the others share it on the left, so each
+segment becomes two, around grams that are longer by half of what is missing. Six such steps at most give grams of whole windows.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column_at, map_rows, mix, prefix_hash, shared_table, shuffle_partitions, span_hash, table, text_bytes
+from .common import column_at, map_rows, prefix_hash, shared_table, shuffle_partitions, span_hash, table, text_bytes
 
 LENGTH = 100
 GRAM = 40
@@ -27,12 +31,14 @@ GRAM = 40
 PIECE = 1 << 20
 #: Whole classes are suffix-sorted together until they have so many bytes.
 BLOCK = 750_000
-#: A class of more segments is not brought into one task: its windows are told apart by 128-bit hashes, with an ordinary aggregation.
-HOT = 1000
+#: A class of more segments is dealt on by longer grams before it is sorted.
+CLASS = 1000
+#: A gram of more different segments in one slice of texts is announced to its class, and these segments are dealt by their digests.
+CROWD = 8
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
-    """Starts of the suffixes of s (integers from 1 on, fewer than 2**21 of them) in order, by the difference cover of 3."""
+    """Starts of the suffixes of s (integers from 1 on, fewer than 2**21 of them) in order, by the difference cover of 3 (Kärkkäinen and Sanders, 2003)."""
     n = len(s)
     if n < 3:
         return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), dtype=np.int64)
@@ -93,7 +99,7 @@ def repeated_starts(text: np.ndarray, starts: np.ndarray, place: np.ndarray, len
 
 
 def segments(body: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(row, lo, hi, gram hash, segment hash) of every run of windows lo..hi (places in the row) with the same anchor."""
+    """(row, lo, hi, anchor, gram hash) of every run of windows lo..hi (places in the row, as is the anchor) with the same anchor."""
     found: list[tuple[np.ndarray, ...]] = []
     reach = length - gram + 1
     n = len(body)
@@ -120,90 +126,140 @@ def segments(body: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
         keep = fits[begin]
         begin, end = begin[keep], end[keep]
         r = row[begin]
-        found.append((r, begin + piece - offsets[r], end + piece - offsets[r], h[anchor[begin]].view(np.int64), span_hash(prefix, begin, end + length).view(np.int64)))
+        found.append((r, begin + piece - offsets[r], end + piece - offsets[r], anchor[begin] + piece - offsets[r], h[anchor[begin]].view(np.int64)))
     if not found:
         return tuple(np.zeros(0, np.int64) for _ in range(5))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-SEGMENT = "gone boolean, h long, seg long, doc long, tie int, lo int, hi int"
-SPAN = "kind int, h long, w long, doc long, tie int, lo int, hi int"
+SEGMENT = "mark int, h long, sa long, sb long, doc long, tie long, lo int, hi int"
+SPAN = "kind int, h long, sa long, sb long, doc long, tie long, lo int, hi int"
+#: Marks of segments, in the order in which a task reads them: a repeat, one of a crowd, the announcement that a gram has one, any other.
+GONE, CROWDED, ANNOUNCED, PLAIN = range(4)
+#: Kinds of spans: repeated bytes, the first of the different segments of a shared gram, a segment whose class has a crowd somewhere.
+REPEAT, FIRST, APART = range(3)
+
+
+def _digests(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of a 128-bit BLAKE2b digest of each of some byte strings."""
+    joined = b"".join([hashlib.blake2b(p, digest_size=16).digest() for p in parts])
+    return tuple(np.frombuffer(joined, np.int64).reshape(-1, 2).T)  # type: ignore[return-value]
+
+
+def _table(names: str, values: tuple) -> dict:
+    kinds = [x.split() for x in names.split(", ")]
+    n = next(len(v) for v in values if not np.isscalar(v))
+    return {c: np.full(n, v, t) if np.isscalar(v) else np.asarray(v).astype(t) for (c, t), v in zip(((c, np.int64 if t == "long" else np.int32) for c, t in kinds), values, strict=True)}
 
 
 def _cut(docs: DataFrame) -> DataFrame:
-    """The segments of all texts. Of equal ones in a slice only the earliest goes on; the others are known to be repeats (gone)."""
+    """The segments of all texts. Of equal ones in a slice only the earliest goes on; the others are known to be repeats."""
 
     def kernel(batch: pa.RecordBatch) -> dict:
-        row, lo, hi, h, seg = segments(*text_bytes(batch.column("text")))
-        doc, tie = batch.column("doc").to_numpy()[row], batch.column("tie").to_numpy()[row]
-        order = np.lexsort((lo, tie, doc, seg, h))
-        doc, tie, lo, hi, h, seg = (x[order] for x in (doc, tie, lo, hi, h, seg))
-        same = np.zeros(len(h), bool)
-        same[1:] = (h[1:] == h[:-1]) & (seg[1:] == seg[:-1])
-        begin = np.flatnonzero(~same)[np.cumsum(~same) - 1] if len(h) else np.zeros(0, int)
-        gone = (doc != doc[begin]) | (tie != tie[begin]) | (lo != lo[begin])
-        return {"gone": gone, "h": h, "seg": seg, "doc": doc, "tie": tie.astype(np.int32), "lo": lo.astype(np.int32), "hi": hi.astype(np.int32)}
+        body, offsets = text_bytes(batch.column("text"))
+        row, lo, hi, _, h = segments(body, offsets)
+        raw, start = body.tobytes(), offsets[row]
+        sa, sb = _digests([raw[x:y] for x, y in zip((start + lo).tolist(), (start + hi + LENGTH).tolist(), strict=True)])
+        doc, tie = (batch.column(c).to_numpy()[row] for c in ("doc", "tie"))
+        order = np.lexsort((lo, tie, doc, sb, sa, h))
+        h, sa, sb, doc, tie, lo, hi = columns = [x[order] for x in (h, sa, sb, doc, tie, lo, hi)]
+        new_h, new = _changes(h), _changes(h, sa, sb)
+        begin = np.flatnonzero(new)[np.cumsum(new) - 1] if len(h) else np.zeros(0, int)
+        mark = np.where((doc != doc[begin]) | (tie != tie[begin]) | (lo != lo[begin]), GONE, PLAIN)
+        cls = np.cumsum(new_h) - 1
+        crowd = np.bincount(cls, new)[cls] > CROWD if len(h) else np.zeros(0, bool)
+        mark[crowd & (mark == PLAIN)] = CROWDED
+        told = crowd & new_h
+        values = [np.concatenate([x, x[told]]) for x in (mark, *columns)]
+        values[0][len(h) :] = ANNOUNCED
+        return _table(SEGMENT, tuple(values))
 
     return map_rows(docs.select("doc", "tie", "text"), kernel, SEGMENT)
 
 
-def _spans(kind: np.ndarray | int, h: np.ndarray, w: np.ndarray, doc: np.ndarray, tie: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
-    n = len(doc)
-    full = lambda x, t: np.full(n, x, t) if np.isscalar(x) else np.asarray(x).astype(t)
-    return pa.RecordBatch.from_pydict({"kind": full(kind, np.int32), "h": full(h, np.int64), "w": full(w, np.int64), "doc": full(doc, np.int64), "tie": full(tie, np.int32), "lo": full(lo, np.int32), "hi": full(hi, np.int32)})
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where sorted rows differ from the one before."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return out
+
+
+def _spans(*values: np.ndarray | int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict(_table(SPAN, values))
 
 
 def _told_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (gone, h, seg, place): spans of repeats (kind 0), and the first of each different segment of a shared gram (kind 1).
+    """Of segments sorted by (mark below PLAIN or not, h, mark, digest, place): spans of repeats, the first of each different segment of a shared
+    gram, and the segments of classes that have a crowd.
 
     Only one row is held back, the first of a class that has shown one segment so far.
     """
-    last_h = last_seg = last_place = held = None
+    last_h = last = last_place = held = announced = None
     several = False
     for batch in batches:
-        gone, h, seg, doc, tie, lo, hi = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("gone", "h", "seg", "doc", "tie", "lo", "hi"))
+        mark, *rows = (batch.column(c).to_numpy() for c in ("mark", "h", "sa", "sb", "doc", "tie", "lo", "hi"))
+        gone = mark == GONE
         if gone.any():
-            yield _spans(0, 0, 0, doc[gone], tie[gone], lo[gone], hi[gone] + LENGTH)
-            h, seg, doc, tie, lo, hi = (x[~gone] for x in (h, seg, doc, tie, lo, hi))
+            h, sa, sb, doc, tie, lo, hi = (x[gone] for x in rows)
+            yield _spans(REPEAT, 0, 0, 0, doc, tie, lo, hi + LENGTH)
+        told = np.unique(rows[0][mark == ANNOUNCED])
+        apart = mark == CROWDED
+        apart |= (mark == PLAIN) & (np.isin(rows[0], told) | (rows[0] == announced if announced is not None else False))
+        if len(told):
+            announced = rows[0][mark == ANNOUNCED][-1]
+        if apart.any():
+            yield _spans(APART, *(x[apart] for x in rows))
+        plain = (mark == PLAIN) & ~apart
+        h, sa, sb, doc, tie, lo, hi = (x[plain] for x in rows)
         n = len(h)
         if not n:
             continue
-        new_h, new_seg = np.ones(n, bool), np.ones(n, bool)
-        new_h[1:] = h[1:] != h[:-1]
-        new_seg[1:] = new_h[1:] | (seg[1:] != seg[:-1])
+        new_h, new = _changes(h), _changes(h, sa, sb)
         if last_h is not None and h[0] == last_h:
-            new_h[0], new_seg[0] = False, seg[0] != last_seg
-        group = np.cumsum(new_seg) - 1
-        begins = np.flatnonzero(new_seg)
+            new_h[0], new[0] = False, (sa[0], sb[0]) != last
+        group = np.cumsum(new) - 1
+        begins = np.flatnonzero(new)
         places = np.stack([doc, tie, lo], 1).astype(np.int64)
         first = places[begins[np.maximum(group, 0)]] if len(begins) else np.zeros((n, 3), np.int64)
         if group[0] < 0:
             first[group < 0] = last_place
-        repeat = ~new_seg & (places != first).any(1)
+        repeat = ~new & (places != first).any(1)
         if repeat.any():
-            yield _spans(0, 0, 0, doc[repeat], tie[repeat], lo[repeat], hi[repeat] + LENGTH)
+            yield _spans(REPEAT, 0, 0, 0, doc[repeat], tie[repeat], lo[repeat], hi[repeat] + LENGTH)
         cls = np.cumsum(new_h)
-        count = np.bincount(cls, new_seg, int(cls[-1]) + 1).astype(int)
+        count = np.bincount(cls, new, int(cls[-1]) + 1).astype(int)
         if not new_h[0]:
             count[0] += 2 if several else 1
             if count[0] > 1 and held is not None:
-                yield _spans(1, *held)
+                yield _spans(FIRST, *held)
                 held = None
-        emit = new_seg & (count[cls] > 1)
+        emit = new & (count[cls] > 1)
         if emit.any():
-            yield _spans(1, h[emit], 0, doc[emit], tie[emit], lo[emit], hi[emit])
+            yield _spans(FIRST, h[emit], 0, 0, doc[emit], tie[emit], lo[emit], hi[emit])
         several = bool(count[cls[-1]] > 1)
         if new_h.any() or held is None:
             held = None
         if not several:
-            k = np.flatnonzero(new_seg & (cls == cls[-1]))
+            k = np.flatnonzero(new & (cls == cls[-1]))
             if len(k):
                 k = k[:1]
-                held = (h[k], 0, doc[k], tie[k], lo[k], hi[k])
-        last_h, last_seg = h[-1], seg[-1]
+                held = (h[k], 0, 0, doc[k], tie[k], lo[k], hi[k])
+        last_h, last = h[-1], (sa[-1], sb[-1])
         last_place = first[-1]
 
 
+def settle(rows: DataFrame, more: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Of segments (h, sa, sb, doc, tie, lo, hi, more), the first of each different one, and the others as repeats (doc, tie, lo, hi).
+
+    Segments are grouped by gram and digest with partial aggregates, so a gram or a segment that is everywhere is no hot key.
+    """
+    key, place = ["h", "sa", "sb"], ["doc", "tie", "lo"]
+    firsts = rows.groupBy(*key).agg(F.min(F.struct(*place, "hi", *more)).alias("m")).select(*key, "m.*")
+    known = firsts.select(*key, F.struct(*place).alias("first"))
+    repeats = rows.join(known, key).where(F.struct(*place) > F.col("first")).select(*place, (F.col("hi") + LENGTH).cast("int").alias("hi"))
+    return firsts, repeats
+
+
 def windows_of(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The bytes of segments put together; for each of their windows where it starts in them, its segment, and its place there."""
     length = np.array([len(b) for b in raw], np.int64)
@@ -213,8 +269,11 @@ def windows_of(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return np.frombuffer(b"".join(raw), np.uint8), np.repeat(np.cumsum(length) - length, count) + inner, seg, inner
 
 
+PART = f"{SPAN}, at int, gram int, bytes binary"
+
+
 def _sorted_blocks(batches: Iterator[pa.RecordBatch], block: int = BLOCK) -> Iterator[pa.RecordBatch]:
-    """Of segments with their bytes, sorted by h: spans of repeated windows (kind 0). Hashed windows (kind 2) pass through."""
+    """Of segments (h, doc, tie, lo, bytes) sorted by h: the spans of their repeated windows."""
     kept: dict[str, list] = {c: [] for c in ("doc", "tie", "lo", "bytes")}
     last, size = None, 0
 
@@ -224,17 +283,12 @@ def _sorted_blocks(batches: Iterator[pa.RecordBatch], block: int = BLOCK) -> Ite
         order = np.lexsort((lo, tie, doc))
         # places in the order of (doc, tie, start): a rank for each text, then the start
         rank = np.zeros(len(doc), np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], ((np.diff(doc[order]) != 0) | (np.diff(tie[order]) != 0)).astype(np.int64)]))
+        rank[order] = np.cumsum(_changes(doc[order], tie[order])) - 1
         pick = np.flatnonzero(repeated_starts(text, starts, (rank[seg] << 32) | (lo[seg] + inner)))
         at = lo[seg[pick]] + inner[pick]
-        return _spans(0, 0, 0, doc[seg[pick]], tie[seg[pick]], at, at + LENGTH)
+        return _spans(REPEAT, 0, 0, 0, doc[seg[pick]], tie[seg[pick]], at, at + LENGTH)
 
     for batch in batches:
-        kind = batch.column("kind").to_numpy()
-        if (kind == 2).any():
-            hashed = batch.filter(pa.array(kind == 2))
-            yield hashed.select([c.split()[0] for c in SPAN.split(", ")])
-            batch = batch.filter(pa.array(kind != 2))
         for h, *row in zip(*(batch.column(c).to_pylist() for c in ("h", *kept)), strict=True):
             if h != last and size > block:
                 yield suffix_sorted()
@@ -248,43 +302,85 @@ def _sorted_blocks(batches: Iterator[pa.RecordBatch], block: int = BLOCK) -> Ite
         yield suffix_sorted()
 
 
+def _parts(rows: list[tuple]) -> dict:
+    """Rows (large, h, doc, tie, lo, bytes, at, gram) as a table of PART; `at` is where the gram starts in the bytes."""
+    large, h, doc, tie, lo, raw, at, gram = (list(x) for x in zip(*rows, strict=True)) if rows else [[]] * 8
+    sa, sb = _digests(raw)
+    hi = np.array(lo, np.int64) + np.array([len(x) for x in raw], np.int64) - LENGTH
+    return _table(f"{SPAN}, at int, gram int", (np.array(large, np.int32), np.array(h, np.int64), sa, sb, np.array(doc, np.int64), np.array(tie, np.int64), np.array(lo, np.int64), hi, np.array(at, np.int64), np.array(gram, np.int64))) | {"bytes": pa.array(raw, pa.binary())}
+
+
 def _extracted(batch: pa.RecordBatch) -> dict:
-    """The segments (segs) of texts with their bytes (kind 1); of hot classes instead hashes h, w of each window (kind 2)."""
+    """The segments (segs) of texts with their bytes; kind says whether their class is large."""
     rows = []
     for doc, tie, text, segs in zip(*(batch.column(c).to_pylist() for c in ("doc", "tie", "text", "segs")), strict=True):
         raw = (text or "").encode()
-        rows += [(s["h"], doc, tie, s["lo"], s["hi"], s["hot"], raw[s["lo"] : s["hi"] + LENGTH]) for s in segs]
-    plain, hot = [r for r in rows if not r[5]], [r for r in rows if r[5]]
-    text, starts, seg, inner = windows_of([r[6] for r in hot])
-    h, w = (span_hash(prefix_hash(t), starts, starts + LENGTH).view(np.int64) for t in (text, mix(text.astype(np.uint64))))
-    doc, tie, lo = (np.array([r[k] for r in hot], np.int64)[seg] for k in (1, 2, 3))
-    both = lambda k, values: np.concatenate([np.array([r[k] for r in plain], np.int64), values])
-    at = both(3, lo + inner)
-    return {
-        "kind": np.concatenate([np.ones(len(plain)), np.full(len(seg), 2)]).astype(np.int32), "h": both(0, h), "w": np.concatenate([np.zeros(len(plain), np.int64), w]),
-        "doc": both(1, doc), "tie": both(2, tie).astype(np.int32), "lo": at.astype(np.int32), "hi": (at + LENGTH).astype(np.int32),
-        "bytes": pa.array([*(r[6] for r in plain), *[None] * len(seg)], pa.binary()),
-    }
-
-
-def repeated_spans(docs: DataFrame, block: int = BLOCK, hot_class: int = HOT) -> DataFrame:
+        for s in segs:
+            part = raw[s["lo"] : s["hi"] + LENGTH]
+            at = 0
+            if s["large"]:
+                body = np.frombuffer(part, np.uint8)
+                at = int(segments(body, np.array([0, len(body)]))[3][0])
+            rows.append((s["large"], s["h"], doc, tie, s["lo"], part, at, GRAM))
+    return _parts(rows)
+
+
+def _dealt_on(batch: pa.RecordBatch) -> dict:
+    """Each segment as up to two around longer grams: that of the windows which have what is added on their right, and that of the others."""
+    rows = []
+    for h, doc, tie, lo, at, gram, raw in zip(*(batch.column(c).to_pylist() for c in ("h", "doc", "tie", "lo", "at", "gram", "bytes")), strict=True):
+        slack = LENGTH - gram
+        right = (slack + 1) // 2
+        left = slack - right + 1
+        first, last = 0, len(raw) - LENGTH  # window starts
+        for low, high, begin, end in ((max(first, at - (slack - right)), last, at, at + gram + right), (first, min(last, at - left), at - left, at + gram)):
+            if low <= high:
+                longer = raw[begin:end]
+                name = hashlib.blake2b(b"%d %d " % (h, begin == at) + longer, digest_size=8).digest()
+                rows.append((1, int.from_bytes(name, "little", signed=True), doc, tie, lo + low, raw[low : high + LENGTH], begin - low, len(longer)))
+    return _parts(rows)
+
+
+def _large(firsts: DataFrame, class_size: int) -> DataFrame:
+    """(h, n) of the grams with over class_size different segments; written, so that the join with it is a plain one of two tables."""
+    return shared_table(firsts.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > class_size))
+
+
+def repeated_spans(docs: DataFrame, block: int = BLOCK, class_size: int = CLASS) -> DataFrame:
     """(doc, tie, lo, hi): spans of bytes of docs (doc, tie, text) that make up all repeated windows; they may overlap."""
     n = shuffle_partitions(docs.sparkSession)
-    dealt = F.when(F.col("gone"), F.xxhash64("doc", "lo")).otherwise(F.xxhash64("h"))
-    apart = shared_table(_cut(docs).repartition(n, dealt).sortWithinPartitions("gone", "h", "seg", "doc", "tie", "lo").mapInArrow(_told_apart, SPAN))
-    firsts = apart.where("kind = 1").select("h", "doc", "tie", "lo", "hi")
-    # written, so that the join below is a plain one of two tables: small ones are broadcast by their size, else skewed partitions are split
-    hot = shared_table(firsts.groupBy("h").count().where(F.col("count") > hot_class).select("h", F.lit(True).alias("hot")))
-    wanted = firsts.join(hot, "h", "left").groupBy("doc", "tie").agg(F.collect_list(F.struct("h", "lo", "hi", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("segs"))
-    cut = map_rows(docs.join(wanted, ["doc", "tie"]).select("doc", "tie", "text", "segs"), _extracted, f"{SPAN}, bytes binary")
-    dealt = F.when(F.col("kind") == 2, F.xxhash64("h", "w", "doc")).otherwise(F.xxhash64("h"))
-    ordered = shared_table(cut.repartition(n, dealt).sortWithinPartitions("kind", "h").mapInArrow(partial(_sorted_blocks, block=block), SPAN))
-    hot = ordered.where("kind = 2")
-    place = F.struct("doc", "tie", "lo")
-    first = hot.groupBy("h", "w").agg(F.min(place).alias("first"))
-    late = hot.join(first, ["h", "w"]).where(place > F.col("first"))
-    columns = ["doc", "tie", "lo", "hi"]
-    return apart.where("kind = 0").select(columns).union(ordered.where("kind = 0").select(columns)).union(late.select(columns))
+    columns, place = ["doc", "tie", "lo", "hi"], ["doc", "tie", "lo"]
+    dealt = F.when(F.col("mark") == GONE, F.xxhash64("doc", "lo")).when(F.col("mark") == CROWDED, F.xxhash64("h", "sa", "sb")).otherwise(F.xxhash64("h"))
+    cut = _cut(docs).repartition(n, dealt).sortWithinPartitions(F.col("mark") < ANNOUNCED, "h", "mark", "sa", "sb", *place)
+    apart = shared_table(cut.mapInArrow(_told_apart, SPAN))
+    found = apart.where(F.col("kind") == REPEAT).select(columns)
+
+    # grams with a crowd in some slice have different segments for certain
+    crowds, again = settle(apart.where(F.col("kind") == APART), [])
+    crowds = shared_table(crowds.select("h", *columns))
+    firsts = apart.where(F.col("kind") == FIRST).select("h", *columns).union(crowds)
+    large = _large(firsts, class_size)
+    wanted = firsts.join(large, "h", "left").groupBy("doc", "tie").agg(F.collect_list(F.struct("h", "lo", "hi", F.col("n").isNotNull().cast("int").alias("large"))).alias("segs"))
+    extracted = map_rows(docs.join(wanted, ["doc", "tie"]).select("doc", "tie", "text", "segs"), _extracted, PART)
+    found = found.union(again.select(columns))
+
+    def sort_blocks(parts: DataFrame) -> DataFrame:
+        ordered = parts.repartition(n, F.xxhash64("h")).sortWithinPartitions("h").select("h", *place, "bytes")
+        return ordered.mapInArrow(partial(_sorted_blocks, block=block), SPAN).select(columns)
+
+    if large.isEmpty():
+        return found.union(shared_table(sort_blocks(extracted)))
+    parts = shared_table(extracted)
+    ready = parts.where("kind = 0")
+    while True:
+        parts = shared_table(map_rows(parts.where("kind = 1"), _dealt_on, PART))
+        firsts, again = settle(parts, ["at", "gram", "bytes"])
+        found = found.union(shared_table(again.select(columns)))
+        sizes = firsts.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+        parts = shared_table(firsts.join(sizes, "h").withColumn("kind", (F.col("n") > class_size).cast("int")).select(*(c.split()[0] for c in PART.split(", "))))
+        ready = ready.union(parts.where("kind = 0"))
+        if parts.where("kind = 1").isEmpty():
+            return found.union(shared_table(sort_blocks(ready)))
 
 
 def merged(spans: list, whole_characters: bytes | None = None) -> list[tuple[int, int]]:
@@ -305,22 +401,29 @@ def merged(spans: list, whole_characters: bytes | None = None) -> list[tuple[int
     return [(lo, hi) for lo, hi in runs if lo < hi]
 
 
-def with_spans(docs: DataFrame, block: int = BLOCK, hot_class: int = HOT) -> DataFrame:
+def with_spans(docs: DataFrame, block: int = BLOCK, class_size: int = CLASS) -> DataFrame:
     """(document, spans): each row of docs as a struct, and an array of (lo, hi) or null, the repeated bytes of its text.
 
-    Rows are ordered by doc_id (null first); rows that repeat a doc_id with another text by a checksum of it, and rows that repeat both
-    count as one document. Null texts and texts under LENGTH bytes have no spans.
+    Rows are ordered by doc_id (null first); rows that repeat a doc_id with another text by a digest of it, and rows that repeat both
+    count as one document. Null texts and texts under LENGTH bytes have no spans; an empty table gives an empty result.
     """
     again = docs.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    tie = F.crc32(F.coalesce("text", F.lit(""))) - (1 << 31) if again else F.lit(0)
-    keyed = docs.select(F.struct(*docs.columns).alias("document"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), tie.cast("int").alias("tie"))
+    keyed = docs.select(F.struct(*docs.columns).alias("document"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"))
+    if again:
+        # numbers in the order of the digests, for the different texts of each doc_id that has several
+        pairs = keyed.select("doc", "digest").distinct()
+        several = pairs.groupBy("doc").count().where("count > 1").select("doc")
+        ties = shared_table(pairs.join(several, "doc", "left_semi").orderBy("doc", "digest").withColumn("tie", F.monotonically_increasing_id()))
+        keyed = keyed.join(ties, ["doc", "digest"], "left").select("document", "doc", F.coalesce("tie", F.lit(0)).cast("long").alias("tie"))
+    else:
+        keyed = keyed.select("document", "doc", F.lit(0).cast("long").alias("tie"))
     source = keyed.select("doc", "tie", "document.text")
-    spans = repeated_spans(source.dropDuplicates(["doc", "tie"]) if again else source, block, hot_class)
+    spans = repeated_spans(source.dropDuplicates(["doc", "tie"]) if again else source, block, class_size)
     lists = spans.groupBy("doc", "tie").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     return keyed.join(lists, ["doc", "tie"], "left").select("document", "spans")
 
 
-def remove_repeats(docs: DataFrame, block: int = BLOCK, hot_class: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, block: int = BLOCK, class_size: int = CLASS) -> DataFrame:
     """docs with the repeated bytes cut out of `text`. A character of which only a part is repeated stays whole, so that the text stays UTF-8."""
 
     def kernel(batch: pa.RecordBatch) -> dict:
@@ -335,12 +438,12 @@ def remove_repeats(docs: DataFrame, block: int = BLOCK, hot_class: int = HOT) ->
             texts.append(text)
         return {"document": batch.column("document"), "text": pa.array(texts, pa.string())}
 
-    rows = with_spans(docs, block, hot_class)
+    rows = with_spans(docs, block, class_size)
     cut = map_rows(rows, kernel, rows.select("document", "document.text").schema)
     return cut.select(*(F.col("text") if c == "text" else F.col("document").getField(c).alias(c) for c in docs.columns))
 
 
-def repeat_digests(docs: DataFrame, block: int = BLOCK, hot_class: int = HOT) -> DataFrame:
+def repeat_digests(docs: DataFrame, block: int = BLOCK, class_size: int = CLASS) -> DataFrame:
     """For each row: n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 of the remaining bytes."""
 
     def kernel(batch: pa.RecordBatch) -> dict:
@@ -356,7 +459,7 @@ def repeat_digests(docs: DataFrame, block: int = BLOCK, hot_class: int = HOT) ->
                 out[c].append(v)
         return {"doc_id": column_at(batch, "document.doc_id")} | {c: pa.array(v, pa.string() if c == "kept_sha256" else pa.int64()) for c, v in out.items()}
 
-    rows = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), block, hot_class)
+    rows = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), block, class_size)
     return map_rows(rows, kernel, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 

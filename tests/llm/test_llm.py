@@ -334,18 +334,41 @@ def test_suffix_array():
         assert suffix_dedup.suffix_array(x).tolist() == sorted(range(len(x)), key=lambda i: x[i:].tolist())
 
 
-@pytest.mark.parametrize(("block", "hot"), [(suffix_dedup.BLOCK, suffix_dedup.HOT), (1000, 1000), (suffix_dedup.BLOCK, 5), (1000, 0)])
-def test_suffix_dedup(spark, block, hot):
+@pytest.mark.parametrize(("block", "size", "crowd"), [(suffix_dedup.BLOCK, suffix_dedup.CLASS, suffix_dedup.CROWD), (1000, 1000, 0), (suffix_dedup.BLOCK, 5, 2), (1000, 0, 8)])
+def test_suffix_dedup(spark, block, size, crowd, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
     rng = random.Random(21)
     passage = prose(rng, 60)
     docs = list(enumerate(odd_texts()))
     docs += [(len(docs) + k, prose(rng, rng.randint(0, 40)) + " " + passage[rng.randint(0, 60) :] + " " + prose(rng, 30)) for k in range(25)]
     docs.append((len(docs), "zy" * 400 + passage + "zy" * 300))
+    docs += [(len(docs) + k, f"{k} {passage[:140]} {k * 7}") for k in range(30)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.repeat_digests(df, block, hot).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.repeat_digests(df, block, size).collect()}
     assert got == removed(docs)
 
 
+def test_suffix_dedup_of_very_long_texts(spark):
+    rng = random.Random(5)
+    long = prose(rng, 200_000)  # over 1 MiB, so read in pieces
+    edge = suffix_dedup.PIECE - 150
+    docs = [(1, long), (2, "x" + long[edge : edge + 400] + "y"), (3, prose(rng, 30) + long[-5000:]), (4, long[:3000] + "!" + long[700_000:700_300])]
+    assert len(long) > 1 << 20
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.repeat_digests(df).collect()}
+    assert got == removed(docs)
+
+
+def test_suffix_dedup_ties(spark):
+    rng = random.Random(6)
+    a, b = prose(rng, 50), prose(rng, 50)
+    first, second = sorted([f"{a} {b}", f"{b} {a}"], key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    df = spark.createDataFrame([(1, first), (1, second), (1, second), (None, b), (2, a)], "doc_id long, text string")
+    rows = {(r.doc_id, r.text) for r in suffix_dedup.remove_repeats(df).collect()}
+    left = [t for i, t in rows if i == 1]
+    assert (None, b) in rows and (2, "") in rows and len(left) == 2 and sum(map(len, left)) < len(a) + 40
+
+
 def test_suffix_dedup_odd_rows(spark, odd, none):
     out = suffix_dedup.remove_repeats(odd)
     assert out.columns == odd.columns and out.count() == odd.count() and suffix_dedup.remove_repeats(none).count() == 0
