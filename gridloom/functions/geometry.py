@@ -80,9 +80,31 @@ class _Padded(tuple):
             n -= 1
         return hash(tuple(self[:n]))
 
+    @classmethod
+    def fill(cls, rank: int, value: int):  # noqa: ANN206
+        return cls([value] * rank)
+
+    @classmethod
+    def zero(cls, rank: int):  # noqa: ANN206
+        return cls.fill(rank, 0)
+
+    @classmethod
+    def one(cls, rank: int):  # noqa: ANN206
+        return cls.fill(rank, 1)
+
+    @classmethod
+    def from_(cls, values: Sequence[int], rank: int | None = None):  # noqa: ANN206
+        """From a sequence; with a rank, padded or cut to it as it is (to_rank checks)."""
+        out = cls(values)
+        return out if rank is None else cls([out.get(k) for k in range(rank)])
+
+    def is_convertible_to(self, rank: int) -> bool:
+        """Whether the value fits so many axes: those that go must have the default."""
+        return all(x == self.default for x in self[rank:])
+
     def to_rank(self, rank: int):  # noqa: ANN201
         """The same value with `rank` axes; axes that go must have the default, else ValueError."""
-        if any(x != self.default for x in self[rank:]):
+        if not self.is_convertible_to(rank):
             raise ValueError(f"{self!r} doesn't fit rank {rank}")
         return type(self)([self.get(k) for k in range(rank)])
 
@@ -121,6 +143,14 @@ class Bounds(_Padded):
 
     default = Range(0, 1)
 
+    @classmethod
+    def zero(cls, rank: int) -> Bounds:
+        return cls.fill(rank, Range(0, 0))  # type: ignore[arg-type]
+
+    @classmethod
+    def one(cls, rank: int) -> Bounds:
+        return cls.fill(rank, Range(0, 1))  # type: ignore[arg-type]
+
     @classmethod
     def of(cls, axes: Iterable[int | Range | tuple[int, int]]) -> Bounds:
         return cls(x if isinstance(x, Range) else Range(*x) if isinstance(x, tuple) else Range.upto(x) for x in axes)

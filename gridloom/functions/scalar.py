@@ -68,7 +68,7 @@ def tried(value: Column, dtype: ScalarType) -> Column:
 
 
 def _wide(a: Column) -> Column:
-    return a.cast("decimal(19,0)")
+    return a.cast("decimal(20,0)")
 
 
 def checked_add(a: Column, b: Column, dtype: ScalarType) -> Column:
@@ -79,22 +79,28 @@ def checked_sub(a: Column, b: Column, dtype: ScalarType) -> Column:
     return checked(_wide(a) - _wide(b), dtype)
 
 
-def checked_mul(a: Column, b: Column, dtype: ScalarType) -> Column:
-    return checked(_wide(a) * _wide(b), dtype)
+def product(a: Column, b: Column) -> Column:
+    """The exact product as a decimal of 38 digits, or null where it has more (no integer type has)."""
+    return F.try_multiply(_wide(a), _wide(b)).cast("decimal(38,0)")
+
+
+def checked_mul(a: Column, b: Column, dtype: ScalarType, message: str = "overflow") -> Column:
+    exact = product(a, b)
+    return F.when(exact.isNull() & a.isNotNull() & b.isNotNull(), F.raise_error(F.lit(message)).cast(dtype.spark)).otherwise(checked(exact, dtype, message))
 
 
 def checked_neg(a: Column, dtype: ScalarType) -> Column:
     return checked(-_wide(a), dtype)
 
 
-def checked_sum(a: Column, dtype: ScalarType) -> Column:
-    """Aggregate: the exact sum, raising when it doesn't fit dtype; 0 for no rows."""
-    return checked(F.coalesce(F.sum(_wide(a)), F.lit(0)), dtype)
+def checked_sum(a: Column, dtype: ScalarType, initial: int = 0) -> Column:
+    """Aggregate: the exact sum and an initial value, raising when it doesn't fit dtype; the initial value for no rows."""
+    return checked(F.coalesce(F.sum(_wide(a)), F.lit(0)) + F.lit(str(initial)).cast("decimal(20,0)"), dtype)
 
 
 def checked_fold_product(values: Column, dtype: ScalarType, initial: int = 1) -> Column:
     """The product of an array, raising as soon as a partial product doesn't fit dtype."""
-    return F.aggregate(values, F.lit(initial).cast(dtype.spark), lambda acc, x: checked_mul(acc, x, dtype))
+    return F.aggregate(values, F.lit(str(initial)).cast(dtype.spark), lambda acc, x: checked_mul(acc, x, dtype))
 
 
 def _exact(a: Column, kind: str) -> Column:

@@ -63,3 +63,12 @@ def test_columns_follow_the_values(spark):
         x, y = Bounds.of([(r[0], r[1]), (r[2], r[3])]), Bounds.of([(r[4], r[5]), (r[6], r[7])])
         back = lambda v: Bounds.of([(e["begin"], e["end"]) for e in v])
         assert (r.volume, r.o, r.c, back(r.i), back(r.u)) == (x.volume, x.overlaps(y), x.contains(y), x.intersection(y), x.unite(y))
+
+
+def test_constructors():
+    from gridloom.functions.geometry import Bounds, Dim, Point, Range
+
+    assert Dim.fill(3, 7) == Dim([7, 7, 7]) and Dim.one(2) == Dim([]) and Dim.zero(2).is_empty and Point.zero(3) == Point([])
+    assert Dim.from_([2, 3], 4) == Dim([2, 3, 1, 1]) and Dim.from_([2, 3], 1) == Dim([2]) and Point.from_([4]) == Point([4, 0])
+    assert Dim([2, 1]).is_convertible_to(1) and not Dim([2, 3]).is_convertible_to(1) and Point([1, 0, 0]).is_convertible_to(1)
+    assert Bounds.zero(2).is_empty and Bounds.one(2).volume == 1 and Bounds.one(2) == Bounds.of([Range(0, 1)])

@@ -29,10 +29,13 @@ def test_integer_functions(spark):
         (S.checked_add, "Int32", 2**31 - 1, 1, None), (S.checked_add, "Int32", -(2**31), -1, None), (S.checked_sub, "Int32", 2**31 - 1, -1, None),
         (S.checked_mul, "Int32", -(2**31), -1, None), (S.checked_mul, "Int32", 2**31 - 1, -1, -2147483647), (S.checked_sub, "Uint32", 0, 1, None),
         (S.checked_add, "Int8", 127, 1, None), (S.checked_mul, "Int8", 127, -1, -127), (S.checked_add, "Int64", 2**63 - 1, 1, None), (S.checked_add, "Int64", 5, 6, 11),
+        (S.checked_add, "Uint64", 15 * 10**18, 1, 15 * 10**18 + 1), (S.checked_add, "Uint64", 2**64 - 1, 1, None), (S.checked_sub, "Uint64", 0, 1, None),
+        (S.checked_mul, "Uint64", 2**32, 2**32 - 1, 2**64 - 2**32), (S.checked_mul, "Uint64", 2**64 - 1, 2**64 - 1, None), (S.checked_mul, "Int64", -(2**63), 2**63 - 1, None),
     ],
 )
 def test_checked(spark, f, dtype, a, b, expected):
-    column = f(F.lit(a), F.lit(b), TYPES[dtype])
+    wide = lambda x: F.lit(str(x)).cast("decimal(20,0)") if abs(x) >= 2**63 else F.lit(x)
+    column = f(wide(a), wide(b), TYPES[dtype])
     if expected is None:
         with pytest.raises(Exception, match="overflow"):
             one(spark, column)
@@ -43,6 +46,9 @@ def test_checked(spark, f, dtype, a, b, expected):
 def test_checked_folds(spark):
     df = spark.createDataFrame([(1,), (2,), (2**31 - 1,), (4,)], "v long")
     assert df.agg(S.checked_sum(F.col("v"), TYPES["Int64"]).alias("x")).first().x == 2147483654
+    assert df.where("v = 0").agg(S.checked_sum(F.col("v"), TYPES["Int64"], 5).alias("x")).first().x == 5
+    with pytest.raises(Exception, match="overflow"):
+        df.where("v = 4").agg(S.checked_sum(F.col("v"), TYPES["Int8"], 124).alias("x")).first()
     with pytest.raises(Exception, match="overflow"):
         df.agg(S.checked_sum(F.col("v"), TYPES["Int32"]).alias("x")).first()
     values = F.array(*(F.lit(x).cast("bigint") for x in (1, (2**31 - 1) // 2, 3)))
