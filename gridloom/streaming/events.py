@@ -6,7 +6,7 @@ import threading
 from collections.abc import Callable, Iterable
 from concurrent.futures import Future, ThreadPoolExecutor, TimeoutError, wait
 
-from pyspark import InheritableThread
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.arrayframe import ArrayFrame
@@ -59,23 +59,31 @@ def join(*events: Event) -> Event:
 
 
 class Runner:
-    """Submits Spark actions from threads of one session; `pool` names the scheduler pool that they share."""
+    """Submits Spark actions from threads of one session; `pool` names the scheduler pool that they share.
 
-    def __init__(self, spark: SparkSession, threads: int = 8, pool: str | None = None) -> None:
-        self.spark, self.pool = spark, pool
+    With debug, work runs at once in the caller's thread, one piece after the other; its error still comes with the event.
+    """
+
+    def __init__(self, spark: SparkSession, threads: int = 8, pool: str | None = None, debug: bool = False) -> None:
+        self.spark, self.pool, self.debug = spark, pool, debug
         self._threads = ThreadPoolExecutor(threads)
         self._open: list[Event] = []
+        self._kept: list[DataFrame] = []
+        self._writers: dict[int, Event] = {}
         self._lock = threading.Lock()
 
     def constrain_to(self, pool: str) -> Runner:
         """A runner whose work goes to a scheduler pool."""
         if not pool:
             raise ValueError("no pool")
-        return Runner(self.spark, self._threads._max_workers, pool)
+        return Runner(self.spark, self._threads._max_workers, pool, self.debug)
 
-    def submit(self, work: Callable[[], object], after: Iterable[Event] = ()) -> Event:
-        """Runs work when the events are done; their errors become its own."""
-        after = list(after)
+    def submit(self, work: Callable[[], object], after: Iterable[Event] = (), reads: Iterable[ArrayFrame] = (), writes: Iterable[ArrayFrame] = ()) -> Event:
+        """Runs work when the events are done; their errors become its own. So do those of the work that wrote the arrays named in
+        `reads` or `writes`: an array whose writer failed is poisoned until other work writes it."""
+        writes = list(writes)
+        with self._lock:
+            after = [*after, *(self._writers[id(a.root)] for a in reads if id(a.root) in self._writers)]
 
         def run() -> object:
             for e in after:
@@ -84,7 +92,6 @@ class Runner:
                 self.spark.sparkContext.setLocalProperty("spark.scheduler.pool", self.pool)
             return work()
 
-        # InheritableThread gives the thread this one's local properties, in a JVM thread of its own
         future: Future = Future()
 
         def settle() -> None:
@@ -93,31 +100,52 @@ class Runner:
             except BaseException as e:  # noqa: BLE001
                 future.set_exception(e)
 
-        self._threads.submit(lambda: (t := InheritableThread(settle), t.start(), t.join()))
         event = Event([future])
         with self._lock:
+            self._writers |= {id(a.root): event for a in writes}
             self._open = [e for e in self._open if not e.is_done] + [event]
+        if self.debug:
+            settle()
+        else:
+            # wrapped here, so that it takes over the local properties of the thread that submits
+            self._threads.submit(inheritable_thread_target(settle))
         return event
 
     def compute(self, target: ArrayFrame | DataFrame, after: Iterable[Event] = ()) -> Event:
-        """Computes and keeps the cells of an array or table."""
+        """Computes and keeps the cells of an array or table, until trim_memory."""
         df = target.df if isinstance(target, ArrayFrame) else target
-        return self.submit(lambda: df.persist().count(), after)
+
+        def work() -> int:
+            with self._lock:
+                self._kept.append(df)
+            return df.persist().count()
+
+        return self.submit(work, after, writes=[target] if isinstance(target, ArrayFrame) else [])
 
     def barrier(self) -> Event:
         """An event after everything submitted so far."""
         with self._lock:
             return join(*self._open)
 
-    def synchronize(self) -> None:
-        self.barrier().wait()
+    def synchronize(self, *arrays: ArrayFrame) -> None:
+        """Waits for everything, or for the work that writes these arrays; raises what it raised."""
+        if not arrays:
+            self.barrier().wait()
+        for a in arrays:
+            with self._lock:
+                event = self._writers.get(id(a.root), Event())
+            event.wait()
 
     def info(self) -> dict[str, object]:
         sc = self.spark.sparkContext
         return {"parallelism": sc.defaultParallelism, "master": sc.master, "version": self.spark.version}
 
     def trim_memory(self) -> None:
-        self.spark.catalog.clearCache()
+        """Frees what compute() kept; other cached tables of the session stay."""
+        with self._lock:
+            kept, self._kept = self._kept, []
+        for df in kept:
+            df.unpersist()
 
     def shutdown(self) -> None:
         self._threads.shutdown(wait=True)
