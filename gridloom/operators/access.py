@@ -22,6 +22,11 @@ class Access:
     def __getitem__(self, m: object) -> Access:
         return replace(self, maps=(*self.maps, *(m if isinstance(m, tuple) else (m,))))
 
+    @property
+    def clipped(self) -> bool:
+        """Regions are clipped to the array, but for one_to_one."""
+        return not (len(self.maps) == 1 and isinstance(self.maps[0], OneToOne))
+
     def resolved(self) -> tuple[IndexMap, ...]:
         """The maps, one for each axis."""
         maps = self.maps
@@ -34,8 +39,11 @@ class Access:
         return tuple(index_map(m) for m in maps)
 
     def region(self, begin: tuple[int, ...], size: tuple[int, ...]) -> Bounds:
-        """The cells that a work chunk touches, clipped to the array."""
-        return region(self.resolved(), begin, size, tuple(self.array.shape))
+        """The cells that a work chunk touches, clipped to the array. one_to_one isn't clipped: IndexError beyond the array."""
+        box = region(self.resolved(), begin, size, tuple(self.array.shape) if self.clipped else None)
+        if not Bounds.of(self.array.shape).contains(box):
+            raise IndexError("a region isn't inside of the array")
+        return box
 
 
 def _access(a: ArrayFrame | Access) -> Access:
@@ -64,10 +72,10 @@ def reduce(op: str, *rest: object) -> Access:
 
 
 def check_aliases(accesses: list[Access]) -> None:
-    """An array that one submission writes or reduces may not appear in it again."""
+    """An array that one submission writes or reduces may not appear in it again, nor may a view of it."""
     seen: dict[int, str] = {}
     for a in accesses:
-        before = seen.get(id(a.array))
+        before = seen.get(id(a.array.root))
         if before is not None and (before != "read" or a.mode != "read"):
             raise RuntimeError("an array that is written may be used only once in a submission")
-        seen[id(a.array)] = a.mode
+        seen[id(a.array.root)] = a.mode

@@ -42,13 +42,14 @@ def index_space(spark: SparkSession, bounds: Bounds) -> DataFrame:
 class ArrayFrame:
     """A handle: shape, cell type, chunk shape (inferred at the first write if not given), and the DataFrame of its cells."""
 
-    def __init__(self, spark: SparkSession, shape: Sequence[int], dtype: object = "Float32", chunk: Sequence[int] | None = None, df: DataFrame | None = None, offset: Sequence[int] | None = None) -> None:
+    def __init__(self, spark: SparkSession, shape: Sequence[int], dtype: object = "Float32", chunk: Sequence[int] | None = None, df: DataFrame | None = None, offset: Sequence[int] | None = None, root: ArrayFrame | None = None) -> None:
         if len(shape) > MAX_RANK:
             raise ValueError(f"rank {len(shape)} is over {MAX_RANK}")
         self.spark, self.shape, self.dtype = spark, Dim(shape), scalar_type(dtype)  # type: ignore[arg-type]
         self.chunk_shape = tuple(chunk) if chunk is not None else None
         self.offset = tuple(offset) if offset is not None else (0,) * len(shape)
         self._df = df
+        self.root = root if root is not None else self  # the array that a view is of
 
     # ---- what an array is
 
@@ -126,7 +127,7 @@ class ArrayFrame:
     # ---- views
 
     def _view(self, df: DataFrame, shape: Sequence[int], offset: Sequence[int]) -> ArrayFrame:
-        return ArrayFrame(self.spark, shape, self.dtype, None, df, offset)
+        return ArrayFrame(self.spark, shape, self.dtype, None, df, offset, self.root)
 
     def at(self, *index: int) -> ArrayFrame:
         """The sub-array at leading coordinates; IndexError out of bounds."""
@@ -175,13 +176,17 @@ class ArrayFrame:
     def shift_axis_to(self, axis: int, place: int) -> ArrayFrame:
         return self.shift_axis_by(axis, place - self.offset[axis])
 
-    def strides(self, order: str = "row") -> tuple[int, ...]:
-        """How far neighbours along each axis stand apart in a row-major or column-major layout."""
+    def strides(self, order: str | Sequence[int] = "row") -> tuple[int, ...]:
+        """How far neighbours along each axis stand apart in a row-major or column-major layout; strides of a layout of one's own stay as they are."""
         axes = range(self.rank)
+        if not isinstance(order, str):
+            if len(order) != self.rank:
+                raise ValueError(f"{len(order)} strides for rank {self.rank}")
+            return tuple(order)
         return tuple(prod(self.shape[k + 1 :]) if order == "row" else prod(self.shape[:k]) for k in axes)
 
-    def linear_index(self, order: str = "row") -> Column:
-        """The place of a cell in a layout, as a column."""
+    def linear_index(self, order: str | Sequence[int] = "row") -> Column:
+        """The place of a cell in a layout ("row", "column" or strides), as a column."""
         out = F.lit(0).cast("bigint")
         for c, o, s in zip(self.columns, self.offset, self.strides(order), strict=True):
             out = out + (F.col(c) - o) * s

@@ -1,40 +1,46 @@
 """Submitting a kernel over the chunks of a domain.
 
 A kernel is either a function of columns, which stays in Catalyst, or a numpy function of whole chunks, which runs in Arrow batches.
-Both give lazy DataFrames: Spark orders, places and pipelines the work.
+Both give lazy DataFrames: Spark orders, places and pipelines the work. A submission has one or more targets: the first one, and every
+write(...) or reduce(...) among the other arguments, in their order, which is that of the values that the kernel returns.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, fields, is_dataclass
+from math import prod
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.dtypes import ScalarType
 from ..functions.geometry import Bounds
 from ..plans.domain import AXES, Distribution, into_domain
 from ..plans.mapper import IndexMap, region
 from .access import Access, _access, check_aliases
 from .arrayframe import ArrayFrame, coordinates, index_space
-from .reduce import reduce_cells
+from .reduce import as_signed, as_unsigned, reduce_cells
 
-#: Cells of an array that may go to every chunk. Larger arrays must be read by region.
-BROADCAST_CELLS = 4_000_000
+#: Chunks whose numbers are broadcast when each of them reads a whole array that is one chunk.
+BROADCAST_CHUNKS = 1_000_000
 
 
 @dataclass(frozen=True)
 class ExprKernel:
-    """f(index columns, *argument columns) -> the value of each cell, as a column."""
+    """f(index columns, *argument columns) -> the value of each cell, as a column; with several targets a tuple of columns."""
 
     f: Callable[..., Column]
 
 
 @dataclass(frozen=True)
 class ChunkKernel:
-    """f(chunk, *arrays) -> the values of the written region, in numpy; chunk is the Bounds of the work chunk. Scalars come as they are."""
+    """f(chunk, *arrays) -> the values of the written region, in numpy; chunk is the Bounds of the work chunk. Scalars come as they are.
+
+    With several targets f returns a tuple. A target with private axes takes an array that has these axes before its own.
+    """
 
     f: Callable[..., np.ndarray]
 
@@ -50,75 +56,140 @@ def expand(args: Sequence[object]) -> list[object]:
     return out
 
 
-def _axes_of(a: Access) -> list[int] | None:
-    """The work axis of each array axis when the maps are plain axes, so that cells meet by equal coordinates; else None."""
-    plain = [m.axis for m in a.resolved() if (m.scale, m.offset, m.length, m.divisor) == (1, 0, 1, 1)]
-    return plain if len(plain) == a.array.rank else None
+def _sorted_out(target: Access, args: Sequence[object]) -> tuple[list[Access], list[object], list[tuple[int, Access]]]:
+    """The targets, the other arguments, and the places of the arrays among these."""
+    every = expand([target, *args])
+    targets = [a for a in every if isinstance(a, Access) and a.mode != "read"]
+    rest = [a for a in every if not (isinstance(a, Access) and a.mode != "read")]
+    reads = [(n, _access(a)) for n, a in enumerate(rest) if isinstance(a, (ArrayFrame, Access))]
+    check_aliases([*targets, *(a for _, a in reads)])
+    return targets, rest, reads
+
+
+def _results(targets: list[Access]) -> ArrayFrame | tuple[ArrayFrame, ...]:
+    return targets[0].array if len(targets) == 1 else tuple(t.array for t in targets)
+
+
+def _point_maps(a: Access, size: Sequence[int]) -> tuple[IndexMap, ...]:
+    """The maps of an access that touches one cell for each point of a domain; IndexError where a point has none."""
+    maps = a.resolved() if a.maps else tuple(IndexMap(k) for k in range(a.array.rank))
+    for m, extent in zip(maps, a.array.shape, strict=True):
+        n = size[m.axis] if m.axis < len(size) else 1
+        if m.length != 1:
+            raise ValueError("an element-wise kernel touches one cell of each array for each point")
+        if prod(size) == 0:
+            continue
+        low = m.offset + min(0, m.scale * (n - 1))
+        reached = m.interval(0, n)
+        if low < 0 or reached.begin < 0 or reached.end > extent:
+            raise IndexError(f"{m} reaches {reached} of {extent} cells")
+    return maps
+
 
+def _at(maps: Sequence[IndexMap], rank: int) -> list[Column]:
+    """Cell coordinates, as columns of the points d0, d1, ..."""
+    one, zero = F.lit(1), F.lit(0).cast("bigint")
+    return [m.apply(F.col(f"d{m.axis}") if m.axis < rank else zero, one)[0].cast("bigint") for m in maps]
 
-def elementwise(spark: SparkSession, size: Sequence[int], kernel: ExprKernel, target: Access, *args: object) -> ArrayFrame:
-    """Writes kernel(index, args) for each point of a domain. Arrays are read by plain axes and meet by equi-joins on coordinates;
-    points are the domain's, cells of the target outside of it stay as they are (or must not exist)."""
-    args = expand(args)  # type: ignore[assignment]
-    accesses = [_access(a) for a in args if isinstance(a, (ArrayFrame, Access))]
-    check_aliases([target, *accesses])
+
+def _plain_axes(maps: Sequence[IndexMap]) -> list[int] | None:
+    """The axes of maps that are different plain axes, so that cells meet points by equal coordinates; else None."""
+    plain = [m.axis for m in maps if m == IndexMap(m.axis)]
+    return plain if len(plain) == len(maps) == len(set(plain)) else None
+
+
+def elementwise(spark: SparkSession, size: Sequence[int], kernel: ExprKernel, target: Access, *args: object) -> ArrayFrame | tuple[ArrayFrame, ...]:
+    """Writes or reduces kernel(index, args) for each point of a domain. Arrays are read by maps of one cell for each point (plain axes,
+    affine maps, constants) and meet the points by equi-joins on these cells.
+
+    IndexError if a map reaches out of its array for some point, so that no point is lost. Cells of a target that no point writes stay as
+    they are; the first write must cover the array. A written target has one map for each axis of the domain, without a divisor.
+    """
+    targets, rest, reads = _sorted_out(target, args)
     rank = len(size)
+    maps = {n: _point_maps(a, size) for n, a in reads}
+    into = [_point_maps(t, size) for t in targets]
     joined: DataFrame | None = None
-    columns: list[Column] = []
-    for n, a in enumerate(args):
-        if not isinstance(a, (ArrayFrame, Access)):
-            columns.append(F.lit(a))
-            continue
-        a = _access(a)
-        axes = _axes_of(a if a.maps else Access(a.array, tuple(IndexMap(k) for k in range(a.array.rank))))
-        if axes is None:
-            raise ValueError("an element-wise kernel reads arrays by plain axes")
-        cells = a.array.df.select(*(F.col(f"d{k}").alias(f"d{x}") for k, x in enumerate(axes)), F.col("v").alias(f"a{n}"))
-        if joined is None:
-            joined = cells if sorted(axes) == list(range(rank)) else index_space(spark, Bounds.of(size)).join(cells, [f"d{x}" for x in axes])
-            for k, s in enumerate(size):
-                if a.array.shape.get(axes.index(k) if k in axes else 99) != s:  # the array may reach beyond the domain
-                    joined = joined.where(F.col(f"d{k}") < s)
+    simple = {n: axes for n, m in maps.items() if (axes := _plain_axes(m)) is not None}
+    for n, a in sorted(reads, key=lambda r: (r[0] not in simple, -len(simple.get(r[0], ())), r[0])):
+        if n in simple:
+            axes = simple[n]
+            cells = a.array.df.select(*(F.col(f"d{k}").alias(f"d{x}") for k, x in enumerate(axes)), F.col("v").alias(f"a{n}"))
+            if joined is not None:
+                joined = joined.join(cells, [f"d{x}" for x in axes]) if axes else joined.crossJoin(F.broadcast(cells))  # rank 0: one row
+            elif sorted(axes) == list(range(rank)):
+                joined = cells
+                for k, x in enumerate(axes):
+                    if a.array.shape[k] != size[x]:  # the array reaches beyond the domain
+                        joined = joined.where(F.col(f"d{x}") < size[x])
+            else:
+                points = index_space(spark, Bounds.of(size))
+                joined = points.join(cells, [f"d{x}" for x in axes]) if axes else points.crossJoin(F.broadcast(cells))
         else:
-            joined = joined.join(cells, [f"d{x}" for x in axes])
-        columns.append(F.col(f"a{n}"))
+            keys = [f"k{k}" for k in range(a.array.rank)]
+            cells = a.array.df.select(*(F.col(f"d{k}").alias(c) for k, c in enumerate(keys)), F.col("v").alias(f"a{n}"))
+            joined = (index_space(spark, Bounds.of(size)) if joined is None else joined).withColumns(dict(zip(keys, _at(maps[n], rank), strict=True))).join(cells, keys).drop(*keys)
     points = joined if joined is not None else index_space(spark, Bounds.of(size))
-    made = points.select(*(F.col(c) for c in coordinates(rank)), kernel.f([F.col(c) for c in coordinates(rank)], *columns).alias("v"))
+    columns = [F.col(f"a{n}") if n in maps else F.lit(a) for n, a in enumerate(rest)]
+    made = kernel.f([F.col(c) for c in coordinates(rank)], *columns)
+    values = made if isinstance(made, (tuple, list)) else (made,)
+    if len(values) != len(targets):
+        raise ValueError(f"{len(values)} values for {len(targets)} targets")
+    for t, m, v in zip(targets, into, values, strict=True):
+        rows = points.select(*(F.col(c) for c in coordinates(rank)), v.cast(t.array.dtype.spark).alias("v"))
+        (_reduce_points if t.mode == "reduce" else _write_points)(rows, size, t, m)
+    return _results(targets)
+
+
+def _write_points(rows: DataFrame, size: Sequence[int], target: Access, maps: tuple[IndexMap, ...]) -> None:
     out = target.array
-    maps = _axes_of(target if target.maps else Access(out, tuple(IndexMap(k) for k in range(out.rank))))
-    if maps is None or sorted(maps) != list(range(rank)):
-        raise ValueError("an element-wise kernel writes one cell for each point")
-    made = made.select(*(F.col(f"d{x}").alias(f"d{k}") for k, x in enumerate(maps)), "v")
-    covers = [size[x] for x in maps] == list(out.shape)
-    if not covers:
+    if sorted(m.axis for m in maps) != list(range(len(size))) or any(m.scale == 0 or m.divisor != 1 for m in maps):
+        raise ValueError("an element-wise kernel writes a cell of its own for each point")
+    made = rows.select(*(c.alias(f"d{k}") for k, c in enumerate(_at(maps, len(size)))), "v")
+    if prod(size) != out.volume:  # each point has a cell of its own, so as many points as cells cover the array
         if not out.has_instance:
             raise ValueError("the first write must cover the array")
-        made = out.df.join(made.withColumnRenamed("v", "_new"), out.columns, "left").select(*out.columns, F.coalesce("_new", "v").alias("v"))
-    return out.set(made)
+        made = _replaced(out, made)
+    out.set(made)
 
 
-def reduce_elements(spark: SparkSession, size: Sequence[int], kernel: ExprKernel, target: Access, *args: object) -> ArrayFrame:
-    """Reduces kernel(index, args) over a domain into target = reduce(op, [privatize(..),] array[axes])."""
+def _replaced(out: ArrayFrame, made: DataFrame) -> DataFrame:
+    """The cells of an array, with those of `made` in their places."""
+    new = made.select(*out.columns, F.struct("v").alias("_new"))
+    joined = out.df.join(new, out.columns, "left") if out.rank else out.df.crossJoin(F.broadcast(new))
+    return joined.select(*out.columns, F.when(F.col("_new").isNotNull(), F.col("_new.v")).otherwise(F.col("v")).alias("v"))
+
+
+def _reduce_points(rows: DataFrame, size: Sequence[int], target: Access, maps: tuple[IndexMap, ...]) -> None:
+    out = target.array
+    keys, private = out.columns, [f"p{n}" for n in range(len(target.private))]
+    moved = rows.select(*(c.alias(k) for k, c in zip(keys, _at(maps, len(size)), strict=True)), *(c.alias(p) for p, c in zip(private, _at(target.private, len(size)), strict=True)), "v")
+    axes = _plain_axes(maps)
+    covered = axes is not None and all(out.shape[k] == size[x] for k, x in enumerate(axes)) and prod(size) > 0
+    cells = None if covered or not out.rank else index_space(out.spark, Bounds.of(out.shape))
+    out.set(reduce_cells(moved, target.op or "sum", out.dtype, keys, cells, private))
+
+
+def reduce_elements(spark: SparkSession, size: Sequence[int], kernel: ExprKernel, target: Access, *args: object) -> ArrayFrame | tuple[ArrayFrame, ...]:
+    """Reduces kernel(index, args) over a domain into target = reduce(op, [privatize(..),] array[maps]); cells that no point reaches hold the identity."""
     if target.mode != "reduce" or target.op is None:
         raise ValueError("the target must be reduce(op, array)")
-    temp = ArrayFrame(spark, size, target.array.dtype)
-    elementwise(spark, size, kernel, Access(temp, mode="write"), *args)
-    axes = _axes_of(target) if target.maps else ([] if not target.array.rank else None)
-    if axes is None:
-        raise ValueError("a reduction goes to plain axes")
-    keys = [f"d{k}" for k in range(target.array.rank)]
-    rows = temp.df.select(*(F.col(f"d{x}").alias(f"d{k}") for k, x in enumerate(axes)), *(F.col(f"d{m.axis}").alias(f"p{n}") for n, m in enumerate(target.private)), "v")
-    covered = all(target.array.shape[k] == size[x] for k, x in enumerate(axes)) and all(s > 0 for s in size)
-    cells = None if covered else index_space(spark, Bounds.of(target.array.shape))
-    return target.array.set(reduce_cells(rows, target.op, target.array.dtype, keys, cells, [f"p{n}" for n in range(len(target.private))]))
+    if not target.maps and target.array.rank:
+        raise ValueError("a reduction needs a map for each axis of its target")
+    return elementwise(spark, size, kernel, target, *args)
 
 
 def chunk_regions(chunks: DataFrame, access: Access) -> DataFrame:
-    """chunks with b0, e0, b1, ...: the region of the array that each chunk touches, clipped to it."""
+    """chunks with b0, e0, b1, ...: the region of the array that each chunk touches, clipped to it (an error for one_to_one, which isn't clipped)."""
     out = chunks
     for k, m in enumerate(access.resolved()):
         begin, end = m.apply(F.col(f"o{m.axis}"), F.col(f"s{m.axis}"))
-        out = out.withColumns({f"b{k}": F.greatest(begin, F.lit(0)), f"e{k}": F.least(end, F.lit(access.array.shape[k]))})
+        size = F.lit(access.array.shape[k])
+        if access.clipped:
+            out = out.withColumns({f"b{k}": F.greatest(begin, F.lit(0)), f"e{k}": F.least(end, size)})
+        else:
+            beyond = F.raise_error(F.lit("a region isn't inside of the array")).cast("bigint")
+            out = out.withColumns({f"b{k}": F.when((begin < 0) | (end > size), beyond).otherwise(begin), f"e{k}": end})
     return out
 
 
@@ -126,13 +197,12 @@ def touched_cells(chunks: DataFrame, access: Access, strict: bool = True) -> Dat
     """(chunk_id, d0.., v): the cells that each work chunk reads.
 
     A region must lie in one chunk of the array, whose number then is an equi-join key; strict=False also takes regions that cross chunks
-    (halos), with a row for each array chunk that is touched. A whole array goes to every chunk only while it has at most BROADCAST_CELLS cells.
+    (halos), with a row for each array chunk that is touched. Of an array that is one chunk every cell has the same key, so the (small) table of
+    work chunks is broadcast to the cells.
     """
     array = access.array
     regions = chunk_regions(chunks, access)
     grid = array.distribution
-    if grid.num_chunks == 1 and all(m == IndexMap(0, 0, 0, (1 << 63) - 1) for m in access.resolved()) and array.volume > BROADCAST_CELLS:
-        raise ValueError(f"an array of {array.volume} cells can't go to every chunk")
     first, places = F.lit(0).cast("bigint"), []
     crosses = F.lit(False)
     for k, (c, n) in enumerate(zip(grid.chunk, grid.counts, strict=True)):
@@ -148,6 +218,8 @@ def touched_cells(chunks: DataFrame, access: Access, strict: bool = True) -> Dat
         for k, low, high, n in places:
             regions = regions.withColumn("_at", F.explode(F.sequence(low, F.least(high, F.lit(n - 1))))).withColumn("array_chunk", F.col("array_chunk") * n + F.col("_at")).drop("_at")
     wanted = regions.select("chunk_id", "array_chunk", *(f"{x}{k}" for k in range(array.rank) for x in "be"))
+    if grid.num_chunks == 1 and chunks.limit(BROADCAST_CHUNKS + 1).count() <= BROADCAST_CHUNKS:
+        wanted = F.broadcast(wanted)
     cells = array.with_chunk_id().withColumnRenamed("chunk_id", "array_chunk")
     joined = cells.join(wanted, "array_chunk")
     for k in range(array.rank):
@@ -155,34 +227,98 @@ def touched_cells(chunks: DataFrame, access: Access, strict: bool = True) -> Dat
     return joined.select("chunk_id", *array.columns, "v")
 
 
-def parallel_submit(spark: SparkSession, domain: object, kernel: ChunkKernel, target: Access, *args: object, strict: bool = True) -> ArrayFrame:
-    """Runs a numpy kernel once for each chunk of a domain and writes (or reduces) what it returns into the target's region.
+def written_chunks(chunks: DataFrame, target: Access, allow_duplicates: bool = False) -> Distribution:
+    """The distribution that the regions of a domain's chunks give an array (as Distribution.from_chunks, but on the chunk table).
+
+    The region at the origin gives the chunk size. ValueError unless all regions are aligned, of that size (or clipped) and cover the
+    array, each place once (unless duplicates are allowed).
+    """
+    shape, rank = tuple(target.array.shape), target.array.rank
+    regions = chunk_regions(chunks, target)
+    b, e = ([F.col(f"{x}{k}") for k in range(rank)] for x in "be")
+    every = lambda conditions: F.lit(True) if not (c := list(conditions)) else F.forall(F.array(*c), lambda x: x)
+    at_origin = every(x == 0 for x in b)
+    found = regions.where(at_origin).agg(F.count("*").alias("n"), *(F.max(x).alias(f"c{k}") for k, x in enumerate(e))).first()
+    if not found["n"]:
+        if 0 in shape:
+            return Distribution(shape, [1] * rank)
+        raise ValueError("no chunk at the origin")
+    size = [found[f"c{k}"] for k in range(rank)]
+    if any(c <= 0 for c in size):
+        raise ValueError("chunk size is empty")
+    grid = Distribution(shape, size)
+    index = F.lit(0).cast("bigint")
+    for x, c, n in zip(b, size, grid.counts, strict=True):
+        index = index * n + F.floor(x / c).cast("bigint")
+    aligned = every(x % c == 0 for x, c in zip(b, size, strict=True))
+    sized = every(y == F.least(x + c, F.lit(s)) for x, y, c, s in zip(b, e, size, shape, strict=True))
+    got = regions.agg(F.count("*").alias("all"), F.count_distinct(index).alias("places"), F.sum((~aligned).cast("int")).alias("askew"), F.sum((~sized).cast("int")).alias("odd")).first()
+    for bad, text in ((got["askew"], "aren't aligned"), (got["odd"], "have the wrong size"), (grid.num_chunks - got["places"], "are missing")):
+        if bad:
+            raise ValueError(f"{bad} chunks {text}")
+    if got["all"] != got["places"] and not allow_duplicates:
+        raise ValueError("two chunks write one place")
+    return grid
+
+
+def _packed(dtype: ScalarType, v: Column) -> list[Column]:
+    """A cell value as (x double, y double, w bigint), one of which (two for complex numbers) holds it."""
+    none, zero = F.lit(0.0), F.lit(0).cast("bigint")
+    if dtype.kind == "complex":
+        return [v["re"].cast("double"), v["im"].cast("double"), zero]
+    if dtype.kind == "float":
+        return [v.cast("double"), none, zero]
+    return [none, none, as_signed(v) if dtype.name == "Uint64" else v.cast("bigint")]
+
+
+def _unpacked(dtype: ScalarType) -> Column:
+    if dtype.kind == "complex":
+        return F.struct(F.col("x").alias("re"), F.col("y").alias("im")).cast(dtype.spark)
+    return F.col("x") if dtype.kind == "float" else as_unsigned(F.col("w")) if dtype.name == "Uint64" else F.col("w")
+
+
+def _from_table(table: pa.Table, rows: np.ndarray, dtype: ScalarType) -> np.ndarray:
+    x, y, w = (table.column(c).to_numpy()[rows] for c in "xyw")
+    return (x + 1j * y if dtype.kind == "complex" else x if dtype.kind == "float" else w.view(np.uint64) if dtype.name == "Uint64" else w).astype(dtype.numpy)
+
+
+def _to_columns(made: np.ndarray, dtype: ScalarType) -> dict[str, np.ndarray]:
+    flat = made.reshape(-1)
+    none, zero = np.zeros(flat.size), np.zeros(flat.size, np.int64)
+    if dtype.kind == "complex":
+        return {"x": flat.real.astype(np.float64), "y": flat.imag.astype(np.float64), "w": zero}
+    if dtype.kind == "float":
+        return {"x": flat.astype(np.float64), "y": none, "w": zero}
+    return {"x": none, "y": none, "w": flat.astype(np.uint64).view(np.int64) if dtype.name == "Uint64" else flat.astype(np.int64)}
+
+
+def parallel_submit(spark: SparkSession, domain: object, kernel: ChunkKernel, target: Access, *args: object, strict: bool = True) -> ArrayFrame | tuple[ArrayFrame, ...]:
+    """Runs a numpy kernel once for each chunk of a domain and writes (or reduces) what it returns into the targets' regions.
 
     The cells that a chunk reads are gathered by its number; so a chunk's regions are what one task holds. Array arguments come as numpy
-    arrays of their regions; an IndexMap among the arguments comes as the Range that it gives for the chunk.
+    arrays of their regions; an IndexMap among the arguments comes as the Range that it gives for the chunk. The first write of an array must
+    cover it with regular chunks (written_chunks); later ones may write a part of it, but no cell twice. With several targets the kernel's
+    output is kept (persisted), as each target reads it.
     """
-    args = expand(args)  # type: ignore[assignment]
-    reads = [(n, _access(a)) for n, a in enumerate(args) if isinstance(a, (ArrayFrame, Access))]
-    check_aliases([target, *(a for _, a in reads)])
-    if any(a.array.dtype.kind not in ("int", "float") for _, a in reads) or target.array.dtype.kind not in ("int", "float"):
-        raise TypeError("chunk kernels take signed integers and floats")
+    targets, rest, reads = _sorted_out(target, args)
+    if any(a.array.dtype.kind == "pair" for a in (*targets, *(a for _, a in reads))):
+        raise TypeError("chunk kernels take numbers")
     chunks = into_domain(spark, domain)
+    for t in targets:
+        if t.mode != "reduce" and not t.array.has_instance:
+            grid = written_chunks(chunks, t)
+            t.array.chunk_shape = t.array.chunk_shape or tuple(grid.chunk)
     depth = max([1, *(a.array.rank for _, a in reads)])
-    blank = [F.lit(0).cast("bigint")] * depth
+    zero = F.lit(0).cast("bigint")
     geometry = [f"{x}{k}" for k in range(AXES) for x in "os"]
-    rows = chunks.select("chunk_id", F.lit(-1).alias("arg"), *(F.col(c).alias(f"i{n}") for n, c in enumerate(geometry)), *(b.alias(f"d{k}") for k, b in enumerate(blank)), F.lit(0.0).alias("x"), F.lit(0).cast("bigint").alias("w"))
+    rows = chunks.select("chunk_id", F.lit(-1).alias("arg"), *(F.col(c).alias(f"i{n}") for n, c in enumerate(geometry)), *(zero.alias(f"d{k}") for k in range(depth)), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), zero.alias("w"))
     for n, a in reads:
         cells = touched_cells(chunks, a, strict)
-        integral = a.array.dtype.integral
-        value = (F.lit(0.0), F.col("v").cast("bigint")) if integral else (F.col("v").cast("double"), F.lit(0).cast("bigint"))
-        rows = rows.union(cells.select("chunk_id", F.lit(n), *[F.lit(0).cast("bigint")] * len(geometry), *(F.col(f"d{k}") if k < a.array.rank else F.lit(0).cast("bigint") for k in range(depth)), *value))
-    out, rank = target.array, target.array.rank
-    if target.mode != "reduce" and not out.has_instance and out.chunk_shape is None:
-        out.chunk_shape = _inferred_chunk(chunks, target)
-    maps, shapes, kinds = {n: a for n, a in reads}, {n: tuple(a.array.shape) for n, a in reads}, {n: (a.array.dtype.numpy, a.array.dtype.integral) for n, a in reads}
-    resolved = {n: a.resolved() for n, a in reads}
-    target_maps, target_shape, integral_out = target.resolved(), tuple(out.shape), out.dtype.integral
-    plain = [a if n not in maps else None for n, a in enumerate(args)]
+        rows = rows.union(cells.select("chunk_id", F.lit(n), *[zero] * len(geometry), *(F.col(f"d{k}") if k < a.array.rank else zero for k in range(depth)), *_packed(a.array.dtype, F.col("v"))))
+    given = {n: (a.resolved(), tuple(a.array.shape) if a.clipped else None, a.array.dtype) for n, a in reads}
+    plain = [None if n in given else a for n, a in enumerate(rest)]
+    taken = [(t.private, t.resolved(), tuple(t.array.shape) if t.clipped else None, t.array.dtype) for t in targets]
+    width = max([1, *(t.array.rank for t in targets)])
     f = kernel.f
 
     def run(table: pa.Table) -> pa.Table:
@@ -190,45 +326,53 @@ def parallel_submit(spark: SparkSession, domain: object, kernel: ChunkKernel, ta
         head = int(np.flatnonzero(arg == -1)[0])
         place = [int(table.column(f"i{k}")[head].as_py()) for k in range(2 * AXES)]
         begin, size = tuple(place[0::2]), tuple(place[1::2])
-        given: list[object] = []
+        values: list[object] = []
         for n, a in enumerate(plain):
-            if n in shapes:
-                box = region(resolved[n], begin, size, shapes[n])
-                mine = arg == n
-                kind, integral = kinds[n]
-                data = np.zeros([r.size for r in box], kind)
+            if n in given:
+                maps, shape, dtype = given[n]
+                box = region(maps, begin, size, shape)
+                mine = np.flatnonzero(arg == n)
+                data = np.zeros([r.size for r in box], dtype.numpy)
                 at = tuple(table.column(f"d{k}").to_numpy()[mine] - r.begin for k, r in enumerate(box))
-                data[at] = table.column("w" if integral else "x").to_numpy()[mine]
-                given.append(data)
+                cells = _from_table(table, mine, dtype)
+                data[at if at else ()] = cells if at or not len(cells) else cells[0]
+                values.append(data)
             elif isinstance(a, IndexMap):
-                given.append(a.interval(begin[a.axis], size[a.axis]))
+                values.append(a.interval(begin[a.axis], size[a.axis]))
             else:
-                given.append(a)
-        box = region(target_maps, begin, size, target_shape)
-        made = np.broadcast_to(np.asarray(f(Bounds.from_offset_size(begin, size), *given)), [r.size for r in box])
-        index = np.unravel_index(np.arange(made.size), made.shape) if rank else ()
-        return pa.table({f"d{k}": i.astype(np.int64) + r.begin for k, (i, r) in enumerate(zip(index, box, strict=True))} | {"v": made.reshape(-1).astype(np.int64 if integral_out else np.float64)})
-
-    schema = ", ".join([*(f"d{k} bigint" for k in range(rank)), "v " + ("bigint" if integral_out else "double")])
+                values.append(a)
+        got = f(Bounds.from_offset_size(begin, size), *values)
+        parts = []
+        for t, ((private, maps, shape, dtype), one) in enumerate(zip(taken, got if len(taken) > 1 else (got,), strict=True)):
+            box = region(maps, begin, size, shape)
+            lead = [r.size for r in region(private, begin, size)]
+            made = np.broadcast_to(np.asarray(one), [*lead, *(r.size for r in box)])
+            index = np.unravel_index(np.arange(made.size), made.shape)[len(lead) :] if made.ndim else ()
+            spots = {f"d{k}": i.astype(np.int64) + r.begin for k, (i, r) in enumerate(zip(index, box, strict=True))}
+            spots |= {f"d{k}": np.zeros(made.size, np.int64) for k in range(len(box), width)}
+            parts.append(pa.table({"t": np.full(made.size, t, np.int32)} | spots | _to_columns(made, dtype)))
+        return pa.concat_tables(parts)
+
+    schema = ", ".join(["t int", *(f"d{k} bigint" for k in range(width)), "x double", "y double", "w bigint"])
     made = rows.groupBy("chunk_id").applyInArrow(run, schema)
-    if target.mode == "reduce":
-        cells = index_space(spark, Bounds.of(out.shape)) if rank else None
-        return out.set(reduce_cells(made, target.op or "sum", out.dtype, out.columns, cells))
-    if out.has_instance:
-        made = out.df.join(made.withColumnRenamed("v", "_new"), out.columns, "left").select(*out.columns, F.coalesce(F.col("_new").cast(out.dtype.spark), "v").alias("v"))
-    return out.set(made)
-
-
-def _inferred_chunk(chunks: DataFrame, target: Access) -> tuple[int, ...] | None:
-    """The chunk shape of an array that is written for the first time: the size of the region at the origin."""
-    first = chunks.orderBy("chunk_id").first()
-    if first is None:
-        return None
-    box = target.region(tuple(first[f"o{k}"] for k in range(AXES)), tuple(first[f"s{k}"] for k in range(AXES)))
-    chunk = tuple(r.size for r in box)
-    return Distribution(target.array.shape, chunk).chunk if all(c > 0 for c in chunk) else None  # type: ignore[return-value]
-
-
-def submit(spark: SparkSession, kernel: ChunkKernel, target: Access, *args: object) -> ArrayFrame:
-    """One task over a single chunk."""
+    if len(targets) > 1:
+        made = made.persist()
+    for k, t in enumerate(targets):
+        out = t.array
+        mine = (made.where(F.col("t") == k) if len(targets) > 1 else made).select(*out.columns, _unpacked(out.dtype).alias("v"))
+        if t.mode == "reduce":
+            out.set(reduce_cells(mine, t.op or "sum", out.dtype, out.columns, index_space(spark, Bounds.of(out.shape)) if out.rank else None))
+        elif out.has_instance:
+            twice = F.raise_error(F.lit("two chunks write one cell"))
+            once = mine.groupBy(*out.columns).agg(F.when(F.count("*") > 1, twice.cast(mine.schema["v"].dataType)).otherwise(F.first("v")).alias("v"))
+            out.set(_replaced(out, once.select(*out.columns, F.col("v").cast(out.dtype.spark).alias("v"))))
+        else:
+            out.set(mine)
+    return _results(targets)
+
+
+def submit(spark: SparkSession, kernel: ChunkKernel, target: Access, *args: object) -> ArrayFrame | tuple[ArrayFrame, ...]:
+    """One task over a single chunk; arrays without maps are touched as a whole."""
     return parallel_submit(spark, ([1], [1]), kernel, target, *args)
+
+

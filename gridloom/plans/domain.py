@@ -15,11 +15,15 @@ from ..functions.scalar import div_floor, div_trunc
 AXES = 3
 
 
-def tile_domain(spark: SparkSession, size: Sequence[int], tile: Sequence[int], owners: int = 1) -> DataFrame:
+def tile_domain(spark: SparkSession, size: Sequence[int], tile: Sequence[int], owners: int = 1, space: str = "device") -> DataFrame:
     """Chunks (chunk_id, owner, o0..o2, s0..s2) of a domain. The first axis runs fastest, last tiles are clipped, owners take turns.
 
-    An empty domain has no chunks. Tiles must be positive, and there must be an owner.
+    An empty domain has no chunks. Tiles must be positive. In the device space there must be a device to own chunks; the host space has
+    one owner for each device that is near it, and a single one without devices.
     """
+    if space not in ("device", "host"):
+        raise ValueError(f"unknown space {space}")
+    owners = max(1, owners) if space == "host" else owners
     size, tile = ([*x, *[1] * (AXES - len(x))] for x in (size, tile))
     if any(t <= 0 for t in tile):
         raise ValueError("tiles must have positive sizes")

@@ -12,7 +12,8 @@ from gridloom.operators.access import privatize, read, reduce, write
 from gridloom.operators.arrayframe import ArrayFrame, index_space, scalar
 from gridloom.operators.reduce import arg_max, arg_min, reduce_cells
 from gridloom.operators.submit import ChunkKernel, ExprKernel, elementwise, parallel_submit, reduce_elements, submit
-from gridloom.plans.mapper import ALL, axis, span
+from gridloom.plans.domain import Distribution, tile_domain
+from gridloom.plans.mapper import ALL, ONE_TO_ONE, axis, span
 from gridloom.sources.host import allocate
 from gridloom.streaming.events import Event, Runner, join
 
@@ -197,6 +198,132 @@ def test_kernel_errors_reach_the_caller(spark):
         parallel_submit(spark, ([4], [2]), ChunkKernel(broken), write(out[X])).copy_to()
 
 
+def test_element_wise_reads_must_not_lose_points(spark):
+    small, out = ArrayFrame(spark, [5], "Int64").iota(), ArrayFrame(spark, [10], "Int64")
+    keep = ExprKernel(lambda d, v: v)
+    with pytest.raises(IndexError):
+        elementwise(spark, [10], keep, write(out[X]), small[X])
+    with pytest.raises(IndexError):
+        elementwise(spark, [10], keep, write(out[X]), ArrayFrame(spark, [10], "Int64").iota()[X + 1])
+    with pytest.raises(ValueError):
+        elementwise(spark, [5], keep, write(ArrayFrame(spark, [5], "Int64")[X]), small[ALL])
+    large = ArrayFrame(spark, [7, 9], "Int64").iota()
+    got = ArrayFrame(spark, [4, 3], "Int64")
+    elementwise(spark, [3, 4], keep, write(got[Y][X]), large[2 * X + 1][8 - Y])
+    assert got.copy_to().tolist() == [[(2 * x + 1) * 9 + 8 - y for x in range(3)] for y in range(4)]
+    third = ArrayFrame(spark, [9], "Int64")
+    elementwise(spark, [9], ExprKernel(lambda d, v, w: v * 10 + w), write(third[X]), ArrayFrame(spark, [3], "Int64").iota()[X / 3], scalar(spark, 4, "Int64"))
+    assert third.copy_to_vector() == [x // 3 * 10 + 4 for x in range(9)]
+    with pytest.raises(ValueError):
+        elementwise(spark, [9], ExprKernel(lambda d: d[0]), write(third[X / 3]))
+    bins = ArrayFrame(spark, [4], "Int64")
+    reduce_elements(spark, [9], ExprKernel(lambda d: d[0]), reduce("sum", bins[X / 3]))
+    assert bins.copy_to_vector() == [3, 12, 21, 0]
+
+
+def test_first_writes_cover_and_no_cell_is_written_twice(spark):
+    ones = ChunkKernel(lambda c: np.ones([r.size for r in c[:1]], np.int64))
+    with pytest.raises(ValueError, match="missing"):
+        parallel_submit(spark, ([8], [4]), ones, write(ArrayFrame(spark, [10], "Int64")[X]))
+    with pytest.raises(ValueError, match="one place"):
+        parallel_submit(spark, ([8], [4]), ChunkKernel(lambda c: 1), write(ArrayFrame(spark, [4], "Int64")[ALL]))
+    with pytest.raises(ValueError, match="aligned|size"):
+        parallel_submit(spark, ([10], [4]), ChunkKernel(lambda c: 1), write(ArrayFrame(spark, [11], "Int64")[span(X, X + 1)]))
+    with pytest.raises(ValueError, match="origin"):
+        parallel_submit(spark, ([4], [4]), ChunkKernel(lambda c: 1), write(ArrayFrame(spark, [8], "Int64")[X + 4]))
+    odd = tile_domain(spark, [10], [4]).where("chunk_id != 1")
+    with pytest.raises(ValueError, match="missing"):
+        parallel_submit(spark, odd, ones, write(ArrayFrame(spark, [10], "Int64")[X]))
+    full = ArrayFrame(spark, [10], "Int64").fill(5)
+    parallel_submit(spark, odd, ones, write(full[X]))
+    assert full.copy_to_vector() == [1] * 4 + [5] * 4 + [1] * 2
+    parallel_submit(spark, ([10], [4]), ChunkKernel(lambda c: c[0].begin), write(full[0]))
+    with pytest.raises(Exception, match="two chunks write one cell"):
+        full.copy_to()
+    made = ArrayFrame(spark, [10, 6], "Int64")
+    parallel_submit(spark, ([10, 6], [4, 6]), ChunkKernel(lambda c: c[0].begin), write(made[X][Y]))
+    assert made.distribution == Distribution([10, 6], [4, 6]) and made.copy_to()[:, 0].tolist() == [0] * 4 + [4] * 4 + [8] * 2
+
+
+def test_several_targets_and_private_axes(spark):
+    m = allocate(spark, np.arange(24).reshape(6, 4))
+    m.chunk_shape = (3, 2)
+    low, high, copy = ArrayFrame(spark, [6], "Int64"), ArrayFrame(spark, [4], "Int64"), ArrayFrame(spark, [6, 4], "Int64")
+    kernel = ChunkKernel(lambda c, v: (v.T, v.max(0), v * 2))  # the first target takes its private axis first
+    got = parallel_submit(spark, ([6, 4], [3, 2]), kernel, reduce("min", privatize(Y), low[X]), reduce("max", high[Y]), write(copy[X][Y]), m[X][Y])
+    v = m.copy_to()
+    assert got == (low, high, copy) and low.copy_to_vector() == v.min(1).tolist() and high.copy_to_vector() == v.max(0).tolist() and (copy.copy_to() == 2 * v).all()
+
+    @dataclass
+    class Task:
+        source: object
+        out: object
+
+    a, b = ArrayFrame(spark, [6, 4], "Int64"), ArrayFrame(spark, [6], "Int64")
+    elementwise(spark, [6, 4], ExprKernel(lambda d, x: (x + 1, x)), write(a[X][Y]), Task(m[X][Y], reduce("sum", privatize(Y), b[X])))
+    assert (a.copy_to() == v + 1).all() and b.copy_to_vector() == v.sum(1).tolist()
+    with pytest.raises(ValueError, match="values for"):
+        elementwise(spark, [6, 4], ExprKernel(lambda d, x: x), write(a[X][Y]), Task(m[X][Y], reduce("sum", b[X])))
+
+
+@pytest.mark.parametrize("name", ["Int8", "Uint8", "Uint32", "Uint64", "Float32", "Complex32", "Complex64"])
+def test_chunk_kernels_take_every_number(spark, name):
+    t = TYPES[name]
+    data = np.array([0, 1, 2, t.limits[1]] if t.integral else [0.5, 1, -2, 3], dtype=t.numpy) + (np.array(1j, t.numpy) if t.kind == "complex" else np.array(0, t.numpy))
+    a, out = ArrayFrame(spark, [4], name, [2]).copy_from(data), ArrayFrame(spark, [4], name)
+    parallel_submit(spark, ([4], [2]), ChunkKernel(lambda c, v: v[::-1]), write(out[X]), a[X])
+    assert (out.copy_to() == data[[1, 0, 3, 2]]).all()
+    total = ArrayFrame(spark, [], name)
+    parallel_submit(spark, ([4], [2]), ChunkKernel(lambda c, v: v.sum(dtype=v.dtype)), reduce("sum", total), a[X])
+    with np.errstate(over="ignore"):
+        want = data.sum(dtype=data.dtype)
+    assert total.copy_to() == want
+
+
+def test_one_to_one_is_not_clipped(spark):
+    a = ArrayFrame(spark, [8], "Int64", [4]).iota()
+    out = ArrayFrame(spark, [8], "Int64")
+    parallel_submit(spark, ([8], [4]), ChunkKernel(lambda c, v: v), write(out[X]), a[ONE_TO_ONE])
+    assert out.copy_to_vector() == list(range(8))
+    wide = ArrayFrame(spark, [12], "Int64")
+    with pytest.raises(Exception, match="inside of the array"):
+        parallel_submit(spark, ([12], [4]), ChunkKernel(lambda c, v: v), write(wide[X]), a[ONE_TO_ONE]).copy_to()
+
+
+def test_aliases_through_views(spark):
+    a = ArrayFrame(spark, [4, 4], "Int64").iota()
+    with pytest.raises(RuntimeError):
+        elementwise(spark, [4, 4], ExprKernel(lambda d, v: v), write(a[X][Y]), a.shift_by(0)[X][Y])
+
+
+def test_poison_and_arrays_events(spark):
+    runner = Runner(spark, 2)
+    spark.sparkContext.setLocalProperty("gridloom.test", "mine")
+    assert runner.submit(lambda: spark.sparkContext.getLocalProperty("gridloom.test")).result(60) == "mine"
+    a, b = ArrayFrame(spark, [8], "Int64").iota(), ArrayFrame(spark, [8], "Int64").iota()
+
+    def broken():
+        raise ValueError("broken writer")
+
+    runner.submit(broken, writes=[a])
+    with pytest.raises(ValueError, match="broken writer"):
+        runner.submit(lambda: 1, reads=[a.drop_axis(0, 3)]).wait(60)
+    with pytest.raises(ValueError, match="broken writer"):
+        runner.synchronize(a)
+    runner.synchronize(b)
+    runner.submit(lambda: 2, writes=[a]).wait(60)
+    assert runner.submit(lambda: 3, reads=[a]).result(60) == 3
+    mine = spark.range(5).persist()
+    mine.count()
+    runner.compute(b).wait(60)
+    runner.trim_memory()
+    assert mine.storageLevel.useMemory and not b.df.storageLevel.useMemory
+    mine.unpersist()
+    debug = Runner(spark, debug=True)
+    assert debug.submit(lambda: threading.current_thread() is threading.main_thread()).result(1)
+    assert debug.submit(broken).is_done
+
+
 def test_events(spark):
     runner = Runner(spark, 4)
     gate, seen = threading.Event(), []
