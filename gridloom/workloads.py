@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,8 +16,8 @@ from .operators.arrayframe import ArrayFrame, index_space
 from .operators.reduce import aggregate, arg_min, reduce_cells
 from .operators.submit import ChunkKernel, ExprKernel, elementwise, parallel_submit, reduce_elements
 from .plans.domain import Distribution, tile_domain
-from .plans.mapper import IndexMap, axis, span
-from .sources.host import from_table
+from .plans.mapper import ALL, IndexMap, axis, span, tile
+from .sources.host import allocate, from_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -106,11 +107,12 @@ def histogram_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT b.d0, coalesce(n, 0) AS v FROM (SELECT CAST(range AS BIGINT) AS d0 FROM range(0, 64)) b
-LEFT JOIN (SELECT CAST(floor((v + 4) * 8) AS BIGINT) AS d0, count(*) AS n FROM (SELECT unnest(embedding)::DOUBLE AS v FROM embeddings) WHERE v >= -4 AND v < 4 GROUP BY 1) c USING (d0)""")
+LEFT JOIN (SELECT CAST(least(greatest(floor((v + 4) * 8), 0), 63) AS BIGINT) AS d0, count(*) AS n FROM (SELECT unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY 1) c USING (d0)""")
 def histogram_privatized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One partial histogram for each image (vector), then one for all: two levels of the same reduction."""
+    """One partial histogram for each image (vector), then one for all: two levels of the same reduction. The first and last bins take what lies beyond."""
     v = F.col("v").cast("double")
-    rows = embedding_cells(spark, sf_dir).where((v >= -4) & (v < 4)).select(F.floor((v + 4) * 8).alias("d0"), F.col("d0").alias("p0"), F.lit(1).cast("bigint").alias("v"))
+    bin_ = F.least(F.greatest(F.floor((v + 4) * 8), F.lit(0)), F.lit(63))
+    rows = embedding_cells(spark, sf_dir).select(bin_.alias("d0"), F.col("d0").alias("p0"), F.lit(1).cast("bigint").alias("v"))
     return reduce_cells(rows, "sum", I64, ["d0"], index_space(spark, G.Bounds.of([64])), ["p0"])
 
 
@@ -120,13 +122,13 @@ def argmin_keyvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arg_min(rows, ["d0"], "cents", "o_orderkey")
 
 
-@query("""SELECT vec_id AS d0, CAST(i AS BIGINT) AS d1, CAST(vec_id * 64 + i AS BIGINT) AS row_major, CAST(vec_id + i * 500 AS BIGINT) AS column_major
-FROM (SELECT vec_id, unnest(range(len(embedding))) AS i FROM embeddings WHERE vec_id < 100)""")
+@query("""WITH s AS (SELECT max(vec_id) + 1 AS n, max(len(embedding)) AS m FROM embeddings)
+SELECT vec_id + 100 AS d0, CAST(i + 42 AS BIGINT) AS d1, CAST(vec_id * m + i AS BIGINT) AS row_major, CAST(vec_id + i * n AS BIGINT) AS column_major, CAST(vec_id * 1000 + i * 3 AS BIGINT) AS strided
+FROM (SELECT vec_id, unnest(range(len(embedding))) AS i FROM embeddings), s""")
 def linear_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 100 vectors in an array of 500, as its SQL has it; linear_index_all has every vector."""
-    a = from_table(embedding_cells(spark, sf_dir), ["d0", "d1"], "v", [500, 64], "Float32").slice(G.Bounds.of([100, 64]))
-    whole = ArrayFrame(spark, [500, 64], "Float32")
-    return a.df.select("d0", "d1", whole.linear_index("row").alias("row_major"), whole.linear_index("column").alias("column_major"))
+    """Places of all cells of a view moved to (100, 42): row-major, column-major, and in a layout with strides of its own."""
+    a = embedding_array(spark, sf_dir).shift_to(100, 42)
+    return a.df.select("d0", "d1", *(a.linear_index(o).alias(n) for o, n in (("row", "row_major"), ("column", "column_major"), ([1000, 3], "strided"))))
 
 
 @query("""WITH s AS (SELECT max(vec_id) + 1 AS n, max(len(embedding)) AS m FROM embeddings)
@@ -143,17 +145,20 @@ def view_drop_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_array(spark, sf_dir).drop_axis(0, 7).df
 
 
-@query("SELECT o_orderkey - 250 AS d0, CAST(trunc(o_totalprice * 100) AS BIGINT) AS v FROM orders WHERE o_orderkey >= 300 AND o_orderkey < 700")
+@query("SELECT o_orderkey + 50 AS d0, CAST(trunc(o_totalprice * 100) AS BIGINT) AS v FROM orders")
 def view_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A view of a slice, which is what the query is of: 400 keys, moved to start at 50."""
+    """A view of every order key, moved to start at 50."""
     orders = table(spark, sf_dir, "orders")
-    a = from_table(orders, ["o_orderkey"], cents(), shape_of(orders, "o_orderkey"), I64)
-    return a.slice(G.Bounds.of([(300, 700)])).shift_axis_to(0, 50).df
+    return from_table(orders, ["o_orderkey"], cents(), shape_of(orders, "o_orderkey"), I64).shift_axis_to(0, 50).df
 
 
-def _reduced(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
-    rows = embedding_cells(spark, sf_dir).select(F.col(key).alias("d0"), F.col("v").cast("decimal(20,8)").alias("v"))
-    return rows.groupBy("d0").agg(F.round(F.sum("v"), 4).cast("double").alias("v"))
+def _reduced(spark: SparkSession, sf_dir: str, kept: int) -> DataFrame:
+    """Sums over one axis of the embeddings, in fixed point (8 decimals), as sums of floats depend on their order."""
+    cells = embedding_cells(spark, sf_dir).select("d0", "d1", (F.col("v").cast("decimal(20,8)") * 100_000_000).cast("bigint").alias("v"))
+    size = shape_of(cells, "d0", "d1")
+    a, out, axes = from_table(cells, ["d0", "d1"], "v", size, I64), ArrayFrame(spark, [size[kept]], I64), [axis(0), axis(1)]
+    reduce_elements(spark, size, ExprKernel(lambda d, v: v), reduce("sum", privatize(axes[1 - kept]), out[axes[kept]]), a[axes[0]][axes[1]])
+    return out.df.select("d0", F.round(F.col("v").cast("decimal(30,0)") / F.lit(100_000_000).cast("decimal(10,0)"), 4).cast("double").alias("v"))
 
 
 _EMBEDDED = "(SELECT vec_id AS d0, CAST(unnest(range(len(embedding))) AS BIGINT) AS d1, CAST(unnest(embedding) AS DECIMAL(20, 8)) AS v FROM embeddings)"
@@ -161,12 +166,12 @@ _EMBEDDED = "(SELECT vec_id AS d0, CAST(unnest(range(len(embedding))) AS BIGINT)
 
 @query(f"SELECT d0, CAST(round(sum(v), 4) AS DOUBLE) AS v FROM {_EMBEDDED} GROUP BY 1")
 def row_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _reduced(spark, sf_dir, "d0")
+    return _reduced(spark, sf_dir, 0)
 
 
 @query(f"SELECT d1 AS d0, CAST(round(sum(v), 4) AS DOUBLE) AS v FROM {_EMBEDDED} GROUP BY 1")
 def col_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _reduced(spark, sf_dir, "d1")
+    return _reduced(spark, sf_dir, 1)
 
 
 @query("SELECT CAST(sum(l_orderkey) AS BIGINT) AS v FROM lineitem")
@@ -174,11 +179,18 @@ def total_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce_cells(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("v")), "sum", I64, [])
 
 
-@query(f"""SELECT a.d0 AS d0, b.d0 AS d1, CAST(round(sum(CAST(a.v AS DOUBLE) * CAST(b.v AS DOUBLE)), 4) + 0.0 AS DOUBLE) AS v
-FROM {_EMBEDDED} a JOIN {_EMBEDDED} b ON a.d1 = b.d1 WHERE a.d0 < 20 AND b.d0 < 20 GROUP BY 1, 2""")
+@query("""SELECT a.vec_id AS d0, b.vec_id AS d1, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) AS v
+FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(trunc(CAST(x AS DOUBLE) * 1000) AS BIGINT)) AS q FROM embeddings) a,
+(SELECT vec_id, list_transform(embedding, lambda x: CAST(trunc(CAST(x AS DOUBLE) * 1000) AS BIGINT)) AS q FROM embeddings) b""")
 def matmul_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The products of the first 20 vectors, as its SQL has it; matmul_gram_all has those of every two."""
-    return gram(embedding_cells(spark, sf_dir).where("d0 < 20"))
+    """The products of every two vectors, quantised to integers: blocks of both sides are multiplied by a chunk kernel and added over the inner axis."""
+    cells = embedding_cells(spark, sf_dir).select("d0", "d1", (F.col("v").cast("double") * 1000).cast("bigint").alias("v"))
+    n, m = shape_of(cells, "d0", "d1")
+    i, k, j = axis(0), axis(1), axis(2)
+    block = 256
+    a, out = from_table(cells, ["d0", "d1"], "v", [n, m], I64, [block, max(1, m)]), ArrayFrame(spark, [n, n], I64)
+    parallel_submit(spark, ([n, m, n], [block, max(1, m), block]), ChunkKernel(lambda chunk, x, y: x @ y.T), reduce("sum", out[i][j]), a[i][k], a[j][k])
+    return out.df
 
 
 @query("""SELECT a.vec_id AS d0, b.vec_id AS d1, round(list_dot_product(CAST(CAST(a.embedding AS DECIMAL(20, 8)[]) AS DOUBLE[]), CAST(CAST(b.embedding AS DECIMAL(20, 8)[]) AS DOUBLE[])), 4) + 0.0 AS v
@@ -215,24 +227,36 @@ _EDGES = [(0.0, 0.0), (8.0, 1.0), (9.5, 5.0), (6.0, 4.0), (8.5, 9.0), (5.0, 7.0)
 e AS (SELECT * FROM (VALUES {', '.join(f'({a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0]}::DOUBLE, {b[1]}::DOUBLE)' for a, b in zip(_EDGES, _EDGES[1:] + _EDGES[:1]))}) t(x1, y1, x2, y2))
 SELECT c_custkey AS d0, count(*) FILTER ((y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1) % 2 = 1 AS v FROM pts, e GROUP BY 1""")
 def point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parity of crossings. The polygon is a small array literal that each point folds over: no join."""
+    """Parity of crossings. The coordinates are two arrays; the polygon is a small array literal that each point folds over."""
     n = F.col("c_custkey")
-    points = table(spark, sf_dir, "customer").select(n.alias("d0"), ((n * 37 % 101).cast("double") / 9 - 1).alias("x"), ((n * 53 % 97).cast("double") / 9 - 0.5).alias("y"))
+    customer = table(spark, sf_dir, "customer")
+    size = shape_of(customer, "c_custkey")
+    xs = from_table(customer, ["c_custkey"], (n * 37 % 101).cast("double") / 9 - 1, size, F64)
+    ys = from_table(customer, ["c_custkey"], (n * 53 % 97).cast("double") / 9 - 0.5, size, F64)
     edges = F.array(*(F.struct(F.lit(a[0]).alias("x1"), F.lit(a[1]).alias("y1"), F.lit(b[0]).alias("x2"), F.lit(b[1]).alias("y2")) for a, b in zip(_EDGES, _EDGES[1:] + _EDGES[:1], strict=True)))
-    x, y = F.col("x"), F.col("y")
-    crosses = lambda e: ((e["y1"] > y) != (e["y2"] > y)) & F.when(e["y1"] != e["y2"], x < (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]).otherwise(False)
-    return points.select("d0", (F.size(F.filter(edges, crosses)) % 2 == 1).alias("v"))
+
+    def inside(d: list[Column], x: Column, y: Column) -> Column:
+        crosses = lambda e: ((e["y1"] > y) != (e["y2"] > y)) & F.when(e["y1"] != e["y2"], x < (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]).otherwise(False)
+        return (F.size(F.filter(edges, crosses)) % 2).cast("tinyint")
+
+    out, i = ArrayFrame(spark, size, "Int8"), axis(0)
+    elementwise(spark, size, ExprKernel(inside), write(out[i]), xs[i], ys[i])
+    return out.df.select("d0", (F.col("v") == 1).alias("v"))
 
 
 def _part_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", G.range_struct(F.col("p_partkey"), F.col("p_partkey") + F.col("p_size")).alias("r"))
 
 
-@query("""SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND a.p_size > 0 AND b.p_size > 0
-AND a.p_partkey < b.p_partkey + b.p_size AND b.p_partkey < a.p_partkey + a.p_size WHERE a.p_partkey < 400 AND b.p_partkey < 400""")
+@query("""SELECT p.d0, count(b.p_partkey) AS v FROM (SELECT unnest(range(0, (SELECT max(p_partkey) + 1 FROM part))) AS d0) p
+LEFT JOIN part a ON a.p_partkey = p.d0 LEFT JOIN part b ON a.p_partkey <> b.p_partkey AND a.p_size > 0 AND b.p_size > 0
+AND a.p_partkey < b.p_partkey + b.p_size AND b.p_partkey < a.p_partkey + a.p_size GROUP BY 1""")
 def bounds_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ranges of parts under 400, as its SQL has it; bounds_overlaps_all has those of every part."""
-    return overlapping(_part_ranges(spark, sf_dir).where("p_partkey < 400"))
+    """With how many others the range of each part overlaps, as a dense array: a sum of ones for both sides of each pair."""
+    ranges = _part_ranges(spark, sf_dir)
+    pairs = overlapping(ranges)
+    ones = pairs.select(F.explode(F.array("a", "b")).alias("d0"), F.lit(1).cast("bigint").alias("v"))
+    return reduce_cells(ones, "sum", I64, ["d0"], index_space(spark, G.Bounds.of(shape_of(ranges, "p_partkey"))))
 
 
 @query("""SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND a.p_size > 0 AND b.p_size > 0
@@ -331,14 +355,20 @@ def checked_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey AS d0, CAST(trunc(o_totalprice * 100) AS BIGINT) + o_custkey AS v FROM orders")
 def vector_add(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C = A + B. Both arrays are columns of one table, so that one projection adds them: no join, no shuffle."""
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("d0"), (cents() + F.col("o_custkey")).alias("v"))
+    """C = A + B of two arrays of one shape."""
+    orders = table(spark, sf_dir, "orders")
+    n, x = shape_of(orders, "o_orderkey"), axis(0)
+    a, b, c = from_table(orders, ["o_orderkey"], cents(), n, I64), from_table(orders, ["o_orderkey"], "o_custkey", n, I64), ArrayFrame(spark, n, I64)
+    return elementwise(spark, n, ExprKernel(lambda d, u, v: u + v), write(c[x]), a[x], b[x]).df
 
 
-@query("SELECT o_orderkey AS d0, CAST(trunc(o_totalprice * 100) AS BIGINT) + o_orderkey AS v FROM orders WHERE o_orderkey < 1000")
+@query("SELECT c_custkey AS d0, CAST(trunc(c_acctbal * 100) AS BIGINT) + 3 * c_custkey AS v FROM customer")
 def vector_add_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 1000 keys, as its SQL has it; vector_add_zip_all adds those of every order."""
-    return zipped(table(spark, sf_dir, "orders").where("o_orderkey < 1000"), 1000)
+    """A column of every customer plus three times an array of places that no table holds; they meet by their coordinate."""
+    customer = table(spark, sf_dir, "customer")
+    n, x = shape_of(customer, "c_custkey"), axis(0)
+    a, b, c = from_table(customer, ["c_custkey"], (F.col("c_acctbal") * 100).cast("bigint"), n, I64), ArrayFrame(spark, n, I64).iota(), ArrayFrame(spark, n, I64)
+    return elementwise(spark, n, ExprKernel(lambda d, u, v, k: u + v * k), write(c[x]), a[x], b[x], 3).df
 
 
 @query("SELECT o_orderkey AS d0, CAST(trunc(o_totalprice * 100) AS BIGINT) + o_orderkey AS v FROM orders")
@@ -370,11 +400,26 @@ def copy_strided(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.copy_region(source, [10], [5], [40], [3], [2]).df
 
 
-@query("SELECT p_partkey AS d0, CAST(p_size * 2.5 + p_partkey AS DOUBLE) AS v FROM part")
+@dataclass
+class Scaled:
+    """Arguments that belong together: two arrays, a factor, and where the result goes."""
+
+    size: object
+    key: object
+    factor: float
+    target: object
+
+
+@query("""SELECT p_partkey AS d0, CAST(p_size * 2.5 + p_partkey AS DOUBLE) AS v, CAST(p_size - p_partkey AS BIGINT) AS w FROM part""")
 def struct_arg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A struct argument: fields that share a shape are one struct column."""
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("d0"), F.struct(F.col("p_size").alias("a"), F.col("p_partkey").alias("b")).alias("s"))
-    return rows.select("d0", (F.col("s.a") * 2.5 + F.col("s.b")).cast("double").alias("v"))
+    """A dataclass among the arguments: its arrays are read, its factor is passed on, and its target is written."""
+    part = table(spark, sf_dir, "part")
+    n, x = shape_of(part, "p_partkey"), axis(0)
+    a, b = (from_table(part, ["p_partkey"], c, n, I64) for c in ("p_size", "p_partkey"))
+    v, w = ArrayFrame(spark, n, F64), ArrayFrame(spark, n, I64)
+    given = Scaled(a[x], b[x], 2.5, write(w[x]))
+    elementwise(spark, n, ExprKernel(lambda d, size, key, factor: (size * factor + key, size - key)), write(v[x]), given)
+    return v.df.join(w.df.withColumnRenamed("v", "w"), "d0")
 
 
 @query("SELECT CAST(l_linenumber AS BIGINT) AS d0, CAST(sum(l_partkey) AS BIGINT) AS v FROM lineitem GROUP BY 1")
@@ -416,3 +461,149 @@ def scatter_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places within ragged rows, as needed to make an array of contributions."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("d0"), "l_linenumber", (F.row_number().over(w) - 1).cast("bigint").alias("place"))
+
+
+@query("""SELECT CAST(i AS BIGINT) AS d0, CAST(j AS BIGINT) AS d1, CAST(i * 3 + j AS BIGINT) AS v FROM range(0, 40) a(i), range(0, 25) b(j)""")
+def allocate_host(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host memory to an array and back, in every form: typed values, bytes, and flat values with a shape."""
+    import numpy as np
+
+    data = np.arange(40)[:, None] * 3 + np.arange(25)
+    a = allocate(spark, data, "Int64")
+    b = ArrayFrame(spark, [40, 25], I64).copy_bytes_from(a.copy_bytes_to())
+    return allocate(spark, b.copy_to_vector(), "Int64", [40, 25]).df
+
+
+@query("""WITH c AS (SELECT o_orderkey AS k, o_orderkey % 50 AS a0, 1 + o_orderkey % 9 AS n FROM orders)
+SELECT k AS o_orderkey, -6 * (a0 + n - 1) - 15 AS scaled_b, -6 * a0 - 15 + 7 AS scaled_e, a0 // 4 AS divided_b, a0 // 4 + (n + a0 % 4 + 3) // 4 AS divided_e,
+CAST(3 AS BIGINT) AS constant_b, CAST(8 AS BIGINT) AS constant_e, 5 * a0 AS tile_b, 5 * (a0 + n) AS tile_e FROM c""")
+def indexmap_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products, quotients, constant ranges and tiles of maps over the chunks [k mod 50, k mod 50 + 1 + k mod 9)."""
+    x, k = axis(0), F.col("o_orderkey")
+    maps = {"scaled": span(2 * x + 3, 2 * x + 5) * -3, "divided": x / 4, "constant": span(3, 8), "tile": tile(5)[0]}
+    ends = {f"{n}_{e}": c for n, m in maps.items() for e, c in zip("be", m.apply(k % 50, 1 + k % 9), strict=True)}
+    # 2x + 3 + [0, 3) times -3 is -6x - 15 + [0, 7)
+    return table(spark, sf_dir, "orders").select("o_orderkey", *(c.alias(n) for n, c in ends.items()))
+
+
+@query("""SELECT CAST(i AS BIGINT) AS d0, CAST(2 * i + 1 + 1000 * (i // 3) + 7 AS BIGINT) AS v FROM range(0, 30) t(i)""")
+def affine_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An element-wise kernel that reads one array at 2x + 1, one at x / 3 and one at a constant place."""
+    x = axis(0)
+    a, b, c, out = (ArrayFrame(spark, [n], I64) for n in (60, 10, 9, 30))
+    a.iota()
+    b.iota()
+    c.iota()
+    return elementwise(spark, [30], ExprKernel(lambda d, u, v, w: u + v * 1000 + w), write(out[x]), a[2 * x + 1], b[x / 3], c[7]).df
+
+
+@query("""SELECT CAST(i AS BIGINT) AS d0, CASE WHEN i % 2 = 1 AND i < 41 THEN 100 + i // 2 ELSE -1 END AS v FROM range(0, 50) t(i)""")
+def affine_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second cell of a filled array is written, at 2x + 1."""
+    x, out = axis(0), ArrayFrame(spark, [50], I64).fill(-1)
+    return elementwise(spark, [20], ExprKernel(lambda d: d[0] + 100), write(out[2 * x + 1])).df
+
+
+@query("""SELECT CAST(i AS BIGINT) AS d0, CAST(sum(i * 7 + j * 5) AS BIGINT) AS total, CAST(max((i * 7 + j * 5) % 13) AS BIGINT) AS top FROM range(0, 48) a(i), range(0, 40) b(j) GROUP BY 1""")
+def several_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One submission with two reductions, to different arrays and with different operations; the second has a private axis."""
+    i, j = axis(0), axis(1)
+    m, total, top = ArrayFrame(spark, [48, 40], I64, [16, 10]), ArrayFrame(spark, [48], I64), ArrayFrame(spark, [48], I64)
+    elementwise(spark, [48, 40], ExprKernel(lambda d: d[0] * 7 + d[1] * 5), write(m[i][j]))
+    kernel = ChunkKernel(lambda chunk, v: (v.sum(1), (v % 13).T))
+    parallel_submit(spark, ([48, 40], [16, 10]), kernel, reduce("sum", total[i]), reduce("max", privatize(j), top[i]), m[i][j])
+    return total.df.withColumnRenamed("v", "total").join(top.df.withColumnRenamed("v", "top"), "d0")
+
+
+@query("""SELECT CAST(i AS BIGINT) AS d0, CAST(18446744073709551615 - i * i AS DECIMAL(20, 0)) AS v FROM (SELECT CAST(range AS HUGEINT) AS i FROM range(0, 64))""")
+def unsigned_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unsigned 64-bit cells through a chunk kernel."""
+    import numpy as np
+
+    x, a, out = axis(0), ArrayFrame(spark, [64], I64, [16]).iota(), ArrayFrame(spark, [64], "Uint64")
+    return parallel_submit(spark, ([64], [16]), ChunkKernel(lambda c, v: np.uint64(2**64 - 1) - v.astype(np.uint64) ** 2), write(out[x]), a[x]).df
+
+
+@query("""SELECT CAST(i AS BIGINT) AS chunk_id, CAST(i // 3 * 16 AS BIGINT) AS o0, CAST(i % 3 * 14 AS BIGINT) AS o1, CAST(16 AS BIGINT) AS s0, CAST(least(14, 40 - i % 3 * 14) AS BIGINT) AS s1 FROM range(0, 9) t(i)""")
+def first_write_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distribution that the chunks of a domain give the array which they write first: checked for alignment, sizes, cover and duplicates."""
+    x, y, out = axis(0), axis(1), ArrayFrame(spark, [48, 40], I64)
+    parallel_submit(spark, ([48, 40], [16, 14]), ChunkKernel(lambda c: 1), write(out[x][y]))
+    return out.distribution.table(spark)
+
+
+@query("""WITH s AS (SELECT c_custkey AS k, c_custkey * 12297829382938 + 18000000000000000000::HUGEINT AS a, CAST(c_nationkey AS HUGEINT) * 446744073709551 AS b, CAST(c_custkey AS HUGEINT) * 61489146912 AS f FROM customer)
+SELECT k AS c_custkey, TRY_CAST(a + b AS UBIGINT)::DECIMAL(20, 0) AS added, TRY_CAST(b - f AS UBIGINT)::DECIMAL(20, 0) AS less, TRY_CAST(b * f AS UBIGINT)::DECIMAL(20, 0) AS multiplied FROM s""")
+def checked_u64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums, differences and products of unsigned 64-bit numbers; null where the checked forms raise."""
+    k, u64 = F.col("c_custkey"), TYPES["Uint64"]
+    big = lambda text: F.lit(text).cast("decimal(20,0)")
+    a = k.cast("decimal(10,0)") * F.lit("12297829382938").cast("decimal(14,0)") + big("18000000000000000000")
+    b = (F.col("c_nationkey").cast("decimal(4,0)") * F.lit("446744073709551").cast("decimal(15,0)")).cast("decimal(20,0)")
+    f = (k.cast("decimal(8,0)") * F.lit("61489146912").cast("decimal(11,0)")).cast("decimal(20,0)")
+    tried = {"added": S.tried(a + b, u64), "less": S.tried(b - f, u64), "multiplied": S.tried(S.product(b, f), u64)}
+    return table(spark, sf_dir, "customer").select("c_custkey", *(c.alias(n) for n, c in tried.items()))
+
+
+@query("""SELECT l_returnflag AS flag, CAST(1000 + sum(l_partkey) AS BIGINT) AS total, CAST(7 * pow(2, count(*) FILTER (l_quantity >= 50 AND l_linenumber = 7) % 20) AS BIGINT) AS multiplied FROM lineitem GROUP BY 1""")
+def checked_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A checked sum and a checked product, each from an initial value."""
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("flag"))
+    twos = F.count(F.when((F.col("l_quantity") >= 50) & (F.col("l_linenumber") == 7), 1)) % 20
+    out = rows.agg(S.checked_sum(F.col("l_partkey"), I64, 1000).alias("total"), twos.cast("int").alias("n"))
+    return out.select("flag", "total", S.checked_fold_product(F.array_repeat(F.lit(2).cast("bigint"), F.col("n")), I64, 7).alias("multiplied"))
+
+
+@query("""SELECT o_orderkey, CAST(o_orderkey AS DOUBLE) < o_totalprice AS lt, o_orderkey % 7 - 3 < o_custkey % 5 AS signed_lt, o_totalprice > o_custkey AS gt, o_totalprice >= o_custkey AS ge, o_orderkey = CAST(o_orderkey AS DOUBLE) AS eq, o_orderkey % 7 - 3 BETWEEN 0 AND 2 AS inside,
+TRY_CAST(o_orderkey AS SMALLINT) AS small FROM orders""")
+def exact_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comparisons across types, ranges and lossless casts, on every order."""
+    k, c, p = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_totalprice")
+    i16 = TYPES["Int16"]
+    cast = F.when(S.is_convertible(k, "int", i16), S.checked_cast(F.when(S.is_convertible(k, "int", i16), k).otherwise(0), "int", i16))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", S.is_less(k, "int", p, "float").alias("lt"), S.is_less(k % 7 - 3, "int", c % 5, "int").alias("signed_lt"), S.is_greater(p, "float", c, "int").alias("gt"),
+        S.is_greater_equal(p, "float", c, "int").alias("ge"), S.is_equal(k, "int", k.cast("double"), "float").alias("eq"), S.in_range(k % 7 - 3, "int", F.lit(3)).alias("inside"), cast.alias("small"))
+
+
+@query("""WITH r AS (SELECT p_partkey, p_partkey % 20 AS b, p_partkey % 20 + p_size % 11 - 2 AS e, p_size % 25 AS m FROM part)
+SELECT p_partkey, b >= e AS empty, greatest(e - b, 0) AS size, m >= b AND m < e AS has, b >= e OR (b >= 3 AND e <= 24) AS inside, least(greatest(m, b), greatest(b, e)) AS cut, b + 5 AS moved_b, e + 5 AS moved_e FROM r""")
+def range_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Emptiness, size, containment, splitting and shifting of ranges, inverted ones too."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    r, m = G.range_struct(k % 20, k % 20 + s % 11 - 2), (s % 25).cast("bigint")
+    head, tail = G.range_split(r, m)
+    moved = G.range_shift(r, F.lit(5))
+    wide = G.range_struct(F.lit(3), F.lit(24))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", G.range_is_empty(r).alias("empty"), G.range_size(r).alias("size"), G.range_contains(r, m).alias("has"), G.range_contains_range(wide, r).alias("inside"),
+        F.when(head["end"] == tail["begin"], head["end"]).alias("cut"), moved["begin"].alias("moved_b"), moved["end"].alias("moved_e"))
+
+
+@query("""WITH b AS (SELECT p_partkey, p_partkey % 17 AS b0, p_partkey % 17 + p_size % 9 AS e0, p_size % 5 AS b1 FROM part)
+SELECT p_partkey, CAST(greatest(e0 - b0, 0) * (7 - b1) AS BIGINT) AS volume, b0 >= e0 OR (b0 >= 0 AND e0 <= 20 AND b1 >= 0) AS inside, CAST(0 AS BIGINT) AS missing_begin, CAST(1 AS BIGINT) AS missing_end FROM b""")
+def bounds_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volumes, containment and missing axes of boxes."""
+    boxes = _boxes(spark, sf_dir)
+    a, wide = F.col("a"), F.array(G.range_struct(F.lit(0), F.lit(20)), G.range_struct(F.lit(0), F.lit(9)))
+    third = G.bounds_axis(a, 2)
+    return boxes.select("p_partkey", G.bounds_volume(a).alias("volume"), G.bounds_contains(wide, a).alias("inside"), third["begin"].alias("missing_begin"), third["end"].alias("missing_end"))
+
+
+@query("""WITH s AS (SELECT max(vec_id) + 1 AS n FROM embeddings)
+SELECT n, CAST(64 AS BIGINT) AS m, CAST(sum(CAST(trunc(CAST(v AS DOUBLE) * 1000) AS BIGINT)) AS BIGINT) AS total FROM (SELECT unnest(embedding) AS v FROM embeddings), s GROUP BY n""")
+def whole_array_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk of a domain reads a whole array (All), and a rank-0 array takes the sum of what they make of it."""
+    cells = embedding_cells(spark, sf_dir).select("d0", "d1", (F.col("v").cast("double") * 1000).cast("bigint").alias("v"))
+    n, m = shape_of(cells, "d0", "d1")
+    a, total, x = from_table(cells, ["d0", "d1"], "v", [n, m], I64), ArrayFrame(spark, [], I64), axis(0)
+    # each of the four chunks adds the rows that are its own
+    parallel_submit(spark, ([n], [max(1, -(-n // 4))]), ChunkKernel(lambda chunk, v, mine: v[mine.begin : mine.end].sum()), reduce("sum", total), a[ALL], x)
+    return total.df.select(F.lit(n).cast("bigint").alias("n"), F.lit(m).cast("bigint").alias("m"), F.col("v").alias("total"))
+
+
+@query("""SELECT CAST(i AS BIGINT) AS d0, CAST(j AS BIGINT) AS d1, i * 6 + j AS v, i * 6 + j = 9 AS nine FROM range(2, 5) a(i), range(1, 5) b(j)""")
+def view_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A slice of an array, with its bounds as a column test."""
+    a = ArrayFrame(spark, [6, 6], I64).iota().slice(G.Bounds.of([(2, 5), (1, 5)]))
+    return a.df.where(a.in_bounds(F.col("d0"), F.col("d1"))).select("d0", "d1", "v", (F.col("v") == 9).alias("nine"))

@@ -55,7 +55,16 @@ def test_queries_of_whole_tables(spark, tmp_path):
     pairs = [(a, b) for a in range(450) for b in range(a + 1, min(450, a + size[a])) if size[b]]
     assert sorted(run("bounds_overlaps_all")) == pairs
     assert sorted(run("vector_add_zip_all")) == [(k, k * 101 + 50) for k in range(1300)]
-    assert len(run("distribution_cells")) == 36 and len(run("view_shift")) == 400 and len(run("view_drop_axis")) == 3
+    moved = run("linear_index")
+    assert len(moved) == 1590 and all((r, c, s) == ((i - 100) * 3 + j - 42, i - 100 + (j - 42) * 530, (i - 100) * 1000 + (j - 42) * 3) for i, j, r, c, s in moved)
+    q = np.trunc(e.astype(np.float32).astype(float) * 1000).astype(int)
+    blocks = np.full((530, 530), -1)
+    for i, j, v in run("matmul_gram"):
+        blocks[i, j] = v
+    assert (blocks == q @ q.T).all()
+    counts = np.bincount(np.array(pairs).reshape(-1), minlength=450)
+    assert sorted(run("bounds_overlaps")) == list(enumerate(counts))
+    assert len(run("distribution_cells")) == 36 and len(run("view_shift")) == 1300 and len(run("view_drop_axis")) == 3
 
 
 def test_entry(spark):
