@@ -20,6 +20,13 @@ UNKNOWN_PENALTY = 10.0
 #: Words whose pieces a worker remembers at most.
 REMEMBERED = 150_000
 _RUN = re.compile(" *[^ ]+| +")
+#: Scores are summed as whole multiples of 1 / SCALE, so that sums of the same pieces are equal wherever they begin.
+SCALE = 1 << 20
+_NEVER = -(1 << 60)
+#: Bytes that the dynamic programme handles at once.
+BLOCK = 1 << 17
+#: A part of more bytes without a space is cut into windows of CORE bytes that run side by side, each from WARM bytes before.
+LONG, CORE, WARM = 2048, 1024, 128
 #: Bytes of a UTF-8 character by its first byte; following bytes have 0.
 _CHAR = np.zeros(256, np.int64)
 _CHAR[:0x80], _CHAR[0xC0:0xE0], _CHAR[0xE0:0xF0], _CHAR[0xF0:0xF8] = 1, 2, 3, 4
@@ -111,6 +118,11 @@ class UnigramTokenizer:
         plain.sort(key=lambda i: (-model.get_score(i), i))
         return cls.of([(i, model.id_to_piece(i)) for i in plain], [i for i in every if model.is_byte(i)])
 
+    def __post_init__(self) -> None:
+        self.costs = np.round(self.scores * SCALE).astype(np.int64)
+        self.unknown = int(self.costs.min(initial=0)) - int(UNKNOWN_PENALTY * SCALE)
+        self.depth = max([4, *(len(b) for b in self.piece_bytes)])  # bytes of the longest piece or character
+
     def __getstate__(self) -> dict:
         return self.__dict__ | {"memory": {}}
 
@@ -120,67 +132,139 @@ class UnigramTokenizer:
         length = np.array([len(r) for r in raw])
         out: list[bytes] = [b""] * len(raw)
         order = np.argsort(length, kind="stable")
+        sizes = length[order]
         a = 0
-        while a < len(order):
-            widest = max(8, int(length[order[a]] * 1.3))
-            b = min(int(np.searchsorted(length[order], widest, "right")), a + max(1, 4_000_000 // (widest + 1)))
+        while a < len(order) and sizes[a] <= LONG:
+            widest = min(LONG, max(8, int(sizes[a] * 1.3)))
+            b = min(int(np.searchsorted(sizes, widest, "right")), a + max(1, BLOCK // (widest + 1)))
             part = order[a:b]
-            self._viterbi([raw[k] for k in part], length[part], part, out)
+            for k, ids in zip(part, self._short([raw[k] for k in part]), strict=True):
+                out[k] = ids
             a = b
+        for k in order[a:]:
+            out[k] = self._long(np.frombuffer(raw[k], np.uint8))
         return out
 
-    def _viterbi(self, raw: list[bytes], length: np.ndarray, names: np.ndarray, out: list[bytes]) -> None:
-        n, width = len(raw), int(length.max(initial=0))
-        text = np.zeros((n, width + 1), np.uint8)
-        flat = np.frombuffer(b"".join(raw), np.uint8)
-        row = np.repeat(np.arange(n), length)
-        text[row, np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length)] = flat
-        best = np.full((n, width + 1), -np.inf)
-        came, piece = np.zeros((n, width + 1), np.int32), np.full((n, width + 1), -1, np.int32)
-        best[:, 0] = 0
-        unknown = float(self.scores.min(initial=0)) - UNKNOWN_PENALTY
-
-        def offer(rows: np.ndarray, start: int, end: np.ndarray | int, score: np.ndarray, what: np.ndarray | int) -> None:
-            better = score > best[rows, end]
-            r = rows[better]
-            e = end[better] if isinstance(end, np.ndarray) else end
-            best[r, e], came[r, e] = score[better], start
-            piece[r, e] = what[better] if isinstance(what, np.ndarray) else what
-
-        for s in range(width):
-            rows = np.flatnonzero((length > s) & (best[:, s] > -np.inf))
-            if not len(rows):
-                continue
-            so_far = best[rows, s]
-            offer(rows, s, np.minimum(s + np.maximum(1, _CHAR[text[rows, s]]), length[rows]), so_far + unknown, -1)
-            state, at = np.zeros(len(rows), np.int64), s
-            while len(rows):
-                step = self.base[state] + text[rows, at]
-                ok = (self.check[np.minimum(step, len(self.check) - 1)] == state) & (step < len(self.check)) & (at < length[rows])
-                rows, state, so_far, at = rows[ok], step[ok], so_far[ok], at + 1
-                key = self.value[state]
-                ends = key >= 0
-                if ends.any():
-                    offer(rows[ends], s, at, so_far[ends] + self.scores[key[ends]], key[ends])
+    def _edges(self, raw: list[bytes], depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For each row, end and column j the score and key of the piece that starts `depth - j` bytes before the end (depth: of the longest found if not given).
+
+        All places of all rows walk down the trie together, a byte a step. A character that isn't a piece has the unknown score, and key -1.
+        """
+        length = np.array([len(r) for r in raw])
+        width = int(length.max(initial=0))
+        text = np.zeros((len(raw), width + 1), np.uint8)
+        row = np.repeat(np.arange(len(raw)), length)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
+        text[row, place] = np.frombuffer(b"".join(raw), np.uint8)
+        flat, left = text.reshape(-1), np.repeat(length, length) - place
+        at, steps, found = row * (width + 1) + place, 0, []
+        long = np.minimum(_CHAR[flat[at]], left)
+        begins = long > 0
+        found.append((at[begins] + long[begins], long[begins], np.full(int(begins.sum()), -1)))
+        state = np.zeros(len(at), np.int64)
+        while len(at):
+            step = self.base[state] + flat[at + steps]
+            ok = (self.check[step] == state) & (left > steps)
+            at, state, left, steps = at[ok], step[ok], left[ok], steps + 1
+            key = self.value[state]
+            ends = key >= 0
+            found.append((at[ends] + steps, np.full(int(ends.sum()), steps), key[ends]))
+        end, size, key = (np.concatenate(x) for x in zip(*found, strict=True))
+        depth = depth or max(1, int(size.max(initial=1)))
+        score = np.full((len(raw) * (width + 1), depth), _NEVER)
+        which = np.full((len(raw) * (width + 1), depth), -1, np.int32)
+        score[end, depth - size] = np.where(key >= 0, self.costs[np.maximum(key, 0)], self.unknown)  # pieces come after characters
+        which[end, depth - size] = key
+        return score.reshape(len(raw), width + 1, depth), which.reshape(len(raw), width + 1, depth)
+
+    @staticmethod
+    def _sums(score: np.ndarray, before: np.ndarray | None = None, begin: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """The largest sums up to each place (after `depth` places before the first), and the column of the piece that ends there. Of equal sums
+        the piece that starts first. before: the sums of the places up to `begin`, where rows don't start with nothing."""
+        n, width, depth = score.shape
+        best = np.full((n, depth + width), _NEVER)
+        best[:, begin + 1 : begin + 1 + depth] = before if before is not None else _NEVER
+        if before is None:
+            best[:, depth] = 0
+        column = np.zeros((n, width), np.int16)
+        rows = np.arange(n)
+        for e in range(begin + 1, width):
+            sums = best[:, e : e + depth] + score[:, e]
+            j = sums.argmax(1)
+            column[:, e] = j
+            best[:, e + depth] = np.maximum(sums[rows, j], _NEVER)
+        return best, column
+
+    def _short(self, raw: list[bytes]) -> list[bytes]:
+        score, which = self._edges(raw)
+        n, width, depth = score.shape
+        if width < 2:
+            return [b""] * n
+        _, column = self._sums(score)
+        length = np.array([len(r) for r in raw])
         # back from the ends; the pieces come out last first
         spot, steps = length.copy(), []
         while (live := spot > 0).any():
             r = np.flatnonzero(live)
-            steps.append((r, came[r, spot[r]], spot[r], piece[r, spot[r]]))
-            spot[r] = came[r, spot[r]]
-        if not steps:
-            return
+            j = column[r, spot[r]]
+            start = spot[r] - depth + j
+            steps.append((r, start, spot[r], which[r, spot[r], j]))
+            spot[r] = start
         rows, start, end, key = (np.concatenate(x) for x in zip(*steps[::-1], strict=True))
         order = np.argsort(rows, kind="stable")
         rows, start, end, key = rows[order], start[order], end[order], key[order]
+        first = np.cumsum(length) - length
+        ids, many = self._ids(np.frombuffer(b"".join(raw), np.uint8), start + first[rows], end + first[rows], key)
+        bounds = np.concatenate([[0], np.cumsum(many)])[np.searchsorted(rows, np.arange(n + 1))]
+        return [ids[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+    def _ids(self, text: np.ndarray, start: np.ndarray, end: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Vocabulary ids of pieces in order, those of the bytes where the key is -1, and how many each has."""
         many = np.where(key >= 0, 1, end - start)
-        first = np.cumsum(many) - many
         which = np.repeat(np.arange(len(key)), many)
-        inside = np.arange(len(which)) - first[which]
-        ids = np.where(key[which] >= 0, self.ids[np.maximum(key[which], 0)], self.byte_ids[text[rows[which], start[which] + inside]]).astype(np.int32)
-        bounds = np.searchsorted(rows[which], np.arange(n + 1))
-        for k, name in enumerate(names):
-            out[name] = ids[bounds[k] : bounds[k + 1]].tobytes()
+        inside = np.arange(len(which)) - (np.cumsum(many) - many)[which]
+        return np.where(key[which] >= 0, self.ids[np.maximum(key[which], 0)], self.byte_ids[text[np.minimum(start[which] + inside, len(text) - 1)]]).astype(np.int32), many
+
+    def _long(self, text: np.ndarray) -> bytes:
+        """The best pieces of a long unit, as int32 bytes.
+
+        Windows run side by side, each from some bytes before it. What follows a place depends only on the sums of the `depth` places up to it,
+        less that of the place itself. Where a window has the same ones as the window before it, it goes on as that one would (sums are
+        whole numbers); where not, it is run again from that one's. So the pieces are those of one run over the whole unit.
+        """
+        depth, n = self.depth, len(text)
+        heads = np.flatnonzero(_CHAR[text] > 0)
+        edge = lambda x: int(heads[k]) if (k := int(np.searchsorted(heads, x))) < len(heads) else n
+        cores = sorted({edge(x) for x in range(0, n, CORE)} | {n})
+        warm = [edge(max(0, c - WARM)) for c in cores[:-1]]
+        start, key = np.zeros(n + 1, np.int64), np.full(n + 1, -1, np.int64)
+        last = None
+        each = max(1, BLOCK // (CORE + WARM + 8))
+        for a in range(0, len(warm), each):
+            names = range(a, min(len(warm), a + each))
+            score, which = self._edges([text[warm[k] : cores[k + 1]].tobytes() for k in names], depth)
+            best, column = self._sums(score)
+            for r, k in enumerate(names):
+                c, e = cores[k] - warm[k], cores[k + 1] - warm[k]
+                sums, col = best[r], column[r]
+                if last is not None and not np.array_equal(self._state(sums, c), last):
+                    again, cols = self._sums(score[r : r + 1], last, c)
+                    sums, col = again[0], cols[0]
+                ends = np.arange(c + 1, e + 1)
+                start[ends + warm[k]] = ends + warm[k] - depth + col[ends]
+                key[ends + warm[k]] = which[r, ends, col[ends]]
+                last = self._state(sums, e)
+        froms, at, path = start.tolist(), n, []
+        while at > 0:
+            path.append(at)
+            at = froms[at]
+        end = np.array(path[::-1])
+        return self._ids(text, start[end], end, key[end])[0].tobytes()
+
+    def _state(self, sums: np.ndarray, at: int) -> np.ndarray:
+        """The sums of the `depth` places up to one, less that of the place itself."""
+        found = sums[at + 1 : at + 1 + self.depth]
+        return np.where(found > _NEVER // 2, found - found[-1], _NEVER)
 
     @staticmethod
     def units(text: str) -> list[str]:
