@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, licenses, minhash, url_filters
+from . import decontamination, licenses, minhash, sharding, suffix_dedup, url_filters
 from .decontamination import op3_spaced_seed_decontamination
 from .language_gru import op9_byte_gru_language
 from .licenses import op1_rare_token_licenses
@@ -38,5 +38,7 @@ ORACLE_SQL: dict[str, str] = {
     "op1_rare_token_licenses": licenses.oracle_sql(),
     "op3_spaced_seed_decontamination": decontamination.oracle_sql(),
     "op4_multi_index_minhash": minhash.ORACLE_SQL,
+    "op7_difference_cover_dedup": suffix_dedup.ORACLE_SQL,
+    "op8_rendezvous_sharding": sharding.ORACLE_SQL,
     "op10_temporal_url_filter": url_filters.ORACLE_SQL,
 }

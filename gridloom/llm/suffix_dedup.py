@@ -466,3 +466,22 @@ def repeat_digests(docs: DataFrame, block: int = BLOCK, class_size: int = CLASS)
 def op7_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeats of 100 bytes in all `documents`."""
     return repeat_digests(table(spark, sf_dir, "documents"))
+
+
+#: The rule in SQL: all windows, by their bytes in hexadecimal (cut from blocks of 256 starts, as that is quicker than from the whole text).
+ORACLE_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+blocks AS (SELECT doc_id, n, b, substr(h, 512 * b + 1, 710) AS part FROM (SELECT *, unnest(range((greatest(0, n - 99) + 255) // 256)) AS b FROM d)),
+starts AS (SELECT doc_id, b, part, unnest(range(least(256, n - 99 - 256 * b))) AS i FROM blocks),
+windows AS (SELECT doc_id, 256 * b + i AS p, row_number() OVER (PARTITION BY substr(part, 2 * i + 1, 200) ORDER BY doc_id, 256 * b + i) AS k FROM starts),
+late AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS fresh FROM windows WHERE k > 1),
+runs AS (
+  SELECT doc_id, min(p) AS lo, max(p) + 100 AS hi FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM late) GROUP BY doc_id, run),
+pieces AS (
+  SELECT doc_id, lo, hi, substr(h, 2 * before + 1, 2 * (lo - before)) AS kept
+  FROM (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM runs) JOIN d USING (doc_id)),
+cut AS (SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans, max(hi) AS last, string_agg(kept, '' ORDER BY lo) AS kept FROM pieces GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
