@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +30,7 @@ class Texts:
     offsets: np.ndarray
     space: np.ndarray
     words: np.ndarray  # a hash for each word
+    codes: np.ndarray  # a number for each word, equal for equal words only
     word_at: np.ndarray  # words before each row
 
     @classmethod
@@ -38,7 +40,9 @@ class Texts:
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)]).astype(np.int64)
         space = (points == 0x20) | ((points >= 0x09) & (points <= 0x0D))
         starts, ends, word_at = word_spans(space, offsets)
-        return cls(points, offsets, space, span_hash(prefix_hash(points), starts, ends), word_at)
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.string())).flatten()
+        codes = split.filter(pc.not_equal(split, "")).dictionary_encode().indices.to_numpy().astype(np.int64)
+        return cls(points, offsets, space, span_hash(prefix_hash(points), starts, ends), codes, word_at)
 
     def windows(self, n: int, items: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of n consecutive items that don't cross a row's end, and how many come before each row."""
@@ -67,13 +71,13 @@ class Texts:
         return bucket[order].astype(np.int64), self.word_at + two_at, chars[fits], before[np.minimum(self.offsets, size)]
 
     def repeated_words(self, n: int = 3) -> np.ndarray:
-        """For each row the words that lie in an n-word window found at least twice in it."""
-        size = max(0, len(self.words) - n + 1)
+        """For each row the words that lie in an n-word window found at least twice in it. Windows are numbered exactly, not hashed."""
+        size = max(0, len(self.codes) - n + 1)
         row = np.repeat(np.arange(len(self.word_at) - 1), np.diff(self.word_at))
-        h = np.zeros(size, dtype=np.uint64)
-        for k in range(n):
-            h = (h * np.uint64(0x100000001B3)) ^ mix(self.words[k : k + size] + np.uint64(k))
-        h = mix(h + row[:size].astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+        different, window = int(self.codes.max(initial=0)) + 1, self.codes[:size]
+        for k in range(1, n):
+            window = np.unique(window * different + self.codes[k : k + size], return_inverse=True)[1]
+        h = window * len(self.word_at) + row[:size]
         fits = row[:size] == row[n - 1 :] if size else np.zeros(0, bool)
         places = np.flatnonzero(fits)
         order = np.argsort(h[places])

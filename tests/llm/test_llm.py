@@ -327,6 +327,11 @@ def test_quality_rules(spark, odd, none):
         w, c = grams(t or "")
         z = 0.3 + (np.mean(fitted.words[w]) if w else 0.0) + (np.mean(fitted.chars[c]) if c else 0.0)
         assert p == pytest.approx(1 / (1 + np.exp(-(1.5 * z - 0.2))))
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))  # polynomial hashes take the two for one
+    assert quality_rules.Texts.of([f"{word} x y {other} x y", f"{word} x y {word} x y", "", "x y"]).repeated_words().tolist() == [0, 6, 0, 0]
     assert quality_rules.apply_rules(none, quality_rules.train_rules(none, labels)).count() == 0
     rng = random.Random(5)
     good, bad = [prose(rng, 80) for _ in range(60)], [" ".join(f"{w}###" for w in prose(rng, 80).split()) for _ in range(60)]
@@ -545,6 +550,15 @@ def test_tiling_and_pooling():
         assert p == pytest.approx(np.mean(each, 0) if each else np.zeros(3), abs=1e-5)
 
 
+def test_smallest_hashes(spark):
+    from gridloom.llm import common
+
+    for n, rows in ((5, 3), (500, 40), (5000, 1000), (200, 300), (0, 5)):
+        ids = spark.range(n).select(F.col("id").alias("doc_id")).repartition(9)
+        hashes = sorted((r.h, r.doc_id) for r in ids.select("doc_id", F.xxhash64("doc_id").alias("h")).collect())
+        assert [r.doc_id for r in common.smallest_hashes(ids, rows).collect()] == [d for _, d in hashes[:rows]]
+
+
 def test_rare_languages_are_learned(spark):
     rows = [(k, "x" * (k % 7 + 1), "common") for k in range(3000)] + [(9000 + k, "yes", "rare") for k in range(9)] + [(None, "no id", "lost")]
     known = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7)
@@ -602,6 +616,30 @@ def test_url_filters_of_deep_and_short_parents(spark):
     assert found == dict(enumerate(hosts.values())) | {99: blocked[3]}
 
 
+def test_texts_of_megabytes(spark):
+    rng = random.Random(17)
+    item = prose(rng, 30)
+    long = f"{prose(rng, 420_000)} {item} Released under the MIT License"
+    assert len(long.encode()) > 2 << 20  # more than a slice of rows
+    texts = {1: long, 2: "short text", 3: long + " tail"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("lang", F.lit("en"))
+    words = {d: re.findall(r"[^\x20\x09-\x0D]+", lower(t)) for d, t in texts.items()}
+    assert {r.doc_id: (r.n_words, "mit-notice" in r.labels) for r in licenses.scan_licenses(docs).collect()} == {d: (len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))), d != 2) for d, t in texts.items()}
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    gam = quality_gam.train_quality(docs, labels)
+    assert {r.doc_id: r.score for r in quality_gam.score_quality(docs, gam).collect()} == {d: pytest.approx(float(gam.score(np.array([quality_gam.text_features(t)]))[0])) for d, t in texts.items()}
+    found = decontamination.find_contamination(docs, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(1, 5), (3, 5)}
+    groups_ = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs).collect()}
+    assert groups_ == {d: (len(shingles(t)), 2 if d == 2 else 1) for d, t in texts.items()}
+    rules = {r.doc_id: (r.n_words, r.word_chars) for r in quality_rules.apply_rules(docs, quality_rules.train_rules(docs, labels)).collect()}
+    assert rules == {d: (len(w), sum(map(len, w))) for d, w in words.items()}
+    tok = sp.UnigramTokenizer.of(list(enumerate(PIECES, 300)), list(range(256)))
+    assert all(r.round_trip for r in sp.token_digests(docs, tok).collect())
+    assert {r.doc_id: r.size for r in sharding.shard_documents(docs, [1.0] * 4).collect()} == {d: len(t.encode()) + 1 for d, t in texts.items()}
+    assert {r.lang_pred for r in language_gru.predict_language(docs, language_gru.train_language(docs)).collect()} == {"en"}
+
+
 def test_queries_are_registered():
     names = list(queries.QUERIES)
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11)) and set(queries.ORACLE_SQL) <= set(names)
