@@ -108,7 +108,7 @@ class Runner:
             settle()
         else:
             # wrapped here, so that it takes over the local properties of the thread that submits
-            self._threads.submit(inheritable_thread_target(settle))
+            self._threads.submit(inheritable_thread_target(self.spark)(settle))
         return event
 
     def compute(self, target: ArrayFrame | DataFrame, after: Iterable[Event] = ()) -> Event:

@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 
 from .functions import geometry as G
 from .functions import scalar as S
-from .functions.dtypes import TYPES
+from .functions.dtypes import REDUCTIONS, TYPES, identity, supports, wrap
 from .operators.access import privatize, reduce, write
 from .operators.arrayframe import ArrayFrame, index_space
 from .operators.reduce import aggregate, arg_min, reduce_cells
-from .operators.submit import ChunkKernel, ExprKernel, elementwise, parallel_submit, reduce_elements
+from .operators.submit import ChunkKernel, ExprKernel, elementwise, parallel_submit, reduce_elements, submit
 from .plans.domain import Distribution, tile_domain
-from .plans.mapper import ALL, IndexMap, axis, span, tile
+from .plans.mapper import ALL, ONE_TO_ONE, IndexMap, axis, span, tile
 from .sources.host import allocate, from_table
+from .streaming.events import Runner
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -607,3 +608,119 @@ def view_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A slice of an array, with its bounds as a column test."""
     a = ArrayFrame(spark, [6, 6], I64).iota().slice(G.Bounds.of([(2, 5), (1, 5)]))
     return a.df.where(a.in_bounds(F.col("d0"), F.col("d1"))).select("d0", "d1", "v", (F.col("v") == 9).alias("nine"))
+
+
+@query("""SELECT CAST(i AS BIGINT) AS d0, CAST(i * i AS BIGINT) AS v FROM range(0, 45) t(i)""")
+def one_to_one_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of an array meet the chunks of the domain of the same shape (one_to_one)."""
+    a, out, x = ArrayFrame(spark, [45], I64, [10]).iota(), ArrayFrame(spark, [45], I64), axis(0)
+    return parallel_submit(spark, ([45], [10]), ChunkKernel(lambda chunk, v: v * v), write(out[x]), a[ONE_TO_ONE]).df
+
+
+@query("""SELECT CAST(i AS BIGINT) AS d0, CAST(i * 3 + 5 AS BIGINT) AS v FROM range(0, 12) t(i)""")
+def submit_one_task(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A single task over a whole array, with a scalar argument."""
+    a, out = ArrayFrame(spark, [12], I64).iota(), ArrayFrame(spark, [12], I64)
+    return submit(spark, ChunkKernel(lambda chunk, v, k: v * 3 + k), write(out), a, 5).df
+
+
+@query("""SELECT CAST(0 AS BIGINT) AS d0, CAST(10 AS BIGINT) AS v UNION ALL SELECT 1, 35 UNION ALL SELECT 2, 0""")
+def explicit_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A domain of the caller's own chunks, of different sizes, reduced into bins; the third bin holds the identity."""
+    chunks = [(0, 0, 0, 5), (1, 0, 5, 5)]
+    rows = spark.createDataFrame([(n, owner, o, 0, 0, s, 1, 1) for n, owner, o, s in chunks], "chunk_id long, owner int, o0 long, o1 long, o2 long, s0 long, s1 long, s2 long")
+    a, out, x = ArrayFrame(spark, [10], I64, [5]).iota(), ArrayFrame(spark, [3], I64), axis(0)
+    return parallel_submit(spark, rows, ChunkKernel(lambda chunk, v: v.sum()), reduce("sum", out[x / 5]), a[x]).df
+
+
+@query("""SELECT CAST(i AS BIGINT) AS chunk_id, CAST(i // 2 * 4 AS BIGINT) AS o0, CAST(i % 2 * 3 AS BIGINT) AS o1, CAST(least(4, 10 - i // 2 * 4) AS BIGINT) AS s0, CAST(least(3, 5 - i % 2 * 3) AS BIGINT) AS s1,
+CAST(CASE WHEN i = 3 THEN -1 ELSE i % 2 END AS INT) AS owner FROM range(0, 6) t(i)""")
+def distribution_from_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A distribution from chunks in any order; two owners of one place leave it to the host (-1)."""
+    places = [(o, p) for o in (0, 4, 8) for p in (0, 3)]
+    chunks = [(k % 2, place, (min(4, 10 - place[0]), min(3, 5 - place[1]))) for k, place in reversed(list(enumerate(places)))]
+    grid = Distribution.from_chunks([10, 5], [*chunks, (0, (4, 3), (4, 2))], allow_duplicates=True)
+    owners = spark.createDataFrame(list(enumerate(grid.owners or ())), "chunk_id long, owner int")
+    return grid.table(spark).join(owners, "chunk_id")
+
+
+@query("""SELECT CAST(i AS BIGINT) AS d0, CAST(greatest(0, 2 * (i // 8 * 8) - 3) AS BIGINT) AS v FROM range(0, 40) t(i)""")
+def map_argument(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index map as an argument: the kernel gets the range that it gives for its chunk."""
+    x, out = axis(0), ArrayFrame(spark, [40], I64)
+    return parallel_submit(spark, ([40], [8]), ChunkKernel(lambda chunk, r: max(0, r.begin)), write(out[x]), 2 * x - 3).df
+
+
+@query("""SELECT * FROM (VALUES ('x', 'x'), ('3 * x', '3*x'), ('x + 1', 'x + 1'), ('(x + 1) / 2', '(x + 1)/2'), ('constant', '7'), ('range', 'x...x + 3'), ('all', '_')) t(map, text)""")
+def indexmap_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = axis(0)
+    maps = {"x": x, "3 * x": 3 * x, "x + 1": x + 1, "(x + 1) / 2": (x + 1) / 2, "constant": span(7, 8), "range": span(x, x + 2), "all": ALL}
+    return spark.createDataFrame([(n, str(m)) for n, m in maps.items()], "map string, text string")
+
+
+@query("""SELECT type, op, value FROM (VALUES ('Int8', -128, 127), ('Int16', -32768, 32767), ('Int32', -2147483648, 2147483647), ('Int64', -9223372036854775808, 9223372036854775807),
+('Uint8', 0, 255), ('Uint16', 0, 65535), ('Uint32', 0, 4294967295), ('Uint64', 0, 18446744073709551615)) t(type, low, high),
+LATERAL (VALUES ('sum', '0'), ('product', '1'), ('min', CAST(high AS VARCHAR)), ('max', CAST(low AS VARCHAR)), ('bit_or', '0'), ('bit_and', CASE WHEN low = 0 THEN CAST(high AS VARCHAR) ELSE '-1' END)) o(op, value)
+UNION ALL SELECT type, op, value FROM (VALUES ('Float32'), ('Float64')) t(type), (VALUES ('sum', '0.0'), ('product', '1.0'), ('min', 'inf'), ('max', '-inf'), ('bit_or', 'unsupported'), ('bit_and', 'unsupported')) o(op, value)
+UNION ALL SELECT type, op, value FROM (VALUES ('Complex32'), ('Complex64')) t(type), (VALUES ('sum', '0j'), ('product', '(1+0j)'), ('min', 'unsupported'), ('max', 'unsupported'), ('bit_or', 'unsupported'), ('bit_and', 'unsupported')) o(op, value)
+UNION ALL SELECT type, op, 'unsupported' FROM (VALUES ('KeyAndInt64'), ('KeyAndFloat64')) t(type), (VALUES ('sum'), ('product'), ('min'), ('max'), ('bit_or'), ('bit_and')) o(op)""")
+def reduction_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The identity of each reduction of each scalar type, or that there is none."""
+    rows = [(t.name, op, str(identity(t, op)) if supports(t, op) else "unsupported") for t in TYPES.values() for op in REDUCTIONS]
+    return spark.createDataFrame(rows, "type string, op string, value string")
+
+
+@query("""WITH s AS (SELECT l_linenumber AS d0, sum(CAST(l_partkey AS HUGEINT) * 7919) AS s FROM lineitem GROUP BY 1)
+SELECT d0, CAST((s + 32768) % 65536 - 32768 AS SMALLINT) AS i16, CAST((s + 2147483648) % 4294967296 - 2147483648 AS INTEGER) AS i32, CAST(s % 256 AS SMALLINT) AS u8, CAST(s % 65536 AS INTEGER) AS u16, CAST(s % 4294967296 AS BIGINT) AS u32 FROM s""")
+def reduce_wraps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums that wrap, of signed and unsigned types; values are wrapped into the type before they are added, as a cast would."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("d0"), (F.col("l_partkey") * 7919).alias("v"))
+    types = {"i16": "Int16", "i32": "Int32", "u8": "Uint8", "u16": "Uint16", "u32": "Uint32"}
+    return rows.groupBy("d0").agg(*(aggregate("sum", wrap(F.col("v"), TYPES[t]), TYPES[t]).alias(n) for n, t in types.items()))
+
+
+@query("""SELECT o_orderkey, a < b OR (a = b AND o_orderkey % 3 < o_custkey % 3) AS less FROM (SELECT *, CAST(o_orderkey % 4 AS DOUBLE) AS a, CAST(o_custkey % 4 AS DOUBLE) AS b FROM orders)""")
+def key_value_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of value and key are ordered by value, then by key."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    pair = lambda x: S.key_value((x % 4).cast("double"), x % 3)
+    return table(spark, sf_dir, "orders").select("o_orderkey", S.key_value_less(pair(k), pair(c)).alias("less"))
+
+
+@query("""SELECT CAST(k AS INT) AS job, CAST(sum(i + k) AS BIGINT) AS v FROM range(0, 4) a(k), range(0, 100) b(i) GROUP BY 1""")
+def concurrent_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four arrays are computed by jobs that run side by side; what is read after waiting for each is their sums."""
+    runner, x, found = Runner(spark, 4), axis(0), []
+    for k in range(4):
+        a, out = ArrayFrame(spark, [100], I64), ArrayFrame(spark, [], I64)
+        elementwise(spark, [100], ExprKernel(lambda d, k: d[0] + k), write(a[x]), k)
+        reduce_elements(spark, [100], ExprKernel(lambda d, v: v), reduce("sum", privatize(x), out), a[x])
+        runner.compute(out)
+        found.append((k, out))
+    rows = []
+    for k, out in found:
+        runner.synchronize(out)
+        rows.append(out.df.select(F.lit(k).alias("job"), "v"))
+    runner.shutdown()
+    first, *rest = rows
+    for r in rest:
+        first = first.union(r)
+    return first
+
+
+@query("""SELECT CAST(i AS BIGINT) AS d0, CAST(24 + i AS BIGINT) AS v FROM range(0, 6) t(i)""")
+def view_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sub-array at two leading coordinates of a rank-3 array."""
+    return ArrayFrame(spark, [3, 4, 6], I64).iota().at(1, 0).df
+
+
+@query("""SELECT * FROM (VALUES ('rank', 2), ('volume', 600), ('size0', 30), ('size1', 20), ('size2', 1), ('chunks', 12), ('empty', 0), ('written', 0), ('written_after', 1), ('reset', 0)) t(name, value)""")
+def array_accessors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an array says of itself, before and after its first write and after reset."""
+    a = ArrayFrame(spark, [30, 20], I64, [10, 5])
+    said = {"rank": a.rank, "volume": a.volume, "size0": a.size(0), "size1": a.size(1), "size2": a.size(2), "chunks": a.distribution.num_chunks, "empty": int(a.is_empty), "written": int(a.has_instance)}
+    a.fill(1)
+    said["written_after"] = int(a.has_instance)
+    a.reset()
+    said["reset"] = int(a.has_instance)
+    return spark.createDataFrame(list(said.items()), "name string, value int")
