@@ -23,8 +23,8 @@ _RUN = re.compile(" *[^ ]+| +")
 #: Scores are summed as whole multiples of 1 / SCALE, so that sums of the same pieces are equal wherever they begin.
 SCALE = 1 << 20
 _NEVER = -(1 << 60)
-#: Bytes that the dynamic programme handles at once.
-BLOCK = 1 << 17
+#: Bytes that the dynamic programme handles at once: of short parts few, which stay in a core's cache; of windows more, which share its steps.
+BLOCK, WIDE_BLOCK = 1 << 14, 1 << 17
 #: A part of more bytes without a space is cut into windows of CORE bytes that run side by side, each from WARM bytes before.
 LONG, CORE, WARM = 2048, 1024, 128
 #: Bytes of a UTF-8 character by its first byte; following bytes have 0.
@@ -239,7 +239,8 @@ class UnigramTokenizer:
         warm = [edge(max(0, c - WARM)) for c in cores[:-1]]
         start, key = np.zeros(n + 1, np.int64), np.full(n + 1, -1, np.int64)
         last = None
-        each = max(1, BLOCK // (CORE + WARM + 8))
+        again: dict[tuple[bytes, bytes], tuple[np.ndarray, np.ndarray]] = {}  # periodic texts come back to the same state and bytes
+        each = max(1, WIDE_BLOCK // (CORE + WARM + 8))
         for a in range(0, len(warm), each):
             names = range(a, min(len(warm), a + each))
             score, which = self._edges([text[warm[k] : cores[k + 1]].tobytes() for k in names], depth)
@@ -248,8 +249,11 @@ class UnigramTokenizer:
                 c, e = cores[k] - warm[k], cores[k + 1] - warm[k]
                 sums, col = best[r], column[r]
                 if last is not None and not np.array_equal(self._state(sums, c), last):
-                    again, cols = self._sums(score[r : r + 1], last, c)
-                    sums, col = again[0], cols[0]
+                    name = (last.tobytes(), text[warm[k] : cores[k + 1]].tobytes())
+                    if name not in again:
+                        run = self._sums(score[r : r + 1], last, c)
+                        again[name] = run[0][0], run[1][0]
+                    sums, col = again[name]
                 ends = np.arange(c + 1, e + 1)
                 start[ends + warm[k]] = ends + warm[k] - depth + col[ends]
                 key[ends + warm[k]] = which[r, ends, col[ends]]
