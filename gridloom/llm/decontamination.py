@@ -19,6 +19,8 @@ SHORTEST = 9
 WINDOW, SUBSTITUTED = 13, 2
 #: Up to so many seed hashes of the benchmark are broadcast (about 100 MB at most); beyond, they are joined by a shuffle.
 BROADCAST_SEEDS = 1_000_000
+#: Up to so many neighbouring word pairs of the benchmark make a filter of at most 2**FILTER_BITS bits, which goes with the plan.
+FILTER_PAIRS, FILTER_BITS = 200_000, 22
 
 
 def _hashed(words: Column) -> Column:
@@ -31,16 +33,58 @@ def seed_masks(masks: tuple[tuple[int, ...], ...], lengths: list[int], window: i
     return [*((mask, SHORTEST, None) for mask in masks), *short, *((tuple(range(n)), n, n) for n in sorted(set(lengths)) if 0 < n < SHORTEST)]
 
 
-def _seeds(df: DataFrame, keep: list[str], masks: list[tuple[tuple[int, ...], int, int | None]], items: bool = False) -> DataFrame:
-    """A row (keep, pos, seed) for each place and mask of df's hashed words `h`; in items, only for masks of their length. The word array itself isn't repeated in them."""
+def _pairs(h: Column) -> Column:
+    """A hash of each word with the next one."""
+    return F.transform(h, lambda w, i: F.xxhash64(w, F.get(h, i + 1)))
+
+
+def _bit(pair: Column, bits: int) -> tuple[Column, Column]:
+    """Which 64-bit word of a filter a pair has, and its bit there."""
+    place = F.shiftrightunsigned(pair, 64 - bits)
+    return F.shiftrightunsigned(place, 6).cast("int"), F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(63).cast("int"))
+
+
+def pair_filter(items: DataFrame) -> tuple[Column, int] | None:
+    """A bitmap of the neighbouring word pairs in items (h), as a literal array, and its size as a power of two; None if there are too many pairs."""
+    pairs = items.select(F.explode(_pairs(F.col("h"))).alias("pair")).distinct()
+    n = pairs.limit(FILTER_PAIRS + 1).count()
+    if n > FILTER_PAIRS:
+        return None
+    bits = min(FILTER_BITS, max(10, (16 * n).bit_length()))
+    word, bit = _bit(F.col("pair"), bits)
+    words = [0] * (1 << bits - 6)
+    for r in pairs.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bit")).collect():
+        words[r["word"]] = r["bit"]
+    return F.from_json(F.lit(str(words)), "array<bigint>"), bits
+
+
+def _seeds(df: DataFrame, keep: list[str], masks: list[tuple[tuple[int, ...], int, int | None]], items: bool = False, known: tuple[Column, int] | None = None) -> DataFrame:
+    """A row (keep, pos, seed) for each place and mask of df's hashed words `h`; in items, only for masks of their length. The word array itself isn't repeated in them.
+
+    With a pair_filter, a place whose first neighbouring pair under the mask is in no item gets no row, as its seed can't be an item's.
+    """
 
     def at_places(m: int, mask: tuple[int, ...], fewest: int, most: int | None) -> Column:
         n = F.size("h") - mask[-1]
         if items:
             n = F.when((F.size("h") >= fewest) & (F.lit(True) if most is None else F.size("h") <= most), n).otherwise(0)
         seed = lambda w, i: F.struct(i.alias("pos"), F.xxhash64(F.lit(m), *(F.get("h", i + o) for o in mask)).alias("seed"))
-        return F.transform(F.slice("h", F.lit(1), F.greatest(F.lit(0), n)), seed)
-
+        pair = next((o for o in mask if o + 1 in mask), None)
+        if known is None or pair is None:
+            return F.transform(F.slice("h", F.lit(1), F.greatest(F.lit(0), n)), seed)
+        maybe = F.transform("maybe", lambda w, i: F.when(w & (i >= pair) & (i - pair < n), seed(w, i - pair)))
+        return F.array_compact(maybe)
+
+    if known is not None:
+        bitmap, bits = known
+
+        def test(pair: Column) -> Column:
+            word, bit = _bit(pair, bits)
+            return F.get(bitmap, word).bitwiseAND(bit) != 0
+
+        # sizes keep the projections apart, so that the arrays are computed once
+        df = df.select(*keep, "h", _pairs(F.col("h")).alias("q"), F.size("h").alias("_n0"))
+        df = df.select(*keep, "h", F.transform("q", test).alias("maybe"), F.size("q").alias("_n1"))
     every = df.select(*keep, F.concat(*(at_places(m, *mask) for m, mask in enumerate(masks))).alias("places"), F.size("h").alias("_n"))
     # the outer form, as for the plain one Spark would compute the whole array once more to filter out empty ones
     return every.select(*keep, F.explode_outer("places").alias("p")).select(*keep, "p.pos", "p.seed").where(F.col("seed").isNotNull())
@@ -70,7 +114,7 @@ def contaminated_rows(docs: DataFrame, benchmark: DataFrame, masks: tuple[tuple[
     test = F.broadcast(test) if test.count() <= broadcast_seeds else test
     train = docs.select("doc_id", "text", _row_key(docs).alias("doc_row"))
     hashed = train.select("doc_row", _hashed(words_of(F.col("text"))).alias("h"))
-    hits = _seeds(hashed, ["doc_row"], seeded).join(test, "seed")
+    hits = _seeds(hashed, ["doc_row"], seeded, known=pair_filter(items)).join(test, "seed")
     diagonals = hits.select("doc_row", "row", "n", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct()
     # a document's words are hashed once more for all its diagonals; of each only as many words as the item has go on
     laid = diagonals.groupBy("doc_row").agg(F.collect_list(F.struct("row", "diagonal", "n")).alias("laid")).join(train, "doc_row")
@@ -95,6 +139,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, **options: object)
     document or item, each of whose rows is compared, with the largest figures. Empty texts and nulls match nothing; very long texts are
     compared whole; other columns of either table don't matter.
 
+    Documents' seeds are formed only where two neighbouring words stand together in some item (pair_filter, which leaves nothing out).
     The benchmark's seeds are broadcast while they number at most `broadcast_seeds`; beyond, seeds are joined by a shuffle. Either way only
     the diagonals that were hit go on, and their documents' words are compared once for each.
     """
