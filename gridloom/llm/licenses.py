@@ -235,7 +235,8 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES)
     long = F.array(*(F.lit(t.is_long) for t in templates))
     verified = F.filter("found", lambda f: (f["share"] >= at(minimum, f["q"])) & at(F.col("keys"), at(owner, f["q"])))
     v = F.transform(verified, lambda f: F.struct(at(owner, f["q"]).alias("t"), (f["start"] - at(offset, f["q"])).alias("start"), f["share"].alias("share")))
-    out = out.select("doc_id", "n_words", F.when(F.col("n_found") > 0, v).alias("v"), (F.col("n_found") > 0).alias("any"))
+    # a second use of `keys` keeps Spark from folding its projection into this one, where it would be computed for each element
+    out = out.select("doc_id", "n_words", F.when((F.col("n_found") > 0) & (F.size("keys") > 0), v).alias("v"), (F.col("n_found") > 0).alias("any"))
 
     # parts of long notices, by where they have the notice begin: enough of them from one on within DRIFT words
     begins = F.sort_array(F.transform(F.filter("v", lambda f: at(long, f["t"])), lambda f: f["t"] * _FIELD + _FIELD // 2 + f["start"]))
