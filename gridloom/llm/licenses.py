@@ -6,6 +6,7 @@ itself; a notice is there where enough of its parts stand in their places, give
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 from math import ceil
@@ -184,8 +185,13 @@ def rare_index(parts: list[Part], frequency: dict[str, int]) -> tuple[list[tuple
     return postings, needed
 
 
+def _constant(values: list, kind: str) -> Column:
+    """A (nested) array as one literal: the optimiser reads the text once, where an expression for each element would have to be analysed."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
 def _longs(values: list[int]) -> Column:
-    return F.array(*(F.lit(v).cast("bigint") for v in values))
+    return _constant(values, "array<bigint>")
 
 
 def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
@@ -204,9 +210,9 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES)
     postings, needed = rare_index(parts, document_frequencies(words, vocabulary))
     indexed = sorted({w for w, _, _ in postings})
     by_word = {w: [q * _FIELD + _FIELD // 2 - j for x, q, j in postings if x == w] for w in indexed}
-    lists = F.array(*(_longs(by_word[w]) for w in indexed))
-    number = F.array(*(F.lit(w) for w in indexed))
-    texts = F.array(*(F.array(*(F.lit(w) for w in p.words)) for p in parts))
+    lists = _constant([by_word[w] for w in indexed], "array<array<bigint>>")
+    number = _constant(indexed, "array<string>")
+    texts = _constant([p.words for p in parts], "array<array<string>>")
 
     at = lambda array, i: F.get(array, i.cast("int"))
     hits = F.filter(F.transform("words", lambda w, i: F.when(w.isin(indexed), F.struct(i.cast("bigint").alias("i"), w.alias("w")))), lambda h: h.isNotNull())
@@ -231,7 +237,7 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES)
 
     has_keys = F.array(*(F.lit(True) if not t.keys else F.forall(F.array(*(F.lit(f" {k} ") for k in t.keys)), lambda k: F.col("joined").contains(k)) for t in templates))
     out = out.select("doc_id", "n_words", "found", F.when(F.col("joined").isNotNull(), has_keys).alias("keys"), F.size("found").alias("n_found"))
-    minimum, owner, offset = F.array(*(F.lit(float(p.share)) for p in parts)), _longs([p.t for p in parts]), _longs([p.offset for p in parts])
+    minimum, owner, offset = _constant([p.share for p in parts], "array<double>"), _longs([p.t for p in parts]), _longs([p.offset for p in parts])
     long = F.array(*(F.lit(t.is_long) for t in templates))
     verified = F.filter("found", lambda f: (f["share"] >= at(minimum, f["q"])) & at(F.col("keys"), at(owner, f["q"])))
     v = F.transform(verified, lambda f: F.struct(at(owner, f["q"]).alias("t"), (f["start"] - at(offset, f["q"])).alias("start"), f["share"].alias("share")))
