@@ -6,6 +6,7 @@ import hashlib
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,21 +23,23 @@ CHUNKS, CHUNK = 8, 5
 #: Candidates must differ in at most max_different() of the 40 positions: at the lowest similarity more differ about twice in 10 million pairs.
 RARELY = 2.5e-7
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+_KEYS = ("first hash, word", "other hash, word")
 _FACTORS = mix(np.arange(1, CHUNKS * CHUNK + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def word_digests(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit halves of a BLAKE2b digest of every word, in order, and how many words come before each row.
+    """Two independent 64-bit hashes of every word (SipHash under two keys), in order, and how many words come before each row.
 
-    Words are runs of bytes other than ASCII white space, A-Z in lower case. Arrow numbers the different ones, so each is digested once.
+    Words are runs of bytes other than ASCII white space, A-Z in lower case. Arrow numbers the different ones, so each is hashed once.
     """
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     flat = lists.flatten()
     real = pc.not_equal(flat, "")
     at = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])[lists.offsets.to_numpy()]
     words = flat.filter(real).dictionary_encode()
-    digests = b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in words.dictionary.cast(pa.binary()).to_pylist())
-    return np.frombuffer(digests, np.uint64).reshape(-1, 2)[words.indices.to_numpy()].T, at
+    different = words.dictionary.to_numpy(zero_copy_only=False)
+    hashes = [pd.util.hash_array(different, hash_key=key, categorize=False) for key in _KEYS]
+    return np.stack(hashes)[:, words.indices.to_numpy()], at
 
 
 def _chained(words: np.ndarray, size: int) -> np.ndarray:
