@@ -15,19 +15,20 @@ from ..functions.scalar import div_floor, div_trunc
 AXES = 3
 
 
-def tile_domain(spark: SparkSession, size: Sequence[int], tile: Sequence[int], owners: int = 1, space: str = "device") -> DataFrame:
-    """Chunks (chunk_id, owner, o0..o2, s0..s2) of a domain. The first axis runs fastest, last tiles are clipped, owners take turns.
+def tile_domain(spark: SparkSession, size: Sequence[int], tile: Sequence[int], owners: int | Sequence[int] = 1, space: str = "device") -> DataFrame:
+    """Chunks (chunk_id, owner, o0..o2, s0..s2) of a domain. The first axis runs fastest, last tiles are clipped, owners (a number of them, or a list) take turns.
 
     An empty domain has no chunks. Tiles must be positive. In the device space there must be a device to own chunks; the host space has
     one owner for each device that is near it, and a single one without devices.
     """
     if space not in ("device", "host"):
         raise ValueError(f"unknown space {space}")
-    owners = max(1, owners) if space == "host" else owners
+    named = list(range(owners)) if isinstance(owners, int) else list(owners)
+    named = named or ([0] if space == "host" else [])
     size, tile = ([*x, *[1] * (AXES - len(x))] for x in (size, tile))
     if any(t <= 0 for t in tile):
         raise ValueError("tiles must have positive sizes")
-    if owners < 1:
+    if not named:
         raise ValueError("there is no resource to own the chunks")
     counts = [max(0, -(-s // t)) for s, t in zip(size, tile, strict=True)]
     rows, step, columns = spark.range(prod(counts)).withColumnRenamed("id", "chunk_id"), 1, []
@@ -35,7 +36,7 @@ def tile_domain(spark: SparkSession, size: Sequence[int], tile: Sequence[int], o
         offset = div_trunc(F.col("chunk_id"), F.lit(step)) % F.lit(max(1, counts[k])) * F.lit(tile[k])
         columns.append((offset.cast("bigint"), F.least(F.lit(tile[k]), F.lit(size[k]) - offset).cast("bigint")))
         step *= max(1, counts[k])
-    return rows.select("chunk_id", (F.col("chunk_id") % owners).cast("int").alias("owner"), *(o.alias(f"o{k}") for k, (o, _) in enumerate(columns)), *(s.alias(f"s{k}") for k, (_, s) in enumerate(columns)))
+    return rows.select("chunk_id", F.get(F.array(*(F.lit(o) for o in named)), (F.col("chunk_id") % len(named)).cast("int")).alias("owner"), *(o.alias(f"o{k}") for k, (o, _) in enumerate(columns)), *(s.alias(f"s{k}") for k, (_, s) in enumerate(columns)))
 
 
 def into_domain(spark: SparkSession, domain: object) -> DataFrame:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import threading
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import Future, ThreadPoolExecutor, TimeoutError, wait
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.arrayframe import ArrayFrame
+from ..plans.domain import tile_domain
 
 
 class Event:
@@ -59,24 +60,32 @@ def join(*events: Event) -> Event:
 
 
 class Runner:
-    """Submits Spark actions from threads of one session; `pool` names the scheduler pool that they share.
+    """Submits Spark actions from threads of one session; `pool` names the scheduler pool that they share, `owners` who may own chunks
+    of its domains (by default as many as there are cores).
 
     With debug, work runs at once in the caller's thread, one piece after the other; its error still comes with the event.
     """
 
-    def __init__(self, spark: SparkSession, threads: int = 8, pool: str | None = None, debug: bool = False) -> None:
+    def __init__(self, spark: SparkSession, threads: int = 8, pool: str | None = None, debug: bool = False, owners: Iterable[int] | None = None) -> None:
         self.spark, self.pool, self.debug = spark, pool, debug
+        self.owners = tuple(owners if owners is not None else range(spark.sparkContext.defaultParallelism))
         self._threads = ThreadPoolExecutor(threads)
         self._open: list[Event] = []
         self._kept: list[DataFrame] = []
         self._writers: dict[int, Event] = {}
         self._lock = threading.Lock()
 
-    def constrain_to(self, pool: str) -> Runner:
-        """A runner whose work goes to a scheduler pool."""
-        if not pool:
-            raise ValueError("no pool")
-        return Runner(self.spark, self._threads._max_workers, pool, self.debug)
+    def constrain_to(self, *owners: int, pool: str | None = None) -> Runner:
+        """A runner for some of the owners, whose work may go to a scheduler pool. ValueError for none at all, or for an owner that this one hasn't."""
+        if not owners and not pool:
+            raise ValueError("neither owners nor a pool")
+        if unknown := set(owners) - set(self.owners):
+            raise ValueError(f"no owners {sorted(unknown)}")
+        return Runner(self.spark, self._threads._max_workers, pool or self.pool, self.debug, owners or self.owners)
+
+    def tile_domain(self, size: Sequence[int], tile: Sequence[int]) -> DataFrame:
+        """The chunks of a domain, owned by this runner's owners in turn."""
+        return tile_domain(self.spark, size, tile, self.owners)
 
     def submit(self, work: Callable[[], object], after: Iterable[Event] = (), reads: Iterable[ArrayFrame] = (), writes: Iterable[ArrayFrame] = ()) -> Event:
         """Runs work when the events are done; their errors become its own. So do those of the work that wrote the arrays named in

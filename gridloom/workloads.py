@@ -687,11 +687,11 @@ def key_value_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", S.key_value_less(pair(k), pair(c)).alias("less"))
 
 
-@query("""SELECT CAST(k AS INT) AS job, CAST(sum(i + k) AS BIGINT) AS v FROM range(0, 4) a(k), range(0, 100) b(i) GROUP BY 1""")
+@query("""SELECT CAST(k AS INT) AS job, CAST(sum(i + k) AS BIGINT) AS v FROM range(0, 16) a(k), range(0, 100) b(i) GROUP BY 1""")
 def concurrent_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four arrays are computed by jobs that run side by side; what is read after waiting for each is their sums."""
-    runner, x, found = Runner(spark, 4), axis(0), []
-    for k in range(4):
+    """Sixteen arrays are computed by threads that share one session; what is read after waiting for each is their sums."""
+    runner, x, found = Runner(spark, 16), axis(0), []
+    for k in range(16):
         a, out = ArrayFrame(spark, [100], I64), ArrayFrame(spark, [], I64)
         elementwise(spark, [100], ExprKernel(lambda d, k: d[0] + k), write(a[x]), k)
         reduce_elements(spark, [100], ExprKernel(lambda d, v: v), reduce("sum", privatize(x), out), a[x])

@@ -345,7 +345,12 @@ def test_events(spark):
     arrays = [ArrayFrame(spark, [50], "Int64").iota() for _ in range(4)]
     events = [runner.compute(a) for a in arrays]
     assert join(*events).wait(120) and runner.info()["parallelism"] >= 1
-    with pytest.raises(ValueError):
-        runner.constrain_to("")
+    for bad in ((), (99999,)):
+        with pytest.raises(ValueError):
+            runner.constrain_to(*bad)
+    some = runner.constrain_to(2, 0, pool="small")
+    assert {(r.chunk_id, r.owner) for r in some.tile_domain([50], [10]).collect()} == {(0, 2), (1, 0), (2, 2), (3, 0), (4, 2)}
+    assert some.submit(lambda: spark.sparkContext.getLocalProperty("spark.scheduler.pool")).result(60) == "small"
+    assert [r.owner for r in runner.tile_domain([2], [1]).collect()] == [0, 1]
     runner.trim_memory()
     runner.shutdown()
