@@ -184,13 +184,13 @@ def total_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(trunc(CAST(x AS DOUBLE) * 1000) AS BIGINT)) AS q FROM embeddings) a,
 (SELECT vec_id, list_transform(embedding, lambda x: CAST(trunc(CAST(x AS DOUBLE) * 1000) AS BIGINT)) AS q FROM embeddings) b""")
 def matmul_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The products of every two vectors, quantised to integers: blocks of both sides are multiplied by a chunk kernel and added over the inner axis."""
+    """The products of every two vectors, quantised to integers: a chunk kernel multiplies blocks of both sides, whose inner axis is whole, and writes."""
     cells = embedding_cells(spark, sf_dir).select("d0", "d1", (F.col("v").cast("double") * 1000).cast("bigint").alias("v"))
     n, m = shape_of(cells, "d0", "d1")
     i, k, j = axis(0), axis(1), axis(2)
     block = 256
     a, out = from_table(cells, ["d0", "d1"], "v", [n, m], I64, [block, max(1, m)]), ArrayFrame(spark, [n, n], I64)
-    parallel_submit(spark, ([n, m, n], [block, max(1, m), block]), ChunkKernel(lambda chunk, x, y: x @ y.T), reduce("sum", out[i][j]), a[i][k], a[j][k])
+    parallel_submit(spark, ([n, m, n], [block, max(1, m), block]), ChunkKernel(lambda chunk, x, y: x @ y.T), write(out[i][j]), a[i][k], a[j][k])
     return out.df
 
 
