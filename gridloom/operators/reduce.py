@@ -73,7 +73,7 @@ def _folded(df: DataFrame, keys: list[str], dtype: ScalarType) -> DataFrame:
         turn = np.argsort(order[starts], kind="stable")
         rows = table.take(pa.array(order[starts][turn]))
         for name, part in (("re", out.real), ("im", out.imag if complex_ else np.zeros(len(out), np.int64))):
-            rows = rows.set_column(rows.schema.get_field_index(name), name, pa.array(part[turn]))
+            rows = rows.set_column(rows.schema.get_field_index(name), table.schema.field(name), pa.array(part[turn]))  # the field, as nullability must stay
         return rows
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

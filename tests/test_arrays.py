@@ -139,6 +139,16 @@ def test_every_reduction_of_every_type(spark):
                 np.testing.assert_allclose(got, np.array(want, dtype=t.numpy), rtol=1e-4 if not t.integral else 0, err_msg=f"{name} {op}")
 
 
+def test_products_over_many_batches(spark):
+    n = 60_000  # several Arrow batches before and after the shuffle, and keys that go on from one to the next
+    df = spark.range(n).select((F.col("id") % 21_001).alias("d0"), (F.col("id") % 7 + 1).alias("v")).repartition(3)
+    want = np.ones(21_001, np.int64)
+    np.multiply.at(want, np.arange(n) % 21_001, np.arange(n) % 7 + 1)
+    got = {r.d0: r.v for r in reduce_cells(df, "product", "Int64", ["d0"]).collect()}
+    assert got == dict(enumerate(want.tolist()))
+    assert reduce_cells(df.select(F.lit(3).cast("bigint").alias("v")), "product", "Int64", []).first().v == (pow(3, n, 1 << 64) + (1 << 63)) % (1 << 64) - (1 << 63)
+
+
 def test_nan_and_empty(spark):
     df = spark.createDataFrame([(0, math.nan), (0, 2.0), (0, 3.0), (1, math.nan)], "d0 long, v double")
     got = {r.d0: r.v for r in reduce_cells(df, "max", "Float64", ["d0"]).collect()}
